@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = {}
 def query(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         workers_see_package(spark)
+        # Rows are wide: small batches keep the Python side of an executor small.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = run
@@ -64,3 +66,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm import quality
 
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnwick.llm import bpe
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
