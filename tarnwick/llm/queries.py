@@ -89,3 +89,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm import toxicity
 
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm import warc
+    from tarnwick.session import materialise
+
+    archives = materialise(warc.write_archives(warc.decide(table(spark, sf_dir, "pages"))), "warc")
+    records = warc.read_archives(archives).where("kind IN ('response', 'revisit')")
+    return records.select(
+        F.expr("try_cast(regexp_extract(record_id, '<urn:page:(-?[0-9]+)>', 1) AS BIGINT)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        F.expr("try_cast(regexp_extract(refers_to, '<urn:page:(-?[0-9]+)>', 1) AS BIGINT)").alias("refers_to"),
+    )
