@@ -105,3 +105,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kind").alias("record_type"),
         F.expr("try_cast(regexp_extract(refers_to, '<urn:page:(-?[0-9]+)>', 1) AS BIGINT)").alias("refers_to"),
     )
+
+
+@query
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm import media
+
+    told = F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"]))
+    feature = F.concat(F.lit("clips="), F.size("clips").cast("string"), F.lit(";"), F.array_join(told, ","))
+    return media.read(media.store(table(spark, sf_dir, "documents"))).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
+    )
