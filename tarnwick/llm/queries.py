@@ -116,3 +116,17 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
     )
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm import suffix
+
+    out = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    return out.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        (F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
