@@ -130,3 +130,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm import jaccard
+
+    out = jaccard.join(table(spark, sf_dir, "documents"), 4, 85, 100)
+    return out.withColumnRenamed("n_ngrams", "n_shingles")
