@@ -16,7 +16,9 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -47,8 +49,11 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value & (1 << 64) - 1)
 
 
+_PIECE = {b: 256 + b for b in range(256)}
+
+
 def as_piece(token: bytes) -> str:
-    return "".join(chr(256 + b) for b in token)
+    return token.decode("latin-1").translate(_PIECE)
 
 
 def model_bytes(ranks: dict[bytes, int]) -> bytes:
@@ -67,7 +72,7 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary and pattern."""
+    """Encoder and decoder of one vocabulary and pattern; both work on flat arrays of ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
@@ -76,30 +81,73 @@ class Codec:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.bytes_of = sorted(ranks, key=ranks.get)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        words, known = self.split(text), self.known
-        new = list({w for w in words if w not in known})
+        tokens = sorted(ranks, key=ranks.get)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.first, self.count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.total = 0
+
+    def _learn(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        found: list[list[int]] = [[self.ranks[b]] if b in self.ranks else [] for b in raw]
+        rest = [i for i, ids in enumerate(found) if not ids]
+        for i, ids in zip(rest, self.pieces.encode([as_piece(raw[i]) for i in rest], num_threads=1), strict=True):
+            found[i] = ids
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.first.append(self.total + np.cumsum(count) - count)
+        self.count.append(count)
+        self.ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())))
+        self.total += int(count.sum())
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        split = [self.split(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > CACHE and self.known:
+            self._forget()
+            new = set(words)
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            raw = [w.encode() for w in new]
-            rest = [i for i, b in enumerate(raw) if b not in self.ranks]
-            for w, b in zip(new, raw, strict=True):
-                if b in self.ranks:
-                    known[w] = (self.ranks[b],)
-            for i, ids in zip(rest, self.pieces.encode([as_piece(raw[i]) for i in rest], num_threads=1), strict=True):
-                known[new[i]] = tuple(ids)
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+            self._learn(list(new))
+            self.ids, self.first, self.count = ([np.concatenate(x)] for x in (self.ids, self.first, self.count))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        count = self.count[0][at]
+        ids = self.ids[0][_spread(self.first[0][at], count)]
+        upto = np.append(0, np.cumsum(count))[np.cumsum([0, *map(len, split)])]
+        return ids, np.diff(upto)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts, and how many each has."""
+        size = self.size[ids]
+        upto = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+        return self.bytes[_spread(self.start[ids], size)], np.diff(upto)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... count[i] of them, for each i."""
+    return np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def _offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+
+
+def _runs(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Rows from, to of about `most` characters or ids, which are worked on at a time."""
+    at, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield at, i + 1
+            at, total = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -118,8 +166,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            ids = [own.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _runs([len(t) for t in texts]):
+                ids, counts = own.encode(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(_offsets(counts), pa.array(ids))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -130,8 +180,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            out = [own.decode(ids) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
+            counts = np.asarray(batch.column(1).value_lengths())
+            for a, b in _runs(counts.tolist()):
+                part = batch.slice(a, b - a)
+                data, sizes = own.decode(np.asarray(part.column(1).flatten()), counts[a:b])
+                whole = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, _offsets(sizes).buffers()[1], pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*part.columns, whole], ["doc_id", "ids", "bytes"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
