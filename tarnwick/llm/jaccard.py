@@ -74,10 +74,10 @@ def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
             s = np.sort(full[a : b - n + 1])
             out.append(s[np.append(True, s[1:] != s[:-1])])
         elif b > a:
-            h = np.uint64(b - a)
+            h = np.array([b - a], np.uint64)
             for w in words[a:b]:
                 h = h * _BASE + w
-            out.append(_mix(np.array([h ^ _M1])))
+            out.append(_mix(h ^ _M1))
         else:
             out.append(none)
     return out

@@ -138,3 +138,18 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = jaccard.join(table(spark, sf_dir, "documents"), 4, 85, 100)
     return out.withColumnRenamed("n_ngrams", "n_shingles")
+
+
+def domain_of(source: F.Column) -> F.Column:
+    """The domain of a source: the tables have none, so three are dealt out by name."""
+    return F.concat(F.lit("domain"), (F.crc32(F.coalesce(source, F.lit(""))) % 3).cast("string"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm import mixing, quality
+
+    docs = table(spark, sf_dir, "documents")
+    words = F.size(quality.words_of(F.coalesce("text", F.lit(""))))
+    out = mixing.mix(docs.select("doc_id", "text", "lang", "source"), words, domain_of(F.col("source")))
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs")
