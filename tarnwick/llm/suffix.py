@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import split_by_keys
@@ -237,7 +237,8 @@ def find(docs: DataFrame, length: int) -> DataFrame:
     found = materialise(scan(docs, length), "stretches")
     key = ["gram", "c1", "c2"]
     # Minimisers met twice, in one text or several; counted with partial sums, so a hot one is no burden.
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that the join's sides are plain exchanges, which Spark can split where one key is hot.
+    twice = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     found = materialise(found.join(twice, "gram"), "shared")
     contents = found.groupBy(*key).agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("at"), F.first("windows").alias("windows")
@@ -307,3 +308,10 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, span), pa.array(kept, pa.binary())], [*names, "spans", "kept"])
 
     return clean.unionByName(struck.mapInArrow(run, f"{kinds}, spans array<struct<start:int,end:int>>, kept binary"))
+
+
+def as_text(kept: Column) -> Column:
+    """Bytes as a string: of a character that a span cut through, the rest goes too."""
+    # Within UTF-8 text, only the ends of spans can leave such rests; one character in their place marks them.
+    valid = F.make_valid_utf8(kept.cast("string"))
+    return F.when(F.is_valid_utf8(kept.cast("string")), kept.cast("string")).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
