@@ -210,20 +210,33 @@ def prefixes(docs: DataFrame, n: int, share: Share, tokens: np.ndarray, counts:
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
-    """Rows (token first, sorted by it within partitions) whose token occurs more than once."""
+    """Rows (token, c1, ...), sorted by both within partitions, each once, whose token occurs more than once."""
+
+    def pair(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(batch.column(0)), np.asarray(batch.column(1))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, c = pair(batch)
+            new = np.append(before != (t[0], c[0]), (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
+            before = (t[-1], c[-1])
+            if new.any():
+                yield batch.filter(pa.array(new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, before = None, None  # the row not yet given out, and the token before it
-        for batch in batches:
+        for batch in once(batches):
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            t = np.asarray(batch.column(0))
-            equal = np.concatenate([[before is not None and t[0] == before], t[1:] == t[:-1]])
-            keep = equal[:-1] | equal[1:]
-            yield batch.slice(0, len(t) - 1).filter(pa.array(keep))
+            t, _ = pair(batch)
+            equal = np.append(before is not None and t[0] == before, t[1:] == t[:-1])
+            yield batch.slice(0, len(t) - 1).filter(pa.array(equal[:-1] | equal[1:]))
             last = batch.slice(len(t) - 1)
-            before = int(t[-2]) if len(t) > 1 else before
-        if last is not None and before is not None and last.column(0)[0].as_py() == before:
+            before = t[-2] if len(t) > 1 else before
+        if last is not None and before is not None and pair(last)[0][0] == before:
             yield last
 
     return rows.mapInArrow(run, rows.schema)
@@ -294,9 +307,8 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     nodes = materialise(nodes, "nodes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes(docs.where("doc_id IS NOT NULL"), n, share, tokens, counts).repartition(parts, "token").sortWithinPartitions("token")
-    shared = materialise(shared_only(dealt), "prefixes").distinct()
-    shared = shared.where(F.col("token").isNotNull())
+    dealt = prefixes(docs.where("doc_id IS NOT NULL"), n, share, tokens, counts).repartition(parts, "token").sortWithinPartitions("token", "c1")
+    shared = materialise(shared_only(dealt), "prefixes")
 
     # Round one: each row with the hub of its token.
     hubs = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "c1")).alias("hub"), F.count("*").alias("k")).where("k > 1")
