@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SHA256 = r"^sha256:[0-9a-f]{64}$"
 
@@ -35,7 +36,7 @@ def fnv1a32(c: Column) -> Column:
     return F.concat(F.lit("fnv1a32:"), F.lpad(F.lower(F.hex(h)), 8, "0"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """JSON text with sorted keys and no spaces."""
     return s.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False))

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Token of the positional index: letters and digits, with inner apostrophes, dots and hyphens (fixed value).
 WORD = r"[\p{L}\p{N}]+(?:['’.-][\p{L}\p{N}]+)*"
@@ -25,12 +26,12 @@ ROUTE_STOP = (
 ).split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_diacritics(s: pd.Series) -> pd.Series:
     def plain(x: str | None) -> str | None:
         return None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
@@ -95,7 +96,7 @@ def decode_entities(c: Column) -> Column:
         code = F.when(token.startswith("#x"), F.conv(F.substring(token, 3, 12), 16, 10)).otherwise(F.substring(token, 2, 12)).cast("bigint")
         sane = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         # four bytes of UTF-32 spell any code point
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         out = F.when(token.startswith("#") & F.coalesce(sane, F.lit(False)), char)
         for name, value in ENTITIES.items():
             out = out.when(token == name, F.lit(value))
