@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 BITS = 18
 BEGINNINGS = (3, 4, 5, 6)
 #: Rows of each label that the fit uses at most.
-MOST = 4000
+MOST = 2500
 #: Groups of terms that may stand for one another (fixed values).
 IDENTITY: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
@@ -74,8 +74,8 @@ def counterfactual(words: set[str], groups: Sequence[Sequence[str]] = IDENTITY)
     return {swap.get(w, w) for w in words}
 
 
-def fit(rows: Sequence[tuple[int, np.ndarray, np.ndarray]], penalty: float = 1.0, ridge: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, float]:
-    """Weights and intercept from (label, features, counterfactual features).
+def fit(rows: Sequence[tuple[int, np.ndarray, np.ndarray, np.ndarray]], penalty: float = 1.0, ridge: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, float]:
+    """Weights and intercept from (label, features, those a counterfactual adds, those it takes away).
 
     Each feature is scaled by the size of its log ratio between the labels, so that words which
     are as common in either hardly count, however many of them a text has.
@@ -86,17 +86,17 @@ def fit(rows: Sequence[tuple[int, np.ndarray, np.ndarray]], penalty: float = 1.0
     seen = np.bincount(np.concatenate([r[1] for r in rows]), minlength=1 << BITS)
     seen += np.bincount(np.concatenate([r[2] for r in rows]), minlength=1 << BITS)
     own = np.flatnonzero(seen >= 4)  # what is rarer says nothing
-    at = np.full(1 << BITS, -1, np.int64)
+    at = np.full(1 << BITS, -1, np.int32)
     at[own] = np.arange(len(own))
 
     def matrix(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         col = at[np.concatenate(parts)]
-        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         return row[col >= 0], col[col >= 0]
 
     row, col = matrix([r[1] for r in rows])
-    plus_row, plus_col = matrix([np.setdiff1d(r[2], r[1]) for r in rows])
-    less_row, less_col = matrix([np.setdiff1d(r[1], r[2]) for r in rows])
+    plus_row, plus_col = matrix([r[2] for r in rows])
+    less_row, less_col = matrix([r[3] for r in rows])
     n, d = len(rows), len(own)
     toxic = np.bincount(col, (y > 0)[row].astype(float), d)
     clean = np.bincount(col, (y <= 0)[row].astype(float), d)
@@ -123,7 +123,7 @@ def fit(rows: Sequence[tuple[int, np.ndarray, np.ndarray]], penalty: float = 1.0
     return out, float(b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST, groups: Sequence[Sequence[str]] = IDENTITY) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST, groups: Sequence[Sequence[str]] = IDENTITY) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """At most `most` rows of each label among labels (doc_id, toxic), with their features."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y: one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -134,13 +134,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST, groups:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            own = [features(w).tobytes() for w in words]
-            other = [features(counterfactual(w, groups)).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["y", "own", "other"])
-
-    found = texts.mapInArrow(run, "y int, own binary, other binary").collect()
-    rows = [(r.y, np.frombuffer(r.own, np.int32), np.frombuffer(r.other, np.int32)) for r in found]
-    return sorted(rows, key=lambda r: (r[0], np.sort(r[1]).tobytes()))  # the fit does not depend on how rows were dealt
+            own = [features(w) for w in words]
+            other = [features(counterfactual(w, groups)) for w in words]
+            plus = [np.setdiff1d(y, x).tobytes() for x, y in zip(own, other, strict=True)]
+            less = [np.setdiff1d(x, y).tobytes() for x, y in zip(own, other, strict=True)]
+            parts = [[np.sort(x).tobytes() for x in own], plus, less]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["y", "own", "plus", "less"])
+
+    found = texts.mapInArrow(run, "y int, own binary, plus binary, less binary").collect()
+    found.sort(key=lambda r: (r.y, bytes(r.own)))  # the fit does not depend on how rows were dealt
+    return [(r.y, *(np.frombuffer(x, np.int32) for x in (r.own, r.plus, r.less))) for r in found]
 
 
 def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
