@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.llm.oracles import ORACLES as ORACLES
 from tarnwick.session import table, workers_see_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
@@ -141,8 +141,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_of(source: F.Column) -> F.Column:
-    """The domain of a source: the tables have none, so three are dealt out by name."""
-    return F.concat(F.lit("domain"), (F.crc32(F.coalesce(source, F.lit(""))) % 3).cast("string"))
+    """The domain of a source: the tables have none, so three are dealt out by a hash of the name."""
+    digit = F.conv(F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 1), 16, 10).cast("int")
+    return F.concat(F.lit("domain"), (digit % 3).cast("string"))
 
 
 @query
