@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 LEVELS = ("domain", "lang", "source")
 RANGE_DIGITS = 3  # hex digits of the order hash that name a range
+SALTS = 32
 
 
 def fill(nodes: DataFrame, family: list[str], name: str) -> DataFrame:
@@ -73,9 +74,13 @@ def budgets(leaves: DataFrame, budget: float, epochs: int, power: float = 0.7, w
 def mix(docs: DataFrame, n_tokens: Column, domain: Column, share: float = 1.0, epochs: int = 2, power: float = 0.7, seed: int = 17, weights: DataFrame | None = None) -> DataFrame:
     """docs with domain, n_tokens and epochs, how often each row is taken (0: not).
 
-    The whole budget is `share` of all tokens.
+    The whole budget is `share` of all tokens. Columns of docs with these names are replaced.
     """
-    at = [F.coalesce(c, F.lit("")) for c in (domain, F.col("lang"), F.col("source"))]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "domain", "n_tokens", "epochs")]
+    packed = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
+    docs = docs.select("doc_id", "text", *(c.alias(p) for c, p in zip((domain, F.col("lang"), F.col("source"), n_tokens), ("_0", "_1", "_2", "_3"), strict=True)), packed.alias("_rest"))
+    domain, n_tokens = F.col("_0"), F.col("_3")
+    at = [F.coalesce(c, F.lit("")) for c in (domain, F.col("_1"), F.col("_2"))]
     path = [f"_{c}" for c in LEVELS]
     rows = docs.withColumns({**dict(zip(path, at, strict=True)), "n_tokens": n_tokens.cast("long")})
     leaves = rows.groupBy(*(F.col(p).alias(c) for p, c in zip(path, LEVELS, strict=True))).agg(F.sum("n_tokens").alias("tokens"))
@@ -85,8 +90,9 @@ def mix(docs: DataFrame, n_tokens: Column, domain: Column, share: float = 1.0, e
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-12)).otherwise(0)
     given = given.withColumn("whole", whole.cast("long")).withColumn("rest", F.floor(F.col("budget") - F.col("whole") * F.col("tokens") + 1e-6).cast("long"))
     given = given.select(*(F.col(c).alias(p) for c, p in zip(LEVELS, path, strict=True)), "whole", "rest")
-    # One row per leaf; what is joined is small beside the documents, and Spark measures it.
-    rows = rows.join(given, path)
+    # One row per leaf, repeated for each salt, so that a hot leaf's documents are dealt to many tasks.
+    given = given.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.hash("doc_id", "text"), F.lit(SALTS))).join(given, [*path, "_salt"]).drop("_salt")
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
     sums = rows.groupBy(*path, "rest", "_range").agg(F.sum("n_tokens").alias("_sum"))
@@ -100,4 +106,4 @@ def mix(docs: DataFrame, n_tokens: Column, domain: Column, share: float = 1.0, e
     settled = rows.where(~inside).withColumn("_until", F.col("_upto"))
     out = edge.unionByName(settled)
     taken = F.col("whole") + F.when(F.col("_until") <= F.col("rest"), 1).otherwise(0)
-    return out.select(*docs.columns, F.col("_domain").alias("domain"), "n_tokens", taken.cast("int").alias("epochs"))
+    return out.select("doc_id", "text", *(F.col("_rest").getField(c).alias(c) for c in rest), F.col("_domain").alias("domain"), "n_tokens", taken.cast("int").alias("epochs"))
