@@ -21,10 +21,10 @@ def split_by_keys(df: DataFrame, keys: DataFrame, key: str = "doc_id") -> tuple[
     bitmap only lets more rows through, which a join has to sort out afterwards.
     """
     slot = _slot(F.col(key))
-    bits = keys.select(F.shiftright(slot, _PER_ROW).alias("_row"), slot.bitwiseAND((1 << _PER_ROW) - 1).alias("_bit"))
-    bits = bits.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bits = keys.select(F.shiftright(slot, _PER_ROW).alias("_bitmap_row"), slot.bitwiseAND((1 << _PER_ROW) - 1).alias("_bitmap_at"))
+    bits = bits.groupBy("_bitmap_row").agg(F.bitmap_construct_agg("_bitmap_at").alias("_bitmap"))
     at = slot.bitwiseAND((1 << _PER_ROW) - 1)
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), at.bitwiseAND(7)).cast("int")) > 0, F.lit(False))
-    joined = df.join(F.broadcast(bits), F.shiftright(slot, _PER_ROW) == F.col("_row"), "left").withColumn("_hit", hit)
-    return joined.where("_hit").select(*df.columns), joined.where("NOT _hit").select(*df.columns)
+    joined = df.join(F.broadcast(bits), F.shiftright(slot, _PER_ROW) == F.col("_bitmap_row"), "left").withColumn("_bitmap_hit", hit)
+    return joined.where("_bitmap_hit").select(*df.columns), joined.where("NOT _bitmap_hit").select(*df.columns)

@@ -216,12 +216,13 @@ def search(blocks: DataFrame, length: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][:3] != row[:3]:
                     own = sum(len(x[-1]) + 1 for x in group)
-                    if ready and size + own > BLOCK:
+                    # Pairs of parts of one minimiser have stretches in common, so they stay apart.
+                    if ready and (size + own > BLOCK or ready[-1][0] == group[0][0]):
                         yield flush(ready)
                         ready, size = [], 0
                     ready, size, group = ready + group, size + own, []
                 group.append(row)
-        if sum(len(x[-1]) + 1 for x in group) + size > BLOCK and ready:
+        if ready and (sum(len(x[-1]) + 1 for x in group) + size > BLOCK or ready[-1][0] == group[0][0]):
             yield flush(ready)
             ready = []
         if ready or group:
@@ -280,34 +281,40 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
-    """The rows of docs with spans, the maximal byte ranges to remove, and kept, the bytes that stay."""
-    own = docs.withColumn("th", F.hash("text"))
+    """The rows of docs with spans, the maximal byte ranges to remove, and kept, the bytes that stay.
+
+    Columns of docs that are called spans or kept are replaced.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "spans", "kept")]
+    packed = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
+    own = docs.select("doc_id", "text", packed.alias("rest"), F.hash("text").alias("th"))
     marks = materialise(find(own.select("doc_id", "th", "text"), length), "marks")
     struck, clean = split_by_keys(own, marks.select("doc_id"))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    clean = clean.drop("th").withColumns({"spans": none, "kept": raw})
-    by_doc = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    by_doc = by_doc.withColumnsRenamed({"doc_id": "d", "th": "h"})
-    struck = struck.join(by_doc, struck["doc_id"].eqNullSafe(by_doc["d"]) & (struck["th"] == by_doc["h"]), "left").drop("d", "h", "th")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    clean = clean.select("doc_id", "text", "rest", none.alias("spans"), raw.alias("kept"))
+    by_doc = marks.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    struck = struck.join(by_doc, struck["doc_id"].eqNullSafe(by_doc["d"]) & (struck["th"] == by_doc["h"]), "left").select("doc_id", "text", "rest", "ranges")
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, rest {own.schema['rest'].dataType.simpleString()}"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept = [], []
-            for t, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            for t, ranges in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data, at, own, left = (t or "").encode(), 0, merged([(r["start"], r["end"]) for r in ranges or []]), []
                 for a, b in own:
                     left.append(data[at:a])
                     at = b
                 kept.append(b"".join([*left, data[at:]]))
                 spans.append([{"start": a, "end": b} for a, b in own])
-            cols = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "ranges"]
-            names = [name for name in batch.schema.names if name != "ranges"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, span), pa.array(kept, pa.binary())], [*names, "spans", "kept"])
+            cols = [*batch.columns[:3], pa.array(spans, span), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "rest", "spans", "kept"])
 
-    return clean.unionByName(struck.mapInArrow(run, f"{kinds}, spans array<struct<start:int,end:int>>, kept binary"))
+    cut = struck.mapInArrow(run, f"{kinds}, spans array<struct<start:int,end:int>>, kept binary")
+    out = clean.unionByName(cut)
+    named = {"doc_id": F.col("doc_id"), "text": F.col("text"), **{c: F.col("rest").getField(c).alias(c) for c in rest}}
+    return out.select(*(named[c] for c in docs.columns if c in named), "spans", "kept")
 
 
 def as_text(kept: Column) -> Column:
