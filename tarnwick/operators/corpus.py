@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as X
 from tarnwick.functions.fingerprint import digest
+from tarnwick.session import spread
 
 
 def segments(docs: DataFrame, separator: str = "\n\n", key: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -118,7 +119,7 @@ def evidence_routes(candidates: DataFrame, docs: DataFrame, leads: int = 5) -> D
         .unionByName(wanted.select("candidate_id", F.lit(1).alias("tier"), F.lit(1).alias("of"), F.explode("other").alias("term")))
     )
     vocabulary = asked.select("term").distinct()
-    split = docs.select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    split = spread(docs.select("doc_id", "text")).select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     sizes = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
     at = split.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
     counts = at.join(vocabulary, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
@@ -150,7 +151,7 @@ def concordance(entities: DataFrame, docs: DataFrame) -> DataFrame:
     terms = entities.select("entity_id", "alias_order", X.tokens(F.col("alias")).alias("a")).where(F.size("a") > 0)
     terms = terms.select("entity_id", "alias_order", F.size("a").alias("k"), F.array_join("a", " ").alias("run"))
     lengths = sorted(r.k for r in terms.select("k").distinct().collect())  # as many as aliases have lengths
-    split = docs.select("doc_id", "source", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    split = spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     of = lambda k: F.when(F.size("t") >= k, F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i: F.array_join(F.slice("t", i, k), " ")))
     runs = F.array_distinct(F.flatten(F.filter(F.array(*map(of, lengths)), lambda r: r.isNotNull()))) if lengths else F.array().cast("array<string>")
     hits = split.select("doc_id", "source", F.explode(runs).alias("run")).join(terms, "run")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as X
+from tarnwick.session import materialise, spread
 
 
 def tokenised(docs: DataFrame, tokens: Callable[[Column], Column] = X.words, text: str = "text") -> DataFrame:
@@ -23,7 +24,7 @@ def tokenised(docs: DataFrame, tokens: Callable[[Column], Column] = X.words, tex
 
 def postings(docs: DataFrame, tokens: Callable[[Column], Column] = X.words) -> DataFrame:
     """(term, doc_id, tf, positions) of docs (doc_id, text)."""
-    at = docs.select("doc_id", F.posexplode(tokens(F.coalesce("text", F.lit("")))).alias("pos", "term"))
+    at = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(tokens(F.coalesce("text", F.lit("")))).alias("pos", "term"))
     return at.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
@@ -34,7 +35,7 @@ def dictionary(index: DataFrame) -> DataFrame:
 
 def term_dictionary(docs: DataFrame, tokens: Callable[[Column], Column] = X.words) -> DataFrame:
     """The dictionary without positions: counted per document first, so few rows are shuffled."""
-    at = docs.select("doc_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    at = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term"))
     return dictionary(at.groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
 
 
@@ -49,20 +50,30 @@ def split_query(query: str, pattern: str = r"[^\W_]+(?:['’.-][^\W_]+)*") -> li
 
 
 def _term_stats(docs: DataFrame, terms: Sequence[str], tokens: Callable[[Column], Column]) -> DataFrame:
-    """docs with `tf`, a struct of counts by term number, and `phrase`, how often all stand in order."""
-    df = docs.withColumn("_t", tokens(F.coalesce("text", F.lit(""))))
-    # one pass over the tokens keeps those of the query with their places
-    hits = F.filter(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(*set(terms)))
-    df = df.withColumn("_len", F.size("_t")).withColumn("_h", hits).drop("_t")
-    places = lambda t: F.transform(F.filter("_h", lambda x: x["t"] == t), lambda x: x["i"])
+    """docs without text, with `_len`, the places `_p<k>` of each distinct term and `_starts` of the phrase.
+
+    Texts are split once: what is kept of them is written, so that statistics and scores both
+    read a few numbers for each document.
+    """
     unique = list(dict.fromkeys(terms))
+    df = spread(docs).withColumn("_t", tokens(F.coalesce("text", F.lit(""))))
+    numbered = F.transform("_t", lambda t, i: F.when(t.isin(*unique), F.concat_ws(" ", i.cast("string"), t)))
+    df = df.select(*(c for c in docs.columns if c != "text"), F.size("_t").alias("_len"), F.filter(numbered, lambda x: x.isNotNull()).alias("_h"))
+    df = materialise(df, "hits")
+    places = lambda t: F.transform(F.filter("_h", lambda x: F.substring_index(x, " ", -1) == t), lambda x: F.substring_index(x, " ", 1).cast("int"))
     for k, t in enumerate(unique):
         df = df.withColumn(f"_p{k}", places(t))
     number = {t: k for k, t in enumerate(unique)}
-    starts = F.filter(F.col(f"_p{number[terms[0]]}"), lambda s: _all(F.array_contains(F.col(f"_p{number[t]}"), s + i) for i, t in enumerate(terms[1:], 1)))
+    starts = F.col(f"_p{number[terms[0]]}")
+    for i, t in enumerate(terms[1:], 1):  # by hash, so in proportion to the places
+        starts = F.array_intersect(starts, _shifted(F.col(f"_p{number[t]}"), i))
     return df.withColumn("_starts", starts).drop("_h")
 
 
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -71,7 +82,7 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 def tfidf(docs: DataFrame, query: str, mode: str = "all", limit: int = 20, order: Sequence[str] = ("doc_id",), filters: Column | None = None) -> DataFrame:
-    """Best matches with score, matched_terms and matched_positions.
+    """Best matches (docs without text) with score, matched_terms and matched_positions.
 
     Score: sum of idf (1 + ln tf) over present terms, idf = ln((N + 1) / (df + 1)) + 1; where the
     query stands as a phrase 4 + ln(times + 1) besides, in every mode; and the share of terms present.
@@ -97,12 +108,12 @@ def tfidf(docs: DataFrame, query: str, mode: str = "all", limit: int = 20, order
     score = score + hits / len(unique)
     positions = F.array_sort(F.array_distinct(F.concat(*(F.col(f"_p{k}") for k in range(len(unique))), F.col("_starts"))))
     matched = F.array_sort(F.filter(F.array(*(F.when(p, F.lit(t)) for p, t in zip(present, unique, strict=True))), lambda t: t.isNotNull()))
-    out = df.select(*docs.columns, F.round(score, 8).alias("score"), matched.alias("matched_terms"), positions.alias("matched_positions"))
+    out = df.select(*(c for c in docs.columns if c != "text"), F.round(score, 8).alias("score"), matched.alias("matched_terms"), positions.alias("matched_positions"))
     return out.orderBy(F.desc("score"), *order).limit(limit)
 
 
 def bm25(docs: DataFrame, query: str, mode: str = "all", limit: int = 20, order: Sequence[str] = ("doc_id",), filters: Column | None = None, tokens: Callable[[Column], Column] = X.tokens) -> DataFrame:
-    """Best matches with rank, which is negative: smaller is better.
+    """Best matches (docs without text) with rank, which is negative: smaller is better.
 
     Okapi with k1 = 1.2 and b = 0.75; idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; in mode
     `phrase` the phrase is one term.
@@ -123,7 +134,7 @@ def bm25(docs: DataFrame, query: str, mode: str = "all", limit: int = 20, order:
     for t in tf:
         idf = F.greatest(F.log((F.col("_n") - F.col(f"_n{t}") + 0.5) / (F.col(f"_n{t}") + 0.5)), F.lit(1e-6))
         rank = rank - idf * (F.col(t) * 2.2) / (F.col(t) + 1.2 * (0.25 + 0.75 * F.col("_len") / F.col("_avg")))
-    return df.select(*docs.columns, F.round(rank, 6).alias("rank")).orderBy("rank", *order).limit(limit)
+    return df.select(*(c for c in docs.columns if c != "text"), F.round(rank, 6).alias("rank")).orderBy("rank", *order).limit(limit)
 
 
 def verify_index(index: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:

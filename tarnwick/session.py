@@ -58,3 +58,12 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/tarnwick-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly where the scan has fewer tasks than there are cores.
+
+    That is so for small files only; a table of many splits is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
