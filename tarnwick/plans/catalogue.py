@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import fingerprint as P
 from tarnwick.functions import text as X
-from tarnwick.operators import corpus, graph, ledger, recall, rules, search
+from tarnwick.functions import web
+from tarnwick.operators import canon, corpus, dossier, graph, ledger, recall, review, rules, search, validate
 from tarnwick.session import table
+from tarnwick.sources import adapters, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -747,3 +749,202 @@ def json_props(spark, d):
 @query(r"""SELECT doc_id, lower(left(trim(regexp_replace(regexp_replace(lower(left(source || ' ' || lang || ' ' || CAST(doc_id AS VARCHAR), 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 72)) AS slug FROM documents""")
 def slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", X.slug(F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string"))).alias("slug"))
+
+
+# Dossiers, admissions, reviews, validation.
+
+_REFS_SQL = """refs AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'reject-off-topic' WHEN quality = 0 THEN 'defer-insufficient-identity' ELSE 'admit' END AS outcome,
+ CASE WHEN doc_id % 5 = 0 THEN 'discussion-provenance' WHEN doc_id % 7 = 0 THEN 'scholarly-analogue' ELSE 'primary' END AS authority FROM labels),
+st AS (SELECT doc_id, CASE WHEN outcome = 'reject-off-topic' THEN 'rejected' WHEN outcome = 'defer-insufficient-identity' THEN 'deferred' WHEN authority = 'discussion-provenance' THEN 'provenance-only'
+ WHEN authority = 'scholarly-analogue' THEN 'constraint-only' ELSE 'supporting-only' END AS standing FROM refs)"""
+
+
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    la = table(spark, d, "labels")
+    outcome = F.when(F.col("toxic") == 1, "reject-off-topic").when(F.col("quality") == 0, "defer-insufficient-identity").otherwise("admit")
+    authority = F.when(F.col("doc_id") % 5 == 0, "discussion-provenance").when(F.col("doc_id") % 7 == 0, "scholarly-analogue").otherwise("primary")
+    return la.select("doc_id", dossier.standing(outcome, authority).alias("standing"))
+
+
+@query(f"WITH {_REFS_SQL} SELECT standing, count(*) AS n FROM (SELECT standing FROM st UNION ALL SELECT 'unreviewed' FROM documents) GROUP BY 1")
+def standing_counts(spark, d):
+    return dossier.standing_counts(_references(spark, d), table(spark, d, "documents").select(F.lit("unreviewed").alias("standing")))
+
+
+@query(f"""WITH {_REFS_SQL}, q AS (SELECT source, count(DISTINCT lang) AS c, count(*) FILTER (n_chars > 4000) AS p, count(*) FILTER (n_chars > 9000) AS u, count(standing) AS s,
+ count(*) FILTER (standing IN ('rejected', 'deferred')) AS x, count(*) FILTER (doc_id % 100 = 0) AS r, bool_or(n_chars < 60) AS g1, bool_or(n_chars > 20000) AS g2 FROM documents LEFT JOIN st USING (doc_id) GROUP BY 1),
+a AS (SELECT source, unnest(list_filter([CASE WHEN c > 1 THEN 'split-continuity' END, CASE WHEN p = 0 THEN 'search-private-edition' END, CASE WHEN u > 0 THEN 'review-exact-locator' END, CASE WHEN x > 0 THEN 'inspect-disposition' END,
+ CASE WHEN s = 0 THEN 'acquire-public-record' END, CASE WHEN r > 0 THEN 'reconcile-candidate' END, CASE WHEN g1 OR g2 THEN 'close-gap' END, CASE WHEN g1 THEN 'resolve-edition' END, CASE WHEN g2 THEN 'review-structured-observation' END], lambda v: v IS NOT NULL)) AS v FROM q)
+SELECT source, string_agg(DISTINCT v, ',' ORDER BY v) AS actions FROM a GROUP BY 1""")
+def next_actions(spark, d):
+    q = table(spark, d, "documents").join(_references(spark, d), "doc_id", "left").groupBy("source").agg(
+        F.countDistinct("lang").alias("c"), F.count_if(F.col("n_chars") > 4000).alias("p"), F.count_if(F.col("n_chars") > 9000).alias("u"), F.count("standing").alias("s"),
+        F.count_if(F.col("standing").isin("rejected", "deferred")).alias("x"), F.count_if(F.col("doc_id") % 100 == 0).alias("r"), F.max(F.col("n_chars") < 60).alias("g1"), F.max(F.col("n_chars") > 20000).alias("g2"),
+    )
+    gaps = F.filter(F.array(F.when(F.col("g1"), "edition-unresolved"), F.when(F.col("g2"), "structured-review-required")), lambda x: x.isNotNull())
+    return q.select("source", F.array_join(dossier.next_actions(*(F.col(x) for x in "cpusxr"), gaps), ",").alias("actions"))
+
+
+@query(f"""WITH {_REFS_SQL}, g AS (SELECT doc_id FROM documents WHERE n_chars > 3000), c AS (SELECT doc_id FROM g WHERE doc_id % 3 = 0), l AS (SELECT doc_id FROM g WHERE doc_id % 4 = 0)
+SELECT 'uncovered-gap' AS code, 'error' AS severity, CAST(doc_id AS VARCHAR) AS subject, '' AS detail FROM g WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0
+UNION ALL SELECT 'gap-both-closed-and-limited', 'error', CAST(doc_id AS VARCHAR), '' FROM g WHERE doc_id % 12 = 0
+UNION ALL SELECT 'uncovered-disposition', 'error', CAST(doc_id AS VARCHAR), '' FROM st WHERE standing IN ('rejected', 'deferred') AND doc_id % 2 = 1""")
+def answer_coverage(spark, d):
+    g = table(spark, d, "documents").where("n_chars > 3000").select(F.col("doc_id").alias("gap_id"))
+    refs = _references(spark, d).withColumnRenamed("doc_id", "reference_id")
+    return dossier.coverage_findings(g, g.where("gap_id % 3 = 0"), g.where("gap_id % 4 = 0"), refs, refs.where("reference_id % 2 = 0").select("reference_id"))
+
+
+@query("""WITH c AS (SELECT conv_id, string_agg(text || ' [s' || conv_id || ':' || turn || ']', chr(10) || chr(10) ORDER BY turn, text) AS b FROM conversations WHERE role = 'assistant' GROUP BY 1),
+l AS (SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn, text) AS x FROM conversations WHERE role = 'system' GROUP BY 1)
+SELECT conv_id AS answer_id, sha256(b || CASE WHEN x IS NOT NULL THEN chr(10) || chr(10) || 'Limits:' || chr(10) || x ELSE '' END) AS digest FROM c LEFT JOIN l USING (conv_id)""")
+def render_answers(spark, d):
+    c = table(spark, d, "conversations")
+    claims = c.where("role = 'assistant'").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("ord"), "text", F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("source_id"), F.array(F.col("turn").cast("string")).alias("locator_ids"))
+    limits = c.where("role = 'system'").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("ord"), "text")
+    return dossier.render_answers(claims, limits).select("answer_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH r AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE n_chars < 2000), c AS (SELECT doc_id, unnest(p) AS text, unnest(range(len(p))) AS part FROM r)
+SELECT CAST(doc_id AS VARCHAR) || '#' || (part + 1) AS candidate_id, CAST(part AS INT) AS part, 'sha256:' || sha256(text) AS digest FROM c""")
+def split_candidates(spark, d):
+    records = table(spark, d, "documents").where("n_chars < 2000").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("statement"), F.split("text", "\n").alias("parts"))
+    return review.split_candidates(records).select("candidate_id", "part", "digest")
+
+
+_INTAKE_SQL = """i AS (SELECT doc_id AS intake_id, sha256(CAST(doc_id AS VARCHAR)) AS digest, CASE WHEN doc_id % 9 = 0 THEN ' reviewer ' ELSE 'Ann ' || lang END AS reviewer, CASE WHEN doc_id % 11 = 0 THEN 'ann ' || lang ELSE 'Bob' END AS actor,
+ CASE WHEN doc_id % 6 = 0 THEN 'confirm' WHEN doc_id % 6 = 1 THEN 'correct' WHEN doc_id % 6 = 2 THEN 'split' WHEN doc_id % 6 = 3 THEN 'merge' WHEN doc_id % 6 = 4 THEN 'reject' ELSE 'defer' END AS action FROM documents),
+c AS (SELECT doc_id AS candidate_id, CASE WHEN quality = 0 THEN 'x' ELSE sha256(CAST(doc_id AS VARCHAR)) END AS digest FROM labels)"""
+
+
+def _intakes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    sha = F.sha2(n.cast("string"), 256)
+    action = F.element_at(F.array(*map(F.lit, ("confirm", "correct", "split", "merge", "reject", "defer"))), (n % 6 + 1).cast("int"))
+    reviewer, actor = F.when(n % 9 == 0, " reviewer ").otherwise(F.concat(F.lit("Ann "), "lang")), F.when(n % 11 == 0, F.concat(F.lit("ann "), "lang")).otherwise("Bob")
+    intakes = docs.select(n.alias("intake_id"), n.alias("candidate_id"), sha.alias("digest"), reviewer.alias("reviewer"), actor.alias("actor"), action.alias("action"))
+    return intakes, table(spark, d, "labels").select(n.alias("candidate_id"), F.when(F.col("quality") == 0, "x").otherwise(sha).alias("digest"))
+
+
+@query(f"""WITH {_INTAKE_SQL}, b AS (SELECT i.*, c.digest AS d FROM i LEFT JOIN c ON candidate_id = intake_id)
+SELECT 'unknown-candidate' AS code, 'error' AS severity, CAST(intake_id AS VARCHAR) AS subject, '' AS detail FROM b WHERE d IS NULL UNION ALL SELECT 'digest-drift', 'error', CAST(intake_id AS VARCHAR), '' FROM b WHERE d <> digest
+UNION ALL SELECT 'unnamed-reviewer', 'error', CAST(intake_id AS VARCHAR), '' FROM b WHERE lower(trim(reviewer)) = 'reviewer' UNION ALL SELECT 'actor-is-reviewer', 'error', CAST(intake_id AS VARCHAR), '' FROM b WHERE lower(trim(actor)) = lower(trim(reviewer))""")
+def intake_findings(spark, d):
+    return review.intake_findings(*_intakes(spark, d))
+
+
+@query(f"""WITH {_INTAKE_SQL}, ok AS (SELECT i.* FROM i JOIN c ON candidate_id = intake_id AND c.digest = i.digest WHERE lower(trim(reviewer)) <> 'reviewer' AND lower(trim(actor)) <> lower(trim(reviewer)))
+SELECT intake_id AS candidate_id, action, unnest(CASE WHEN action IN ('confirm', 'correct', 'split') THEN ['proposition', 'evidence-edge'] WHEN action = 'reject' THEN ['disposition'] WHEN action = 'defer' THEN ['review-hold'] ELSE ['merge-hold'] END) AS draft FROM ok""")
+def projection_plan(spark, d):
+    return review.projection_plan(review.stage(*_intakes(spark, d))).select("candidate_id", "action", "draft")
+
+
+@query("""SELECT source, batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT source, doc_id, ntile(3) OVER (PARTITION BY source ORDER BY doc_id) AS batch FROM documents) GROUP BY 1, 2""")
+def review_batches(spark, d):
+    b = review.batches(table(spark, d, "documents").select("source", "doc_id"), 3, "doc_id", "source")
+    return b.groupBy("source", F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("""SELECT 'causal-order' AS code, 'error' AS severity, CAST(e.event_id AS VARCHAR) AS subject, CAST(p.event_id AS VARCHAR) AS detail
+FROM events e JOIN events p ON p.event_id = (e.event_id * 7 + 3) % 997 WHERE e.event_id % 3 = 0 AND p.event_id >= e.event_id""")
+def causal_order(spark, d):
+    e = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("event_id").alias("sequence"), F.when(F.col("event_id") % 3 == 0, F.array((F.col("event_id") * 7 + 3) % 997)).otherwise(F.array().cast("array<bigint>")).alias("causal_parent_event_ids")
+    )
+    return validate.causal_order(e)
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, p_brand AS g, p_size FROM part), s AS (SELECT id, g, p_size FROM c WHERE id % 50 = 0)
+SELECT 'group-cardinality' AS code, 'error' AS severity, g AS subject, CAST(n AS VARCHAR) AS detail FROM (SELECT b.g, count(s.id) AS n FROM (SELECT DISTINCT g FROM c) b LEFT JOIN s USING (g) GROUP BY 1) WHERE n <> 1
+UNION ALL SELECT 'missing-required-option', 'error', CAST(id AS VARCHAR), CAST(id - 50 AS VARCHAR) FROM s WHERE p_size < 10 AND id - 50 NOT IN (SELECT id FROM s)
+UNION ALL SELECT 'conflicting-option', 'error', CAST(id AS VARCHAR), CAST(id - 100 AS VARCHAR) FROM s WHERE p_size > 40 AND id - 100 IN (SELECT id FROM s)""")
+def decision_findings(spark, d):
+    p, none = table(spark, d, "part"), F.array().cast("array<bigint>")
+    options = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("group_id"), F.when(F.col("p_size") < 10, F.array(F.col("p_partkey") - 50)).otherwise(none).alias("requires_option_ids"), F.when(F.col("p_size") > 40, F.array(F.col("p_partkey") - 100)).otherwise(none).alias("conflicts_with_option_ids"))
+    groups = p.select(F.col("p_brand").alias("id")).distinct().withColumn("selection", F.lit("exactly-one"))
+    return validate.decision_findings(groups, options, options.where("id % 50 = 0").select("id"))
+
+
+@query(r"""SELECT page_id, regexp_matches(url, '^https://[^/?#@]*\.example\.org(/en/[^?#]*)') AND NOT contains(url, '#') AS allowed FROM pages""")
+def endpoint_allowed(spark, d):
+    host = F.try_parse_url("url", F.lit("HOST"))
+    ok = web.endpoint_allowed(F.regexp_replace("url", r"^(https?)://[^/?#@]*\.example\.org", "$1://api.example.org"), "api.example.org", r"^/en/")
+    return table(spark, d, "pages").select("page_id", F.coalesce(ok & host.endswith(".example.org"), F.lit(False)).alias("allowed"))
+
+
+# The fold, and adapters over payloads made of table rows.
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CAST(CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE -1 END * round(value) AS BIGINT) AS delta FROM events),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(100 AS BIGINT) AS gold, CAST(0 AS BIGINT) AS done FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT f.user_id, e.i, CASE WHEN gold + delta BETWEEN 0 AND 500 THEN gold + delta ELSE gold END, done + CASE WHEN gold + delta BETWEEN 0 AND 500 THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS branch_id, CAST(arg_max(gold, i) AS DOUBLE) AS gold, max(done) AS completed, max(i) - max(done) AS rolled_back FROM f GROUP BY 1""")
+def state_fold(spark, d):
+    """Each user's events as a branch: a bounded balance, where an event that would leave the bounds is rolled back."""
+    sign = F.when(F.col("event_type").isin("purchase", "click"), 1).otherwise(-1)
+    delta = (sign * F.round("value")).cast("long")
+    event = F.struct(
+        F.format_string("e%012d", "event_id").alias("id"), F.col("event_id").alias("sequence"), F.lit(True).alias("enabledByDefault"), F.array(F.lit("m")).alias("continuityIds"), F.struct(F.lit(0).alias("earliest"), F.lit(0).alias("latest")).alias("time"),
+        F.struct(F.array(F.struct(F.lit("gold").alias("variableId"), delta.alias("delta"))).alias("variableDeltas")).alias("effects"),
+    )
+    variable = F.struct(F.lit("gold").alias("id"), F.lit(100).alias("initialValue"), F.lit(0).alias("minimum"), F.lit(500).alias("maximum"), F.lit(True).alias("integer"), F.array(F.lit("m")).alias("continuityIds"))
+    world = F.struct(F.array(F.struct(F.lit("m").alias("id"), F.array().cast("array<string>").alias("inheritsFromIds"))).alias("continuities"), F.array(variable).alias("stateVariables"), F.col("events"))
+    users = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("branch_id")).agg(F.collect_list(event).alias("events"), F.count("*").alias("n"))
+    branches = users.select("branch_id", F.to_json(world).alias("bible"), F.lit('{"id":"d","targetContinuityId":"m"}').alias("decisions"), F.lit("[]").alias("extra_events"))
+    out = canon.compile_branches(branches)
+    failed = F.size(F.filter("findings", lambda f: f["severity"] == "error"))
+    return out.select("branch_id", F.col("variables")["gold"].alias("gold"), F.size("completed").cast("long").alias("completed"), failed.cast("long").alias("rolled_back"))
+
+
+@query("""SELECT p_partkey AS request_id, 'catalogue:/works/OL' || p_partkey || 'W' AS source_record_id, p_name AS title, 'https://openlibrary.org/works/OL' || p_partkey || 'W' AS canonical_uri FROM part WHERE p_size <> 7""")
+def adapter_catalogue(spark, d):
+    doc = F.struct(F.when(F.col("p_size") != 7, F.concat(F.lit("/works/OL"), F.col("p_partkey").cast("string"), F.lit("W"))).alias("key"), F.col("p_name").alias("title"), F.array("p_brand").alias("publisher"), F.lit("not kept").alias("description"))
+    payloads = table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), F.to_json(F.struct(F.array(doc).alias("docs"))).alias("payload"))
+    good, _ = adapters.normalise(payloads, "catalogue")
+    return good.select("request_id", "source_record_id", "title", "canonical_uri")
+
+
+@query("""SELECT o_orderkey AS request_id, 'doi:10.1000/' || o_orderkey AS source_record_id, 'Order ' || o_orderstatus AS title, printf('%04d-%02d-01', year(o_orderdate), month(o_orderdate)) AS published_at FROM orders WHERE o_orderkey % 10 = 0""")
+def adapter_works(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    item = F.struct(
+        F.concat(F.lit("10.1000/"), F.col("o_orderkey").cast("string")).alias("DOI"), F.array(F.concat(F.lit("Order "), "o_orderstatus")).alias("title"), F.lit("not kept").alias("abstract"),
+        F.struct(F.array(F.array(F.year("o_orderdate"), F.month("o_orderdate"))).alias("date-parts")).alias("published"),
+    )
+    payloads = o.select(F.col("o_orderkey").alias("request_id"), F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("message"))).alias("payload"))
+    good, _ = adapters.normalise(payloads, "works")
+    return good.select("request_id", "source_record_id", "title", "published_at")
+
+
+@query("""SELECT c_custkey AS request_id, c_name AS title, 'http://www.wikidata.org/entity/Q' || c_custkey AS canonical_uri, 'item,itemLabel' AS variables FROM customer""")
+def adapter_sparql(spark, d):
+    cell = lambda c: F.struct(F.lit("literal").alias("type"), c.alias("value"))
+    row = F.struct(cell(F.concat(F.lit("http://www.wikidata.org/entity/Q"), F.col("c_custkey").cast("string"))).alias("item"), cell(F.col("c_name")).alias("itemLabel"), cell(F.lit("x")).alias("contactPhone"))
+    payloads = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.to_json(F.struct(F.struct(F.array(row).alias("bindings")).alias("results"))).alias("payload"))
+    good, _ = adapters.normalise(payloads, "sparql")
+    names = F.from_json(F.get_json_object("fields", "$.variables"), "array<string>")
+    return good.select("request_id", "title", "canonical_uri", F.array_join(names, ",").alias("variables"))
+
+
+@query("""SELECT s_suppkey AS request_id, 'wiki:page:' || s_suppkey || ':revision:' || (s_suppkey + 1) AS source_record_id, s_name AS title, 'https://w.example/' || s_suppkey || '?oldid=' || (s_suppkey + 1) AS canonical_uri FROM supplier WHERE s_suppkey % 9 <> 0""")
+def adapter_wiki(spark, d):
+    n = F.col("s_suppkey")
+    page = F.struct(
+        n.alias("pageid"), F.col("s_name").alias("title"), (n + 1).alias("lastrevid"), F.concat(F.lit("https://w.example/"), n.cast("string")).alias("fullurl"), F.when(n % 9 == 0, "").alias("missing"), F.array(F.struct(F.lit("File:x").alias("title"))).alias("links")
+    )
+    payloads = table(spark, d, "supplier").select(n.alias("request_id"), F.to_json(F.struct(F.struct(F.create_map(n.cast("string"), page).alias("pages")).alias("query"))).alias("payload"))
+    good, _ = adapters.normalise(payloads, "wiki")
+    return good.select("request_id", "source_record_id", "title", "canonical_uri")
+
+
+@query("""SELECT doc_id % 3 AS region, sha256(text) AS digest FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1""".replace("doc_id % 3 AS region, ", ""))
+def content_addressed(spark, d):
+    out = files.content_addressed(table(spark, d, "documents").select("text"), "text")
+    return out.select(F.substring("digest", 8, 64).alias("digest"))
+
+
+@query("""SELECT format, count(*) AS n, min(line) AS first FROM (SELECT 'markdown' AS format, '- **' || p_name || '** — ' || p_brand || '. CC0. <https://x.example/' || p_partkey || '>' AS line FROM part
+ UNION ALL SELECT 'json', '{"author":"' || p_brand || '","license":"CC0","source_uri":"https://x.example/' || p_partkey || '","title":"' || p_name || '"}' FROM part) GROUP BY 1""")
+def credit_lines(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.lit("CC0").alias("license"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("source_uri"))
+    return files.credits(rows).where("format <> 'bibtex'").groupBy("format").agg(F.count("*").alias("n"), F.min("line").alias("first"))
