@@ -21,8 +21,8 @@ def retry_after_ms(value: Column, now: Column) -> Column:
     seconds = F.trim(value).try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     until = (F.unix_millis(date) - F.unix_millis(now)).cast("double")
-    ms = F.when(seconds >= 0, F.ceil(seconds * 1000)).when(seconds.isNull(), F.greatest(until, F.lit(0.0)))
-    return F.least(F.lit(float(MOST_PAUSE)), ms).cast("long")
+    ms = F.when(seconds >= 0, F.ceil(seconds * 1000)).when(seconds.isNull() & until.isNotNull(), F.greatest(until, F.lit(0.0)))
+    return F.when(ms.isNotNull(), F.least(F.lit(float(MOST_PAUSE)), ms)).cast("long")
 
 
 def backoff_ms(attempt: Column, base: int = 1500) -> Column:
