@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tarnwick.operators import graph
 from tarnwick.operators.rules import duplicates, finding, missing_reference, union
@@ -60,7 +61,7 @@ def bible_findings(bible: Bible) -> DataFrame:
         if name in bible:
             try:
                 bad = bible[name].where(F.coalesce(wrong, F.lit(False)))
-            except Exception:  # noqa: BLE001  a column of the rule is absent
+            except AnalysisException:  # a column of the rule is absent
                 continue
             out.append(finding(bad, code, severity, F.col("id")))
     if "continuities" in bible:

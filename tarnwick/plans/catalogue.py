@@ -5,6 +5,7 @@ A query is a thin use of an operator on whole tables; the SQL is DuckDB's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from tarnwick.functions import fingerprint as P
 from tarnwick.functions import text as X
 from tarnwick.functions import web
 from tarnwick.operators import canon, corpus, dossier, graph, ledger, recall, review, rules, search, validate
-from tarnwick.session import table
+from tarnwick.session import shared_dir, table
 from tarnwick.sources import adapters, files
+from tarnwick.streaming import ledger as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -948,3 +950,23 @@ def content_addressed(spark, d):
 def credit_lines(spark, d):
     rows = table(spark, d, "part").select(F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.lit("CC0").alias("license"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("source_uri"))
     return files.credits(rows).where("format <> 'bibtex'").groupBy("format").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+
+
+# Streams: the ledger read as a stream into an idempotent sink, twice over.
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+def stream_ledger(spark, d):
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for run in ("a", "b"):  # a second run over the same files adds nothing
+        streams.append_once(streams.stream_events(spark, f"{d}/events.parquet*"), f"{at}/ledger", f"{at}/{run}").awaitTermination()
+    log = spark.read.parquet(f"{at}/ledger")
+    return log.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("""WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT start, event_type, n FROM w WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_windows(spark, d):
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    w = streams.windowed_counts(streams.stream_events(spark, f"{d}/events.parquet*"))
+    w.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

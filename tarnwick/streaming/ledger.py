@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +45,7 @@ def append_once(events: DataFrame, path: str, checkpoint: str, key: str = "event
         spark = batch.sparkSession
         try:
             old = spark.read.schema(batch.schema).parquet(path)
-        except Exception:  # noqa: BLE001  no ledger yet
+        except AnalysisException:  # no ledger yet
             old = spark.createDataFrame([], batch.schema)
         append_new(old, batch, key).write.mode("append").parquet(path)
 
