@@ -1,8 +1,10 @@
 """Every query of the catalogue against its SQL in DuckDB, on the smallest driver tables."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tarnwick.plans.catalogue import ORACLES, QUERIES
@@ -13,7 +15,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables
 
 
 def _rows(df):
-    text = lambda v: None if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    def text(v):
+        if pd.isna(v):
+            return None
+        return f"{float(v):.6g}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
     df = df[sorted(df.columns)]
     return list(df.columns), sorted((tuple(map(text, r)) for r in df.itertuples(index=False)), key=str)
 
