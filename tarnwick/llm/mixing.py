@@ -13,7 +13,7 @@ burden. DataFrame operations only.
 
 Defined cases: null path columns are nodes named ''; a null text has no tokens; a document
 without tokens costs nothing and is taken with its epoch's prefix; a family whose weights are
-all 0 takes nothing; rows with equal doc_id and text tie and stand together in the order;
+all 0 takes nothing; rows with equal doc_id and text tie and are taken together or not;
 an empty table gives no rows; further columns are kept.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.session import materialise
+
 LEVELS = ("domain", "lang", "source")
 RANGE_DIGITS = 3  # hex digits of the order hash that name a range
 SALTS = 32
@@ -80,30 +82,38 @@ def mix(docs: DataFrame, n_tokens: Column, domain: Column, share: float = 1.0, e
     packed = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
     docs = docs.select("doc_id", "text", *(c.alias(p) for c, p in zip((domain, F.col("lang"), F.col("source"), n_tokens), ("_0", "_1", "_2", "_3"), strict=True)), packed.alias("_rest"))
     domain, n_tokens = F.col("_0"), F.col("_3")
-    at = [F.coalesce(c, F.lit("")) for c in (domain, F.col("_1"), F.col("_2"))]
     path = [f"_{c}" for c in LEVELS]
-    rows = docs.withColumns({**dict(zip(path, at, strict=True)), "n_tokens": n_tokens.cast("long")})
-    leaves = rows.groupBy(*(F.col(p).alias(c) for p, c in zip(path, LEVELS, strict=True))).agg(F.sum("n_tokens").alias("tokens"))
-    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    at = [F.coalesce(c, F.lit("")) for c in (domain, F.col("_1"), F.col("_2"))]
+    docs = docs.withColumns(dict(zip(path, at, strict=True)))
+    # What decides is a few numbers for each row, so texts are read once for them and once for the result.
+    slim = materialise(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("_tie"), *path, n_tokens.cast("long").alias("n")), "slim")
+    leaves = slim.groupBy(*(F.col(p).alias(c) for p, c in zip(path, LEVELS, strict=True))).agg(F.sum("n").alias("tokens"))
+    total = slim.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     given = budgets(leaves, total * share, epochs, power, weights)
     # floor: a budget is never overdrawn by rounding
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-12)).otherwise(0)
     given = given.withColumn("whole", whole.cast("long")).withColumn("rest", F.floor(F.col("budget") - F.col("whole") * F.col("tokens") + 1e-6).cast("long"))
-    given = given.select(*(F.col(c).alias(p) for c, p in zip(LEVELS, path, strict=True)), "whole", "rest")
-    # One row per leaf, repeated for each salt, so that a hot leaf's documents are dealt to many tasks.
-    given = given.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.hash("doc_id", "text"), F.lit(SALTS))).join(given, [*path, "_salt"]).drop("_salt")
-    key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
-    sums = rows.groupBy(*path, "rest", "_range").agg(F.sum("n_tokens").alias("_sum"))
+    given = materialise(given.select(*(F.col(c).alias(p) for c, p in zip(LEVELS, path, strict=True)), "whole", "rest"), "leaves")
+
+    def order(tie: Column) -> Column:
+        """The place of a row in its leaf's epoch: a seeded hash, then the text's."""
+        name = F.concat_ws("/", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        return F.concat(F.md5(name), tie)
+
+    # One row per leaf, repeated for each salt, so that a hot leaf's rows are dealt to many tasks.
+    salted = given.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = slim.withColumn("_salt", F.pmod(F.hash("doc_id", "_tie"), F.lit(SALTS))).join(salted, [*path, "_salt"]).drop("_salt")
+    rows = rows.withColumn("_key", order(F.col("_tie"))).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+    sums = rows.groupBy(*path, "rest", "_range").agg(F.sum("n").alias("_sum"))
     upto = F.sum("_sum").over(W.partitionBy(*path).orderBy("_range").rowsBetween(W.unboundedPreceding, 0))
-    sums = sums.withColumn("_upto", upto).select(*path, "_range", (F.col("_upto") - F.col("_sum")).alias("_from"), "_upto")
-    rows = rows.join(sums, [*path, "_range"])
-    inside = (F.col("_from") <= F.col("rest")) & (F.col("rest") < F.col("_upto"))
-    edge = rows.where(inside)
-    order = W.partitionBy(*path, "_range").orderBy("_key", F.md5(F.coalesce("text", F.lit("")))).rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("_until", F.col("_from") + F.sum("n_tokens").over(order))
-    settled = rows.where(~inside).withColumn("_until", F.col("_upto"))
-    out = edge.unionByName(settled)
-    taken = F.col("whole") + F.when(F.col("_until") <= F.col("rest"), 1).otherwise(0)
-    return out.select("doc_id", "text", *(F.col("_rest").getField(c).alias(c) for c in rest), F.col("_domain").alias("domain"), "n_tokens", taken.cast("int").alias("epochs"))
+    edge = sums.withColumn("_upto", upto).where((F.col("_upto") > F.col("rest")) & (F.col("_upto") - F.col("_sum") <= F.col("rest")))
+    edge = edge.select(*path, "_range", (F.col("_upto") - F.col("_sum")).alias("_from"))
+    inside = rows.join(edge, [*path, "_range"])
+    until = F.col("_from") + F.sum("n").over(W.partitionBy(*path, "_range").orderBy("_key").rangeBetween(W.unboundedPreceding, 0))
+    # The first place that is not taken; none where all are.
+    cut = inside.withColumn("_until", until).where("_until > rest").groupBy(*path).agg(F.min("_key").alias("_cut"))
+    ends = materialise(given.join(cut, path, "left").select(*path, "whole", "_cut"), "ends")
+    # A row per leaf, of a size that Spark knows: it is broadcast if small, else joined by shuffle.
+    out = docs.join(ends, path).withColumn("_key", order(F.md5(F.coalesce("text", F.lit("")))))
+    taken = F.col("whole") + F.when(F.coalesce(F.col("_key") < F.col("_cut"), F.lit(True)), 1).otherwise(0)
+    return out.select("doc_id", "text", *(F.col("_rest").getField(c).alias(c) for c in rest), F.col("_domain").alias("domain"), n_tokens.cast("long").alias("n_tokens"), taken.cast("int").alias("epochs"))

@@ -76,7 +76,7 @@ g{k} AS (SELECT {path}, CASE WHEN full_ THEN cap WHEN weight > 0 THEN least(cap,
 {", ".join(ctes)},
 e AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens + 1e-12) AS BIGINT) ELSE 0 END AS whole, budget, tokens FROM g3),
 h AS (SELECT d.*, whole, CAST(floor(budget - whole * tokens + 1e-6) AS BIGINT) AS rest, md5('{seed}/' || whole || '/' || doc_id) AS key FROM d JOIN e USING (domain, lang, source)),
-i AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, md5(text) ROWS UNBOUNDED PRECEDING) AS until FROM h)
+i AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key || md5(text) RANGE UNBOUNDED PRECEDING) AS until FROM h)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN until <= rest THEN 1 ELSE 0 END AS INT) AS epochs FROM i"""
 
 
