@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Pre-tokens that a worker remembers before it starts anew.
-CACHE = 400_000
+CACHE = 250_000
 _loaded: dict[tuple[str, str], tuple] = {}
 
 
@@ -138,7 +138,7 @@ def _offsets(counts: np.ndarray) -> pa.Array:
     return pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
 
 
-def _runs(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _runs(sizes: list[int], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Rows from, to of about `most` characters or ids, which are worked on at a time."""
     at, total = 0, 0
     for i, n in enumerate(sizes):

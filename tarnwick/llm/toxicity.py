@@ -47,7 +47,7 @@ _of_word: dict[str, tuple[int, ...]] = {}
 
 def _hashed(word: str) -> tuple[int, ...]:
     if word not in _of_word:
-        if len(_of_word) > 500_000:
+        if len(_of_word) > 50_000:
             _of_word.clear()
         parts = [word, *(f"{word[:n]}\x00" for n in BEGINNINGS if len(word) >= n)]
         _of_word[word] = tuple(zlib.crc32(p.encode()) >> 32 - BITS for p in parts)
@@ -147,7 +147,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST, groups:
 
 
 def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
-    """The rows of docs with a further column `score`, 0 to 1."""
+    """The rows of docs with a column `score`, 0 to 1, which replaces one of that name."""
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
