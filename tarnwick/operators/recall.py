@@ -116,33 +116,34 @@ def merge_in_one_cluster(decisions: DataFrame, clusters: DataFrame) -> DataFrame
     return met.join(size, "decision_id").where("met = of").select("decision_id", "cluster_id")
 
 
+ACTIONS = ("confirm", "correct", "split", "merge", "reject", "defer")
+
+
 def reconcile(work: DataFrame, decisions: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: coverage and candidate lists by action; all empty if there is any error.
+    """One row: coverage, and candidates by action; all 0 if there is any error.
 
     work (candidate_id), decisions (decision_id, action, candidate_id).
     """
-    reviewed = decisions.join(work, "candidate_id", "left_semi")
-    by = reviewed.select("action", "candidate_id").distinct()
+    by = decisions.join(work, "candidate_id", "left_semi").select("action", "candidate_id").distinct()
     total = work.select("candidate_id").distinct().agg(F.count("*").alias("total"))
-    done = by.groupBy().agg(
+    done = by.agg(
         F.countDistinct("candidate_id").alias("reviewed"),
         F.countDistinct(F.when(F.col("action") != "defer", F.col("candidate_id"))).alias("resolved"),
-        *(F.array_sort(F.collect_set(F.when(F.col("action") == a, F.col("candidate_id")))).alias(f"{a}_ids") for a in ("confirm", "correct", "split", "merge", "reject", "defer")),
+        *(F.count_if(F.col("action") == a).alias(a) for a in ACTIONS),
     )
     errors = findings.agg(F.count_if(F.col("severity") == "error").alias("errors"))
-    # three rows of one: each side of these joins is a single row
+    # each side of these joins is a single row
     one = done.join(F.broadcast(total)).join(F.broadcast(errors))
     ok = F.col("errors") == 0
-    lists = [c for c in one.columns if c.endswith("_ids")]
-    empty = F.array().cast(one.schema[lists[0]].dataType)
-    return one.select(
-        ok.alias("passed"),
-        "total",
-        F.when(ok, F.col("reviewed")).otherwise(0).alias("reviewed"),
-        F.when(ok, ratio_permille(F.col("reviewed"), F.col("total"))).otherwise(0).alias("coverage_permille"),
-        F.when(ok, ratio_permille(F.col("resolved"), F.col("total"))).otherwise(0).alias("resolved_permille"),
-        *(F.when(ok, F.col(c)).otherwise(empty).alias(c) for c in lists),
-    )
+    gated = {"reviewed": F.col("reviewed"), "coverage_permille": ratio_permille(F.col("reviewed"), F.col("total")), "resolved_permille": ratio_permille(F.col("resolved"), F.col("total")), **{a: F.col(a) for a in ACTIONS}}
+    return one.select(ok.alias("passed"), "total", *(F.when(ok, c).otherwise(0).alias(n) for n, c in gated.items()))
+
+
+def reconciled(work: DataFrame, decisions: DataFrame, findings: DataFrame) -> DataFrame:
+    """(action, candidate_id) of the reviewed candidates; none if there is any error."""
+    by = decisions.join(work, "candidate_id", "left_semi").select("action", "candidate_id").distinct()
+    errors = findings.where("severity = 'error'").select(F.lit(1).alias("one")).limit(1)
+    return by.withColumn("one", F.lit(1)).join(F.broadcast(errors), "one", "left_anti").drop("one")
 
 
 #: action: (least and most candidates, least and most promoted records) (fixed values).

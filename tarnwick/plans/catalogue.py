@@ -708,7 +708,7 @@ def reconcile_receipt(spark, d):
     work = table(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"))
     dec = table(spark, d, "labels").select(F.col("doc_id").alias("decision_id"), F.when(F.col("quality") == 1, "confirm").otherwise("defer").alias("action"), F.col("doc_id").alias("candidate_id"))
     out = recall.reconcile(work, dec, recall.twice_decided(dec))
-    return out.select("passed", "total", "reviewed", "coverage_permille", "resolved_permille", F.size("confirm_ids").cast("long").alias("confirmed"), F.size("defer_ids").cast("long").alias("deferred"))
+    return out.select("passed", "total", "reviewed", "coverage_permille", "resolved_permille", F.col("confirm").alias("confirmed"), F.col("defer").alias("deferred"))
 
 
 # Fingerprints, contacts, JSON.

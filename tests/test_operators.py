@@ -93,10 +93,12 @@ def test_work_order_and_reconciliation(spark):
     d = spark.createDataFrame([("d1", "confirm", "c1"), ("d2", "defer", "c3")], "decision_id string, action string, candidate_id string")
     work = c.select(F.col("id").alias("candidate_id"))
     ok = recall.reconcile(work, d, recall.twice_decided(d)).first()
-    assert ok.passed and ok.coverage_permille == 666 and ok.resolved_permille == 333 and ok.confirm_ids == ["c1"] and ok.defer_ids == ["c3"]
+    assert ok.passed and ok.coverage_permille == 666 and ok.resolved_permille == 333 and ok.confirm == 1 and ok.defer == 1
+    assert {tuple(r) for r in recall.reconciled(work, d, recall.twice_decided(d)).collect()} == {("confirm", "c1"), ("defer", "c3")}
     twice = d.union(spark.createDataFrame([("d3", "reject", "c1")], d.schema))
     bad = recall.reconcile(work, twice, recall.twice_decided(twice)).first()
-    assert not bad.passed and bad.coverage_permille == 0 and bad.confirm_ids == []
+    assert not bad.passed and bad.coverage_permille == 0 and bad.confirm == 0
+    assert recall.reconciled(work, twice, recall.twice_decided(twice)).count() == 0
     shape = spark.createDataFrame([("d1", "merge", ["c1"], ["r"]), ("d2", "split", ["c1"], ["r", "s"]), ("d3", "drop", ["c1"], [])], "decision_id string, action string, candidate_ids array<string>, promoted_ids array<string>")
     assert {r.subject for r in recall.action_shape(shape).collect()} == {"d1", "d3"}
 
