@@ -182,3 +182,11 @@ def test_robots(spark):
     paths = spark.createDataFrame([(1, "bot", "/a/b"), (2, "bot", "/c"), (3, "x", "/a")], "path_id int, agent string, path string")
     r = spark.createDataFrame([("bot", "/a", False), ("bot", "/a/b", True), ("*", "/a", False), ("*", "/a", True)], "agent string, prefix string, allow boolean")
     assert {x.path_id: x.allowed for x in ledger.robots_allows(paths, r).collect()} == {1: True, 2: True, 3: True}
+
+
+def test_materialise_and_clean_up(spark):
+    from tarnwick import session
+
+    session.clean_up(spark)
+    df = session.materialise(spark.range(5))
+    assert df.count() == 5 and session.clean_up(spark) == 1 and session.clean_up(spark) == 0
