@@ -3,9 +3,9 @@
 Equal sets are one node. Each node's n-grams are put in one order for all, rare first (counts of
 frequent n-grams over all documents, in a table of bounded size; what is not in it is rare, ties
 go by hash), and only a prefix is joined: of the longer document as many as could hold the first
-common n-gram, of the shorter fewer. Candidates pass length and positional filters at the join,
-then a suffix filter, which bounds the overlap from counts of n-grams by hash range, and are
-verified once per pair on whole texts.
+common n-gram, of the shorter fewer. Candidates pass length and positional filters and a suffix
+filter, which bounds the overlap from counts of n-grams by hash range, and are verified once per
+pair on whole texts.
 
 A group of near copies would give pairs by the square of its size, so it is joined in two rounds:
 first each node with its prefix n-gram's hub (the node in which it stands first), one pair for
@@ -32,10 +32,10 @@ from tarnwick.llm.common import split_by_keys
 from tarnwick.session import materialise
 
 #: Entries of the table of frequent n-grams, and n-grams that are counted at a time for it.
-FREQUENT, COUNTED = 1 << 17, 2_000_000
-#: Hash ranges of the suffix filter.
-RANGES = 32
-CHUNK = 2 << 20
+FREQUENT, COUNTED = 1 << 17, 1_000_000
+#: Hash ranges of the suffix filter, whose counts are a byte each; a set with more than MOST_COUNT in one goes unfiltered.
+RANGES, MOST_COUNT = 128, 127
+CHUNK = 1 << 20
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 _TABLE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(41))
 _LOWER = bytes(range(256)).lower()
@@ -101,6 +101,11 @@ class Share:
     def sizes(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
+    def suffix_fits(self, p: Column, q: Column, a: Column, b: Column) -> Column:
+        """Whether the overlap can suffice: in each hash range it is at most the smaller count."""
+        most = F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        return F.coalesce(most >= self.overlap(a, b), F.lit(True))
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if not len(a) or not len(b):
             return False
@@ -127,7 +132,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 class _Seen:
     """Sets that this task has met lately; a set may be met again unnoticed, never the reverse."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.own, self.most = set(), most
 
     def new(self, key: tuple[int, int]) -> bool:
@@ -149,7 +154,7 @@ def measure(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             top = np.flatnonzero(count > 2)
             top = top[np.argsort(-count[top], kind="stable")[: FREQUENT // 2]]
-            cols = [pa.nulls(len(top), kind), pa.array(count[top], pa.int32()), pa.array(token[top].view(np.int64)), pa.nulls(len(top), pa.int64()), pa.nulls(len(top), pa.list_(pa.int32()))]
+            cols = [pa.nulls(len(top), kind), pa.array(count[top], pa.int32()), pa.array(token[top].view(np.int64)), pa.nulls(len(top), pa.int64()), pa.nulls(len(top), pa.list_(pa.int8()))]
             return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(top), True))], names)
 
         names = ["doc_id", "n", "c1", "c2", "ranges", "token"]
@@ -157,8 +162,8 @@ def measure(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             kind = batch.column(0).type
             sets = ngram_sets(texts, n)
             keys = [_digest(s) for s in sets]
-            counts = [np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(counts)))
+            counts = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=RANGES) for s in sets]
+            lists = pa.array([None if c.max() > MOST_COUNT else c.astype(np.int8) for c in counts], pa.list_(pa.int8()))
             cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), lists]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(sets), False))], names)
             for s, key in zip(sets, keys, strict=True):
@@ -172,7 +177,7 @@ def measure(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             yield frequent()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, c1 long, c2 long, ranges array<int>, token boolean")
+    both = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, c1 long, c2 long, ranges array<tinyint>, token boolean")
     both = materialise(both, "ngrams")
     return both.where("NOT token").drop("token"), both.where("token").select(F.col("c1").alias("token"), F.col("n").alias("count"))
 
@@ -263,7 +268,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, share: Share) -> DataFrame
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) of links (x, y): the least node reachable, by alternating stars.
+    """(node, component) of links (x, y), for each node but the least of its component, by alternating stars.
 
     Each round hangs neighbours on the least node around, first the greater then the smaller
     ones, until the edges stay as they are; hubs are met by partial aggregates and joins that
@@ -322,8 +327,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
         """Distinct pairs (x, y), x > y, of nodes, that pass the suffix filter."""
         one = lambda s: nodes.select(F.col("c1").alias(s), F.col("node").alias(f"node_{s}"), F.col("n").alias(f"size_{s}"), F.col("ranges").alias(f"ranges_{s}"))
         full = pairs.select("a", "b").distinct().join(one("a"), "a").join(one("b"), "b").where("node_a <> node_b")
-        most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, x: s + x)
-        full = full.where(most >= share.overlap(F.col("size_a"), F.col("size_b")))
+        full = full.where(share.suffix_fits(F.col("ranges_a"), F.col("ranges_b"), F.col("size_a"), F.col("size_b")))
         return full.select(F.greatest("node_a", "node_b").alias("x"), F.least("node_a", "node_b").alias("y"), F.col("node_b").alias("hub")).distinct()
 
     first = materialise(by_node(star.where(fits)), "pairs")
@@ -333,15 +337,19 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     with_hub = linked.join(first, ["x", "y"]).select("x", "y", "hub")
     member = with_hub.select(F.when(F.col("x") == F.col("hub"), F.col("y")).otherwise(F.col("x")).alias("node"), "hub")
     group = member.unionByName(member.select(F.col("hub").alias("node"), "hub")).groupBy("node").agg(F.min("hub").alias("group"))
-    grouped = nodes.select("c1", "node").join(group, "node", "left").select("c1", F.coalesce("group", "node").alias("group"))
-    left = shared.join(grouped.groupBy("c1").agg(F.min("group").alias("group")), "c1")
+    grouped = nodes.select("c1", "node").join(group, "node", "left").groupBy("c1").agg(F.min(F.coalesce("group", "node")).alias("group"))
+    left = shared.join(grouped, "c1")
     mixed = left.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
     left = materialise(left.join(mixed, "token"), "mixed")
+    # Only what is left of the rows carries its counts for the suffix filter.
+    counts = nodes.groupBy("c1").agg(F.when(F.count("*") == 1, F.first("ranges")).alias("ranges"))
+    left = left.join(counts, "c1")
     indexed = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den) - 1e-9) + 1
-    a = left.select("token", F.col("c1").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"))
-    b = left.where(indexed).select("token", F.col("c1").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("group").alias("gb"))
+    a = left.select("token", F.col("c1").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"), F.col("ranges").alias("ra"))
+    b = left.where(indexed).select("token", F.col("c1").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("group").alias("gb"), F.col("ranges").alias("rb"))
     longer = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
-    rest = a.join(b, (a["token"] == b["token"]) & (F.col("ga") != F.col("gb")) & longer & fits).select("a", "b")
+    suffix = share.suffix_fits(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))
+    rest = a.join(b, (a["token"] == b["token"]) & (F.col("ga") != F.col("gb")) & longer & fits & suffix).select("a", "b")
     rest = by_node(rest).select("x", "y").distinct().join(first.select("x", "y").distinct(), ["x", "y"], "left_anti")
     more = verify(materialise(rest, "pairs"), docs, n, share)
 
