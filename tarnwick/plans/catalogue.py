@@ -16,7 +16,7 @@ from tarnwick.functions import fingerprint as P
 from tarnwick.functions import text as X
 from tarnwick.functions import web
 from tarnwick.operators import canon, corpus, dossier, graph, ledger, recall, review, rules, search, validate
-from tarnwick.session import shared_dir, table
+from tarnwick.session import shared_dir, table, workers_see_package
 from tarnwick.sources import adapters, files
 from tarnwick.streaming import ledger as streams
 
@@ -27,10 +27,14 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_see_package(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
-        return f
+        return run
 
     return keep
 
