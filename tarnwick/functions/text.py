@@ -22,7 +22,8 @@ QUERY_TOKEN = r"(?U)[\w’']+"
 ENTITIES = {"apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"', "amp": "&"}
 #: Words that routing ignores (fixed values).
 ROUTE_STOP = (
-    "the a an of and or is are to in as for with from by after before be becoming not model recall conversation book show mechanism function state rule question decision endpoint event"
+    "the a an of and or is are to in as for with from by after before be becoming not model recall conversation book show mechanism function state rule question decision endpoint event "
+    "relation knowledge claim legal holds requires preserves binds remains becomes"
 ).split()
 
 

@@ -56,6 +56,7 @@ def plain_text_units(docs: DataFrame) -> DataFrame:
 
 
 def provenance_class(source: Column, publisher: Column) -> Column:
+    """Class of an edition by source id and publisher (fixed values)."""
     name = F.coalesce(publisher, F.lit(""))
     return (
         F.when((source == "local-adwd") & F.lower(name).contains("epub bud"), "holder-supplied-converted-edition")

@@ -68,11 +68,16 @@ def render_answers(claims: DataFrame, limitations: DataFrame) -> DataFrame:
     return out.select("answer_id", F.concat("body", F.when(F.col("limits").isNotNull(), F.concat(F.lit("\n\nLimits:\n"), "limits")).otherwise("")).alias("text"))
 
 
-#: outcome: (effect that evidence must have, reasons that go with it).
 Matrix = dict[str, tuple[str, tuple[str, ...]]]
+#: outcome: (effect that evidence must have, reasons that go with it) (fixed values).
+ADMISSION: Matrix = {
+    "admit-to-review": ("supports-admission", ("exact-identity-and-question-match", "bounded-relevant-metadata")),
+    "reject-off-topic": ("supports-rejection", ("off-topic-query-collision", "continuity-mismatch", "unsupported-question-lane")),
+    "defer-insufficient-identity": ("unresolved", ("insufficient-work-identity", "insufficient-question-relevance")),
+}
 
 
-def admission_findings(admissions: DataFrame, matrix: Matrix) -> DataFrame:
+def admission_findings(admissions: DataFrame, matrix: Matrix = ADMISSION) -> DataFrame:
     """Findings of admissions (admission_id, outcome, reason, rationale, reviewed_by, reviewed_at, lanes, digests, evidence<effect, value, note>)."""
     i = F.col("admission_id")
     fits, effect = F.lit(False), F.lit(False)

@@ -11,7 +11,7 @@ from tarnwick.functions.fingerprint import fnv1a32, ratio_permille
 from tarnwick.operators import graph
 
 #: Domains that establish base vocabulary or state (fixed values).
-FOUNDATIONAL = ("characters", "geography", "timeline", "houses")
+FOUNDATIONAL = ("core-entities", "lineage-claims", "chronology-geography", "actor-knowledge")
 
 
 def query(
@@ -146,22 +146,29 @@ def reconciled(work: DataFrame, decisions: DataFrame, findings: DataFrame) -> Da
     return by.withColumn("one", F.lit(1)).join(F.broadcast(errors), "one", "left_anti").drop("one")
 
 
-#: action: (least and most candidates, least and most promoted records) (fixed values).
-SHAPES = {"confirm": (1, 1, 1, 1), "correct": (1, 1, 1, 1), "split": (1, 1, 2, None), "merge": (2, None, 1, 1), "reject": (1, None, 0, 0), "defer": (1, None, 0, 0)}
+#: action: (least and most candidates, of evidence, of promoted records) (fixed values).
+SHAPES = {
+    "confirm": ((1, 1), (1, None), (1, 1)),
+    "correct": ((1, 1), (1, None), (1, 1)),
+    "split": ((1, 1), (2, None), (2, None)),
+    "merge": ((2, None), (1, None), (1, 1)),
+    "reject": ((1, None), (1, None), (0, 0)),
+    "defer": ((1, None), (0, 0), (0, 0)),
+}
 
 
 def action_shape(decisions: DataFrame) -> DataFrame:
-    """Findings for decisions (decision_id, action, candidate_ids, promoted_ids) of the wrong shape."""
+    """Findings for decisions (decision_id, action, candidate_ids, evidence_ids, promoted_ids) of the wrong shape."""
     from tarnwick.operators.rules import finding
 
     bad = ~F.col("action").isin(list(SHAPES))
-    for a, (c0, c1, p0, p1) in SHAPES.items():
-        wrong = (F.size("candidate_ids") < c0) | (F.size("promoted_ids") < p0)
-        if c1 is not None:
-            wrong = wrong | (F.size("candidate_ids") > c1)
-        if p1 is not None:
-            wrong = wrong | (F.size("promoted_ids") > p1)
-        bad = bad | ((F.col("action") == a) & wrong)
+    for action, bounds in SHAPES.items():
+        wrong = F.lit(False)
+        for column, (low, high) in zip(("candidate_ids", "evidence_ids", "promoted_ids"), bounds, strict=True):
+            wrong = wrong | (F.size(column) < low)
+            if high is not None:
+                wrong = wrong | (F.size(column) > high)
+        bad = bad | ((F.col("action") == action) & wrong)
     return finding(decisions.where(bad), "action-shape", "error", F.col("decision_id"), F.col("action"))
 
 

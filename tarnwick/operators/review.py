@@ -13,7 +13,7 @@ from tarnwick.functions.fingerprint import digest
 from tarnwick.operators.rules import finding, union
 
 #: Names that are nobody's (fixed values).
-NOBODY = ("anonymous", "unknown", "reviewer", "human", "user", "admin", "test", "n/a", "none", "todo")
+NOBODY = ("reviewer", "human", "user", "anonymous", "test")
 
 
 def named_reviewer(name: Column) -> Column:

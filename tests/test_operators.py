@@ -84,7 +84,7 @@ def test_graphs(spark):
 def test_work_order_and_reconciliation(spark):
     row = lambda i, dom, kind, conf, hints, keys: (i, dom, kind, i, "", conf, hints, keys, [])
     c = spark.createDataFrame(
-        [row("c1", "characters", "entity", 900, ["H"], ["k1"]), row("c2", "plot", "entity", 700, [], ["k1"]), row("c3", "plot", "question", 400, ["H"], ["k9"])],
+        [row("c1", "core-entities", "entity", 900, ["H"], ["k1"]), row("c2", "plot", "entity", 700, [], ["k1"]), row("c3", "plot", "question", 400, ["H"], ["k9"])],
         "id string, domain string, kind string, label string, summary string, confidence_permille int, source_hints array<string>, reconciliation_keys array<string>, tags array<string>",
     )
     items, clusters = recall.work_order(c, ["H"], 1)
@@ -99,8 +99,8 @@ def test_work_order_and_reconciliation(spark):
     bad = recall.reconcile(work, twice, recall.twice_decided(twice)).first()
     assert not bad.passed and bad.coverage_permille == 0 and bad.confirm == 0
     assert recall.reconciled(work, twice, recall.twice_decided(twice)).count() == 0
-    shape = spark.createDataFrame([("d1", "merge", ["c1"], ["r"]), ("d2", "split", ["c1"], ["r", "s"]), ("d3", "drop", ["c1"], [])], "decision_id string, action string, candidate_ids array<string>, promoted_ids array<string>")
-    assert {r.subject for r in recall.action_shape(shape).collect()} == {"d1", "d3"}
+    shape = spark.createDataFrame([("d1", "merge", ["c1"], ["e"], ["r"]), ("d2", "split", ["c1"], ["e", "f"], ["r", "s"]), ("d3", "drop", ["c1"], [], []), ("d4", "defer", ["c1"], ["e"], [])], "decision_id string, action string, candidate_ids array<string>, evidence_ids array<string>, promoted_ids array<string>")
+    assert {r.subject for r in recall.action_shape(shape).collect()} == {"d1", "d3", "d4"}
 
 
 def test_rules_order(spark):
