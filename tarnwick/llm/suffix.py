@@ -27,9 +27,9 @@ from tarnwick.llm.common import split_by_keys
 from tarnwick.session import materialise
 
 #: Bytes that are scanned at a time, and bytes of a block (below 2**20, see `suffix_array`).
-CHUNK, BLOCK = 1 << 20, 900_000
+CHUNK, BLOCK = 1 << 19, 300_000
 #: Distinct stretches of one minimiser in a part.
-PART = 500
+PART = 250
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 
