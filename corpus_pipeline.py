@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents.
+
+Defined cases: null and empty texts pass the first three stages, have no tokens in the fourth, and
+are taken there only with a prefix that they cost nothing of; rows with a null doc_id are linked
+with nothing and stay; of rows with one doc_id one stays; texts of any length are taken whole; an
+empty table gives empty results; further columns of documents are dropped.
 """
 
 from __future__ import annotations
