@@ -258,7 +258,12 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, share: Share) -> DataFrame
         for batch in batches:
             pairs_of = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
             texts = list({t for pair in pairs_of for t in pair})
-            sets = dict(zip(texts, ngram_sets([(t or "").encode() for t in texts], n), strict=True))
+            sets, at, size = {}, 0, 0
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size >= CHUNK or i == len(texts) - 1:
+                    sets.update(zip(texts[at : i + 1], ngram_sets([(x or "").encode() for x in texts[at : i + 1]], n), strict=True))
+                    at, size = i + 1, 0
             hit = [share.linked(sets[a], sets[b]) for a, b in pairs_of]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(hit, pa.bool_()))
 
