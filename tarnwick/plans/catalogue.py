@@ -814,7 +814,7 @@ def render_answers(spark, d):
 @query("""WITH r AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE n_chars < 2000), c AS (SELECT doc_id, unnest(p) AS text, unnest(range(len(p))) AS part FROM r)
 SELECT CAST(doc_id AS VARCHAR) || '#' || (part + 1) AS candidate_id, CAST(part AS INT) AS part, 'sha256:' || sha256(text) AS digest FROM c""")
 def split_candidates(spark, d):
-    records = table(spark, d, "documents").where("n_chars < 2000").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("statement"), F.split("text", "\n").alias("parts"))
+    records = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("statement"), F.split("text", "\n").alias("parts"))
     return review.split_candidates(records).select("candidate_id", "part", "digest")
 
 

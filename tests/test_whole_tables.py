@@ -14,6 +14,7 @@ CUTS = {
     "coverage_classify": (" WHERE l_partkey % 40 = 0", ""),
     "adapter_works": (" WHERE o_orderkey % 10 = 0", ""),
     "exclusive_group_conflict": ("WHERE event_id % 5 = 0 ", ""),
+    "split_candidates": (" WHERE n_chars < 2000", ""),
 }
 
 
