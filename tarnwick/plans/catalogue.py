@@ -56,14 +56,14 @@ def scan_filter_project(spark, d):
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """documents as candidates: source is the domain, lang the kind and the tag, size the confidence."""
+    """documents as candidates: source is the domain, lang the kind and the tag, size the confidence, the whole text the summary."""
     docs = table(spark, d, "documents")
     return docs.select(
         F.format_string("doc-%06d", "doc_id").alias("id"),
         F.col("source").alias("domain"),
         F.col("lang").alias("kind"),
         F.substring("text", 1, 40).alias("label"),
-        F.substring("text", 41, 120).alias("summary"),
+        F.col("text").alias("summary"),
         F.least("n_chars", F.lit(1000)).cast("int").alias("confidence_permille"),
         F.array("source").alias("source_hints"),
         F.array(F.concat("source", F.lit("-"), "lang")).alias("reconciliation_keys"),
@@ -262,7 +262,7 @@ def html_strip(spark, d):
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("candidate_id"), F.substring("text", 1, 60).alias("label"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("candidate_id"), F.col("text").alias("label"))
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in X.ROUTE_STOP)
@@ -725,7 +725,7 @@ def fingerprints(spark, d):
 
 @query(None)
 def fingerprint_fnv1a(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.fnv1a32(F.substring("text", 1, 200)).alias("fnv"))
+    return table(spark, d, "documents").select("doc_id", P.fnv1a32(F.col("text")).alias("fnv"))
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') OR regexp_matches(text, '(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}')

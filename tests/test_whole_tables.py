@@ -15,6 +15,9 @@ CUTS = {
     "adapter_works": (" WHERE o_orderkey % 10 = 0", ""),
     "exclusive_group_conflict": ("WHERE event_id % 5 = 0 ", ""),
     "split_candidates": (" WHERE n_chars < 2000", ""),
+    "recall_query": ("substr(text, 1, 40), substr(text, 41, 120)", "text"),
+    "evidence_routes_top5": ("substr(text, 1, 60)", "text"),
+    "evidence_status": ("substr(text, 1, 60)", "text"),
 }
 
 
@@ -57,3 +60,18 @@ def test_depths_over_all_lines(spark, lines):
     at, near = lines
     want = {s: k for s, k in walk(near, [s for s in near if s % 20 == 0]).items() if k <= 2}
     assert {r.node: r.depth for r in QUERIES["key_bfs_depth"](spark, at).collect()} == want and len(set(want.values())) == 3
+
+
+def fnv(text):
+    h, raw = 2166136261, text.encode("utf-16-be") + b"\0\x1f"
+    for i in range(0, len(raw), 2):
+        h = ((h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619) & 0xFFFFFFFF
+    return f"fnv1a32:{h:08x}"
+
+
+def test_fingerprints_of_whole_texts(spark, tmp_path):
+    same = "one beginning of é😀 " * 20
+    texts = {1: same + "a", 2: same + "b", 3: "short", 4: "", 5: "long " * 20_000, 6: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.fnv for r in QUERIES["fingerprint_fnv1a"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else fnv(t) for i, t in texts.items()} and len(set(got.values())) == 6
