@@ -3,7 +3,8 @@
 Hosts are judged by two personalised PageRanks over host edges: trust flows along links from
 hosts with allowed pages, distrust flows against links from hosts with blocked pages (who links
 to a bad host is suspect). A host's threshold is its own trust plus its fair share of all
-pages; distrust beyond it blocks the host. DataFrame operations only.
+pages; distrust beyond it blocks the host. Ranks are iterated until a round changes them by less
+than a thousandth of one page's share in sum. DataFrame operations only.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and no rule; a null
 html has no links; repeated rows are judged alike; empty tables give no rows; further columns
@@ -12,6 +13,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +53,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """Personalised PageRank (host, score) from seeds (host, seed); a host without out-links keeps its mass."""
+#: A round's summed change at which ranks are settled, as a part of one page's share of all pages.
+SETTLED = 1e-3
+#: Rounds between checkpoints and tests for convergence.
+STRIDE = 4
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Personalised PageRank (host, score) from seeds (host, seed); a host without out-links keeps its mass.
+
+    It goes on until a round's summed change is below `tolerance`, or for just `rounds` where these are given. A round
+    leaves at most `damping` of the last one's change, which bounds the rounds; RuntimeError if that does not hold.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("of"))
     steps = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("of")).alias("share"))
     nodes = (
@@ -63,21 +75,31 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         .agg(F.sum("seed").alias("seed"), F.max("linked").alias("linked"))
     )
     shared_dir(seeds.sparkSession)
-    nodes, steps = nodes.checkpoint(), steps.checkpoint()
+    nodes = nodes.checkpoint()
+    stays = nodes.where("linked = 0").select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
+    steps = steps.unionByName(stays).checkpoint()
     rank = nodes.select("host", F.col("seed").alias("score"))
-    for i in range(rounds):
+    most = rounds if rounds is not None else STRIDE + max(1, math.ceil(math.log(tolerance / 2) / math.log(damping)))
+    for i in range(1, most + 1):
         sent = rank.join(steps, rank["host"] == steps["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("got"))
-        stays = rank.join(nodes.where("linked = 0"), "host").select("host", F.col("score").alias("got"))
-        got = sent.unionByName(stays).groupBy("host").agg(F.sum("got").alias("got"))
-        rank = nodes.join(got, "host", "left").select(
+        got = sent.groupBy("host").agg(F.sum("got").alias("got"))
+        new = nodes.join(got, "host", "left").select(
             "host", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score")
         )
-        if i % 3 == 2 or i == rounds - 1:
-            rank = rank.checkpoint()
+        if i % STRIDE and i < most:
+            rank = new
+            continue
+        new = new.join(rank.withColumnRenamed("score", "was"), "host").checkpoint()
+        change = new.agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("x")).first()["x"] or 0.0
+        rank = new.select("host", "score")
+        if rounds is None and change < tolerance:
+            return rank
+    if rounds is None:
+        raise RuntimeError(f"ranks did not settle in {most} rounds")
     return rank
 
 
-def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html)."""
     url = F.col("url")
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -96,9 +118,10 @@ def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, rounds: int = 1
     if edges.isEmpty():
         trust, distrust = (seeds(c).withColumnRenamed("seed", "score") for c in ("trusted", "blocked"))
     else:
-        trust = propagate(seeds("trusted"), edges, damping, rounds)
+        tolerance = SETTLED / (total["pages"] or 1)
+        trust = propagate(seeds("trusted"), edges, damping, rounds, tolerance)
         turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-        distrust = propagate(seeds("blocked"), turned, damping, rounds)
+        distrust = propagate(seeds("blocked"), turned, damping, rounds, tolerance)
     fair = F.col("pages") / F.lit(float(total["pages"] or 1))
     bad = (
         hosts.join(trust.withColumnRenamed("score", "trust"), "host", "left")
