@@ -5,6 +5,12 @@ written here or by spark.read.format("binaryFile"). It checks every record (gzip
 version line, headers, lengths, block and payload digests); after a failed check it searches for the next
 member or version line that does pass, goes on there, and logs the bytes between as a gap.
 
+Inside a member of many records it goes on likewise at the next version line of the unpacked bytes;
+records and inner gaps have the member's offset and length, and an inner gap's reason names its
+unpacked bytes. Of a member that is cut short or whose checksum or compressed data is wrong, the
+records before the first that fails are kept (length: up to where unpacking ended) and the member
+is a gap. Where its data is wrong but no record fails, nothing tells which header is hurt, and none is kept.
+
 Defined cases for pages: a null html is an empty payload, a null url is written without a target
 URI; among equal payloads the largest page_id is the response (repeated rows of it each), null
 page_ids are smallest and are responses only where all are null; empty tables give no archives;
@@ -98,7 +104,7 @@ def write_archives(decided: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
 def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """End, headers and block of the plain record at `at`; ValueError if a check fails."""
     line = VERSION.match(data, at)
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    stop = data.find(b"\r\n\r\n", at)
     if not line or stop < 0:
         raise ValueError("no version line or no end of headers")
     headers = {}
@@ -129,44 +135,112 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _next(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
+#: Headers (None for a gap), block, and why it is a gap.
+Part = tuple[dict[str, str] | None, bytes, str]
+
+
+class Damaged(ValueError):
+    """A member that is cut short or hurt, with the place where unpacking ended and the records kept of it."""
+
+    def __init__(self, why: str, end: int, parts: list[Part]) -> None:
+        super().__init__(why)
+        self.end, self.parts = end, parts
+
+
+def _partly(data: bytes, at: int) -> tuple[int, bytes]:
+    """Where unpacking the member at `at` breaks off, and the bytes unpacked until there."""
+    unpack, out, step = zlib.decompressobj(31), [], 4096
+    while at < len(data):
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(data[at : at + step]))
+            at += step
+        except zlib.error:
+            if step == 1:
+                break
+            unpack, step = before, 1
+    return min(at, len(data)), b"".join(out)
+
+
+def _inside(plain: bytes) -> list[Part]:
+    """Records and gaps of a member's unpacked bytes."""
+    parts, at, gap, why = [], 0, None, ""
+    while at < len(plain):
+        try:
+            end, headers, block = _parse(plain, at)
+        except ValueError as e:
+            if gap is None:
+                gap, why = at, str(e)
+            found = VERSION.search(plain, at + 1)
+            at = found.start() if found else len(plain)
+            continue
+        if gap is not None:
+            parts.append((None, b"", f"unpacked bytes {gap} to {at}: {why}"))
+            gap = None
+        parts.append((headers, block, ""))
+        at = end
+    if gap is not None:
+        parts.append((None, b"", f"unpacked bytes {gap} to {len(plain)}: {why}"))
+    return parts
+
+
+def _before_damage(plain: bytes) -> tuple[list[Part], bool]:
+    """The records up to the first that fails, and whether one does."""
+    parts, at = [], 0
+    while at < len(plain):
+        try:
+            at, headers, block = _parse(plain, at)
+        except ValueError:
+            return parts, True
+        parts.append((headers, block, ""))
+    return parts, False
+
+
+def _next(data: bytes, at: int) -> tuple[int, list[Part]]:
     """End and records of the gzip member or plain record at `at`; ValueError if a check fails."""
     if data[at : at + 2] != b"\x1f\x8b":
         end, headers, block = _parse(data, at)
-        return end, [(headers, block)]
+        return end, [(headers, block, "")]
     unpack = zlib.decompressobj(31)
     try:
         plain = unpack.decompress(memoryview(data)[at:])
     except zlib.error as e:
-        raise ValueError(str(e)) from None
+        broke, plain = _partly(data, at)
+        parts, located = _before_damage(plain)
+        raise Damaged(str(e), broke, parts if located else []) from None
     if not unpack.eof:
-        raise ValueError("the member is cut short")
-    end, inner, found = len(data) - len(unpack.unused_data), 0, []
-    while inner < len(plain):
-        inner, headers, block = _parse(plain, inner)
-        found.append((headers, block))
-    if not found:
-        raise ValueError("an empty member")
-    return end, found
+        raise Damaged("the member is cut short", len(data), _before_damage(plain)[0])
+    parts = _inside(plain)
+    if not any(headers for headers, _, _ in parts):
+        raise ValueError(parts[0][2] if parts else "an empty member")
+    return len(data) - len(unpack.unused_data), parts
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
     """(offset, length, headers, block, reason): a record, or with headers None a quarantined gap."""
     at, gap, why = 0, None, ""
+    kept, until = [], 0  # of the last damaged member: its bytes can be stored as they are, and are searched again
     while at < len(data):
         try:
-            end, records = _next(data, at)
+            end, parts = _next(data, at)
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
+            if isinstance(e, Damaged):
+                for headers, block, reason in e.parts:
+                    yield at, e.end - at, headers, block, reason
+                kept, until = (e.parts, e.end) if e.parts else (kept, until)
             found = STARTS.search(data, at + 1)
             at = found.start() if found else len(data)
             continue
+        if end <= until and data[at : at + 2] != b"\x1f\x8b" and parts[0] in kept:
+            at = end
+            continue
         if gap is not None:
             yield gap, at - gap, None, b"", why
             gap = None
-        for headers, block in records:
-            yield at, end - at, headers, block, ""
+        for headers, block, reason in parts:
+            yield at, end - at, headers, block, reason
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", why

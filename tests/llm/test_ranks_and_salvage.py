@@ -1,5 +1,9 @@
 """Ranks of long link chains, and what salvage finds inside members of many records."""
 
+import random
+import zlib
+from urllib.parse import unquote
+
 import pytest
 
 from tarnwick.llm import urls, warc
@@ -20,3 +24,47 @@ def test_hosts_far_from_a_blocked_one(spark):
     pages += [(100 + i, f"http://calm{i}.io/", "") for i in range(47)]
     got = {r.host: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), (("net", "/", "block"),)).collect()}
     assert {got[h] for h in chain} == {"block"} and {v for h, v in got.items() if h not in chain} == {"allow"}
+
+
+def ids(data):
+    return [h["warc-record-id"][10:-1] if h else "gap" for _, _, h, _, _ in warc.salvage(data)]
+
+
+PLAIN = [warc.page_record(i, f"http://a/{i}", random.Random(i).randbytes(400), None, False) for i in range(6)]
+
+
+@pytest.mark.parametrize("i", [0, 3, 5])
+def test_a_bad_record_in_a_member_of_many(i):
+    bad = bytearray(PLAIN[i])
+    bad[-20] ^= 1
+    assert ids(warc.member(b"".join([*PLAIN[:i], bytes(bad), *PLAIN[i + 1 :]]))) == [str(k) if k != i else "gap" for k in range(6)]
+
+
+def test_a_member_of_many_that_is_cut_short():
+    whole = warc.member(b"".join(PLAIN))
+    assert ids(whole[:-60]) == [*"01234", "gap"]
+    assert ids(whole[:-60] + warc.member(PLAIN[5])) == [*"01234", "gap", "5"]
+
+
+def test_a_hurt_member_of_many():
+    hurt = bytearray(warc.member(b"".join(PLAIN)))
+    hurt[len(hurt) * 2 // 3] ^= 255
+    got = ids(bytes(hurt) + warc.member(PLAIN[5]))
+    assert got[-2:] == ["gap", "5"] and got[:-2] == list("01234"[: len(got) - 2]) and len(got) > 3
+    hurt = bytearray(warc.member(b"".join(PLAIN)))
+    hurt[-8] ^= 1  # the checksum itself: no record fails, so nothing tells what is hurt
+    assert ids(bytes(hurt)) == ["gap"]
+
+
+def test_a_stored_member_gives_records_once():
+    pack = zlib.compressobj(0, zlib.DEFLATED, 31)
+    whole = pack.compress(b"".join(PLAIN)) + pack.flush()
+    got = ids(whole[:-60])
+    assert [x for x in got if x != "gap"] == list("01234") and "gap" in got
+
+
+def test_a_very_long_url(spark):
+    url = "http://a/" + "é" * 200_000
+    pages = spark.createDataFrame([(1, url, "x")], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(warc.decide(pages))).where("kind <> 'warcinfo'").collect()
+    assert [(r.kind, r.record_id, unquote(r.target_uri)) for r in got] == [("response", "<urn:page:1>", url)]
