@@ -1,8 +1,9 @@
-"""Graph operators on edge tables, by iterated joins with a bounded number of rounds."""
+"""Graph operators on edge tables, by joins iterated until nothing new is found; RuntimeError after `most` rounds where given."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,14 @@ from pyspark.sql import functions as F
 from tarnwick.session import materialise
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
+def _rounds(most: int | None, what: str) -> Iterator[int]:
+    for n in count():
+        if most is not None and n >= most:
+            raise RuntimeError(f"{what} did not settle in {most} rounds")
+        yield n
+
+
+def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, node): every node reachable from each start (node), itself included.
 
     Cycles end by themselves, as only new pairs go on; unknown nodes are their own closure.
@@ -18,7 +26,7 @@ def closure(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
     step = edges.select(F.col("src"), F.col("dst")).distinct()
     reached = materialise(starts.select(F.col("node").alias("start"), F.col("node")).distinct(), "reach")
     front = reached
-    for _ in range(most):
+    for _ in _rounds(most, "closure"):
         nxt = front.join(step, front["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
         front = materialise(nxt.join(reached, ["start", "node"], "left_anti"), "front")
         if front.isEmpty():
@@ -27,12 +35,12 @@ def closure(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
     return reached
 
 
-def cycle_nodes(edges: DataFrame, most: int = 100) -> DataFrame:
+def cycle_nodes(edges: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes that lie on a cycle: what is left when nodes without way in or out are taken off until none is,
     and that reach themselves."""
     left = materialise(edges.select("src", "dst").distinct(), "cycle")
     size = left.count()
-    for _ in range(most):
+    for _ in _rounds(most, "cycle_nodes"):
         keep = left.select(F.col("src").alias("n")).intersect(left.select(F.col("dst").alias("n")))
         left = materialise(left.join(keep, left["src"] == keep["n"], "left_semi").join(keep, F.col("dst") == keep["n"], "left_semi"), "cycle")
         now = left.count()
@@ -87,19 +95,21 @@ def clusters(members: DataFrame) -> DataFrame:
     return components(edges, members.select("node").distinct())
 
 
-def shortest(edges: DataFrame, sources: DataFrame, held: Sequence[str] | None = None, most: int = 100) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, held: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     """(start, node, distance) from each of sources (node) over edges (src, dst, weight[, needs]).
 
     An edge counts only if all it needs is held. Distances are relaxed round by round until no
-    one falls, which weights of 0 or more make sure of.
+    one falls, which weights of 0 or more make sure of; ValueError if one is less.
     """
     usable = edges
     if "needs" in edges.columns:
         usable = edges.where(F.size(F.array_except(F.coalesce("needs", F.array().cast("array<string>")), F.lit(list(held or [])).cast("array<string>"))) == 0)
     step = usable.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
+    if not step.where("weight < 0").isEmpty():
+        raise ValueError("weights have to be 0 or more")
     best = materialise(sources.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("distance")).distinct(), "dist")
     front = best
-    for _ in range(most):
+    for _ in _rounds(most, "shortest"):
         tried = front.join(step, front["node"] == step["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
         front = tried.join(best, ["start", "node"], "left").where("distance IS NULL OR new < distance").select("start", "node", F.col("new").alias("distance"))
         front = materialise(front, "front")
