@@ -73,7 +73,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT id, domain, kind, confidence_permille FROM (
   SELECT printf('doc-%06d', doc_id) AS id, source AS domain, lang AS kind, CAST(least(n_chars, 1000) AS INT) AS confidence_permille,
-         lower(concat_ws(chr(10), printf('doc-%06d', doc_id), substr(text, 1, 40), substr(text, 41, 120), source || '-' || lang, lang)) AS hay FROM documents)
+         lower(concat_ws(chr(10), printf('doc-%06d', doc_id), substr(text, 1, 40), text, source || '-' || lang, lang)) AS hay FROM documents)
 WHERE domain IN ('src0', 'src1', 'src5') AND kind IN ('en', 'de') AND confidence_permille >= 300 AND contains(hay, 'the')""")
 def recall_query(spark, d):
     out = recall.query(candidates(spark, d), domains=["src0", "src1", "src5"], kinds=["en", "de"], least=300, text=" The ")
@@ -266,7 +266,7 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in X.ROUTE_STOP)
-_ROUTES_SQL = rf"""WITH c AS (SELECT item_id AS candidate_id, list_filter(regexp_extract_all(lower(replace(substr(text, 1, 60), '-', ' ')), '[a-z0-9]+(?:[''’][a-z0-9]+)?'),
+_ROUTES_SQL = rf"""WITH c AS (SELECT item_id AS candidate_id, list_filter(regexp_extract_all(lower(replace(text, '-', ' ')), '[a-z0-9]+(?:[''’][a-z0-9]+)?'),
   lambda t: length(t) > 1 AND NOT list_contains([{_STOP_SQL}], t)) AS t FROM benchmark),
 c1 AS (SELECT candidate_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM c), c2 AS (SELECT candidate_id, term, min(i) AS i FROM c1 GROUP BY 1, 2),
 own AS (SELECT candidate_id, term FROM c2 QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY i) <= 5),
@@ -444,7 +444,7 @@ def custody_parity(spark, d):
 
 
 @query("""SELECT 'exclusive-conflict' AS code, 'error' AS severity, CAST(user_id AS VARCHAR) AS subject, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS detail FROM events
-WHERE event_id % 5 = 0 GROUP BY user_id HAVING count(DISTINCT event_type) > 1""")
+GROUP BY user_id HAVING count(DISTINCT event_type) > 1""")
 def exclusive_group_conflict(spark, d):
     return rules.exclusive_groups(table(spark, d, "events"), "user_id", "event_type")
 
@@ -629,7 +629,7 @@ def continuity_cycles(spark, d):
     return graph.cycle_nodes(_nation_edges(spark, d).where(F.size("needs") > 0))
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS key FROM lineitem WHERE l_orderkey % 50 = 0),
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS key FROM lineitem),
 b AS (SELECT DISTINCT node, 0 AS depth FROM m WHERE node % 20 = 0 UNION SELECT y.node, b.depth + 1 FROM b JOIN m x ON x.node = b.node JOIN m y ON y.key = x.key WHERE b.depth < 2)
 SELECT node, min(depth) AS depth FROM b GROUP BY 1""")
 def key_bfs_depth(spark, d):
@@ -637,8 +637,8 @@ def key_bfs_depth(spark, d):
     return graph.bounded_bfs(m, m.where("node % 20 = 0").select("node"), 2)
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS key FROM lineitem WHERE l_orderkey % 60 = 0),
-e AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM m a JOIN m b USING (key)), c AS (SELECT node AS start, node FROM m UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src)
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS key FROM lineitem), h AS (SELECT node, min(node) OVER (PARTITION BY key) AS hub FROM m),
+e AS (SELECT node AS src, hub AS dst FROM h UNION SELECT hub, node FROM h), c AS (SELECT node AS start, node FROM m UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src)
 SELECT start AS node, min(node) AS component FROM c GROUP BY 1""")
 def connected_components(spark, d):
     m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("key")).distinct()
@@ -669,7 +669,7 @@ def cluster_rollup(spark, d):
     return clusters.select("component", F.size("candidate_ids").cast("long").alias("members"), "confidence_floor", F.array_join("keys", ",").alias("keys"))
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS p, l_suppkey AS key FROM lineitem WHERE l_partkey % 40 = 0), o AS (SELECT o_orderkey AS p, o_orderstatus = 'F' AS bad FROM orders),
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS p, l_suppkey AS key FROM lineitem), o AS (SELECT o_orderkey AS p, o_orderstatus = 'F' AS bad FROM orders),
 ok AS (SELECT p, key FROM c JOIN o USING (p) WHERE NOT bad), n AS (SELECT key, count(*) AS n FROM ok GROUP BY 1), l AS (SELECT p, min(n) AS least FROM ok JOIN n USING (key) GROUP BY 1)
 SELECT p AS proposal_id, CASE WHEN bad THEN 'contradicted' WHEN least = 1 THEN 'necessary' WHEN least > 1 THEN 'strongly-implied' ELSE 'permissible' END AS classification FROM o LEFT JOIN l USING (p)""")
 def coverage_classify(spark, d):
@@ -723,7 +723,8 @@ def fingerprints(spark, d):
     return table(spark, d, "documents").select("doc_id", P.digest(F.col("text")).alias("digest"), P.content_id("doc", F.col("text")).alias("content_id"))
 
 
-@query(None)
+@query("""WITH u AS (SELECT doc_id, text, list_concat(flatten(list_transform(string_split(text, ''), lambda x: CASE WHEN unicode(x) > 65535 THEN [55296 + ((unicode(x) - 65536) >> 10), 56320 + ((unicode(x) - 65536) & 1023)] ELSE [unicode(x)] END)), [31]) AS w FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN 'fnv1a32:' || lpad(lower(to_hex(list_reduce(list_prepend(2166136261, list_transform(w, lambda x: CAST(x AS BIGINT))), lambda a, x: CAST((xor(a, x) * 16777619) % 4294967296 AS BIGINT)))), 8, '0') END AS fnv FROM u""")
 def fingerprint_fnv1a(spark, d):
     return table(spark, d, "documents").select("doc_id", P.fnv1a32(F.col("text")).alias("fnv"))
 
@@ -811,7 +812,7 @@ def render_answers(spark, d):
     return dossier.render_answers(claims, limits).select("answer_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("""WITH r AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE n_chars < 2000), c AS (SELECT doc_id, unnest(p) AS text, unnest(range(len(p))) AS part FROM r)
+@query("""WITH r AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), c AS (SELECT doc_id, unnest(p) AS text, unnest(range(len(p))) AS part FROM r)
 SELECT CAST(doc_id AS VARCHAR) || '#' || (part + 1) AS candidate_id, CAST(part AS INT) AS part, 'sha256:' || sha256(text) AS digest FROM c""")
 def split_candidates(spark, d):
     records = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("statement"), F.split("text", "\n").alias("parts"))
@@ -910,7 +911,7 @@ def adapter_catalogue(spark, d):
     return good.select("request_id", "source_record_id", "title", "canonical_uri")
 
 
-@query("""SELECT o_orderkey AS request_id, 'doi:10.1000/' || o_orderkey AS source_record_id, 'Order ' || o_orderstatus AS title, printf('%04d-%02d-01', year(o_orderdate), month(o_orderdate)) AS published_at FROM orders WHERE o_orderkey % 10 = 0""")
+@query("""SELECT o_orderkey AS request_id, 'doi:10.1000/' || o_orderkey AS source_record_id, 'Order ' || o_orderstatus AS title, printf('%04d-%02d-01', year(o_orderdate), month(o_orderdate)) AS published_at FROM orders""")
 def adapter_works(spark, d):
     o = table(spark, d, "orders")
     item = F.struct(
