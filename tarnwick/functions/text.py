@@ -40,17 +40,33 @@ def strip_diacritics(s: pd.Series) -> pd.Series:
     return s.map(plain)
 
 
-def _plain_ascii(c: Column) -> Column:
-    return c.rlike(r"^[\x00-\x7f]*$")
+def _marks() -> tuple[str, str]:
+    """(characters, what stands for them): letters below U+2000 that are composed with marks, by their bases, then marks, by nothing."""
+    composed, plain, marks = [], [], []
+    for i in range(0xC0, 0x2000):
+        c = chr(i)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if not base:
+            marks.append(c)
+        elif base != c and len(base) == 1:
+            composed.append(c)
+            plain.append(base)
+    return "".join(composed + marks), "".join(plain)
+
+
+def fold(c: Column) -> Column:
+    """Lower case without diacritics, as the ranked index compares terms; built in, by one pass over the text."""
+    marked, plain = _marks()
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(F.lower(c), marked, plain)).otherwise(F.lower(c))
 
 
 def normalize_term(c: Column) -> Column:
-    """NFKC and lower case; texts that are ASCII have no need of the UDF's result."""
+    """NFKC and lower case."""
     return F.lower(nfkc(c))
 
 
 def fold_term(c: Column) -> Column:
-    """Lower case without diacritics, as the ranked index compares terms."""
+    """Lower case without diacritics by full decomposition: also of characters that `fold` has not."""
     return F.lower(strip_diacritics(c))
 
 
@@ -60,7 +76,7 @@ def words(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Tokens of the ranked index, lower case, in order; fold_term the text first to drop diacritics."""
+    """Tokens of the ranked index, lower case, in order; `fold` the text first to drop diacritics."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
@@ -182,6 +198,7 @@ def private_contact(c: Column) -> Column:
 
 
 def contact_key(c: Column) -> Column:
+    """Whether a key names a contact (fixed pattern)."""
     return c.rlike("(?i)email|phone|address|contact")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as X
 from tarnwick.functions.fingerprint import digest
-from tarnwick.session import spread
+from tarnwick.operators import search
+from tarnwick.session import materialise
 
 
 def segments(docs: DataFrame, separator: str = "\n\n", key: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -55,12 +56,13 @@ def plain_text_units(docs: DataFrame) -> DataFrame:
     return units.select("doc_id", order.alias("unit_order"), "label", "text", digest(F.col("text")).alias("text_digest"), X.word_count(F.col("text")).alias("word_count"))
 
 
-def provenance_class(source: Column, publisher: Column) -> Column:
-    """Class of an edition by source id and publisher (fixed values)."""
+def provenance_class(source: Column, publisher: Column, converted: Sequence[str] = (), collections: Sequence[str] = ()) -> Column:
+    """Class of an edition by source id and publisher; `converted` and `collections` name the sources that have
+    classes of their own: one whose publisher is a converter of files, and one that is a collection without publisher."""
     name = F.coalesce(publisher, F.lit(""))
     return (
-        F.when((source == "local-adwd") & F.lower(name).contains("epub bud"), "holder-supplied-converted-edition")
-        .when((source == "local-dunk-egg") & (name == ""), "holder-supplied-collection-weak-bibliographic-metadata")
+        F.when(source.isin(list(converted)) & F.lower(name).contains("epub bud"), "holder-supplied-converted-edition")
+        .when(source.isin(list(collections)) & (name == ""), "holder-supplied-collection-weak-bibliographic-metadata")
         .when(name != "", "holder-supplied-publisher-identified-edition")
         .otherwise("holder-supplied-edition")
     )
@@ -98,42 +100,66 @@ def global_order(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame
 
 # Evidence routing: queries of several kinds against the corpus, five leads for each.
 
-
-def route_terms(label: Column) -> Column:
-    """The words of a label that routing looks for, first five, each once."""
-    return F.slice(F.array_distinct(X.route_tokens(F.coalesce(label, F.lit("")))), 1, 5)
-
-
-def fallback_terms(label: Column) -> Column:
-    return F.slice(F.array_distinct(F.filter(X.route_tokens(F.coalesce(label, F.lit(""))), lambda t: F.length(t) >= 3)), 1, 6)
-
-
-def evidence_routes(candidates: DataFrame, docs: DataFrame, leads: int = 5) -> DataFrame:
-    """Leads (candidate_id, tier, doc_id, rank, place) for candidates (candidate_id, label).
-
-    Tier 0 has documents with all terms of the label, tier 1, where tier 0 found none, those with any of the fallback
-    terms. All candidates are answered by one join of their terms with the corpus's terms.
+#: Kinds whose keys make the query, and kinds that are facts of a story (fixed values).
+KEYED = ("event", "endpoint", "function", "knowledge", "state", "proposition", "decision", "event-chain")
+
+
+def route_units(kind: Column, label: Column, keys: Column, display: Column | None = None, ids: Column | None = None) -> Column:
+    """The phrases (array<array<string>>) that all have to be found for a candidate, by its kind."""
+    none = F.array().cast("array<string>")
+    whole = lambda c: F.regexp_extract_all(F.array_join(X.route_tokens(F.coalesce(c, F.lit(""))), " "), F.lit("[a-z0-9]+"), F.lit(0))
+    keys, ids = F.coalesce(keys, none), F.coalesce(ids, none) if ids is not None else none
+    named = F.filter(keys, lambda k: ~k.startswith("recall-") & ~k.startswith("conversation-"))
+    said = F.array(whole(label))
+    of_keys = lambda n: F.slice(F.filter(F.transform(named, whole), lambda u: F.size(u) > 0), 1, n)
+    three, two = of_keys(3), F.filter(F.transform(F.slice(named, 1, 2), whole), lambda u: F.size(u) > 0)
+    event = F.when(F.aggregate(three, F.lit(0), lambda n, u: n + F.size(u)) < 2, said).otherwise(three)
+    relation = F.when(F.size(ids) >= 2, F.transform(F.slice(ids, 1, 3), whole)).otherwise(said)
+    entity = F.array(whole(F.coalesce(F.nullif(display, F.lit("")), label) if display is not None else label))
+    units = F.when(kind == "entity", entity).when(kind == "relation", relation).when(kind.isin(list(KEYED)), event)
+    units = units.when((kind == "rule") & (F.size(named) > 0), two).otherwise(said)
+    units = F.slice(F.filter(units, lambda u: F.size(u) > 0), 1, 3)
+    # without any phrase, up to five words of the keys
+    bare = F.slice(F.array_distinct(F.flatten(F.transform(keys, lambda k: X.route_tokens(k)))), 1, 5)
+    return F.when(F.size(units) > 0, units).otherwise(F.transform(bare, lambda t: F.array(t)))
+
+
+def fallback_units(label: Column, keys: Column) -> Column:
+    """The words of which any may be found: of label and keys the first six of three letters or more, each once."""
+    of_keys = F.flatten(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: X.route_tokens(k)))
+    words = F.filter(F.concat(X.route_tokens(F.coalesce(label, F.lit(""))), of_keys), lambda t: F.length(t) >= 3)
+    return F.transform(F.slice(F.array_distinct(words), 1, 6), lambda t: F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def evidence_routes(candidates: DataFrame, index: search.Index, leads: int = 5, source: str = "source") -> DataFrame:
+    """Leads (candidate_id, tier, doc_id, rank, place) for candidates (candidate_id, units, fallback, sources).
+
+    Tier 0 has documents of the candidate's sources with all units, tier 1, asked only where tier 0
+    found none, those with any fallback unit. A unit that several candidates have is looked up once.
     """
-    wanted = candidates.select("candidate_id", route_terms(F.col("label")).alias("own"), fallback_terms(F.col("label")).alias("other"))
-    asked = (
-        wanted.select("candidate_id", F.lit(0).alias("tier"), F.size("own").alias("of"), F.explode("own").alias("term"))
-        .unionByName(wanted.select("candidate_id", F.lit(1).alias("tier"), F.lit(1).alias("of"), F.explode("other").alias("term")))
-    )
-    vocabulary = asked.select("term").distinct()
-    split = spread(docs.select("doc_id", "text")).select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    sizes = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    at = split.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    counts = at.join(vocabulary, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    scored = counts.join(frequency, "term").join(F.broadcast(sizes))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = -idf * (F.col("tf") * 2.2) / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    scored = scored.select("term", "doc_id", part.alias("part"))
-    found = asked.join(scored, "term").groupBy("candidate_id", "tier", "of", "doc_id").agg(F.round(F.sum("part"), 6).alias("rank"), F.count("*").alias("hits")).where("hits >= of")
-    tier = W.partitionBy("candidate_id")
-    found = found.withColumn("best", F.min("tier").over(tier)).where("tier = best")
-    place = F.row_number().over(tier.orderBy("rank", "doc_id"))
-    return found.withColumn("place", place).where(F.col("place") <= leads).select("candidate_id", "tier", "doc_id", "rank", "place")
+    asked = candidates.where(F.size("sources") > 0)
+    first = _leads(asked.select("candidate_id", "sources", F.array_distinct("units").alias("units")), index, True, leads, source)
+    first = materialise(first, "leads")
+    left = asked.join(first.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    second = _leads(left.select("candidate_id", "sources", F.array_distinct("fallback").alias("units")), index, False, leads, source)
+    tier = lambda df, n: df.select("candidate_id", F.lit(n).alias("tier"), "doc_id", "rank", "place")
+    return tier(first, 0).unionByName(tier(second, 1))
+
+
+def _leads(asked: DataFrame, index: search.Index, every: bool, leads: int, source: str) -> DataFrame:
+    each = asked.select("candidate_id", F.size("units").alias("of"), F.explode("units").alias("terms")).withColumn("unit", F.array_join("terms", " "))
+    hits = search.phrase_hits(index, each.select("unit", "terms").distinct())
+    hits = materialise(hits, "hits")
+    met = hits.groupBy("unit").agg(F.count("*").alias("met"))
+    part = search.okapi(F.col("tf"), F.col("len"), F.col("met"), F.col("n_docs"), F.col("avg_len"))
+    scored = hits.join(met, "unit").join(F.broadcast(index.stats)).select("unit", "doc_id", part.alias("part"))  # stats is one row
+    found = each.select("candidate_id", "of", "unit").join(scored, "unit")
+    found = found.groupBy("candidate_id", "of", "doc_id").agg(F.sum("part").alias("rank"), F.count("*").alias("n"))
+    found = found.where("n = of") if every else found
+    found = found.join(asked.select("candidate_id", "sources"), "candidate_id").join(index.documents.select("doc_id", F.col(source).alias("_source")), "doc_id")
+    found = found.where(F.array_contains("sources", F.col("_source"))).select("candidate_id", "doc_id", F.round("rank", 6).alias("rank"))
+    place = F.row_number().over(W.partitionBy("candidate_id").orderBy("rank", "doc_id"))
+    return found.withColumn("place", place).where(F.col("place") <= leads)
 
 
 def evidence_status(candidates: DataFrame, routes: DataFrame, has_source: Column) -> DataFrame:
@@ -143,20 +169,18 @@ def evidence_status(candidates: DataFrame, routes: DataFrame, has_source: Column
     return candidates.join(n, "candidate_id", "left").select("candidate_id", F.coalesce("leads", F.lit(0)).cast("long").alias("leads"), status.alias("status"))
 
 
-def concordance(entities: DataFrame, docs: DataFrame) -> DataFrame:
-    """For each entity and source the first alias that occurs: count and first document.
+def concordance(entities: DataFrame, index: search.Index, source: str = "source") -> DataFrame:
+    """For each entity and source the first alias that occurs: count of documents and first document.
 
-    entities (entity_id, alias_order, alias), docs (doc_id, source, text). Aliases are looked up as phrases:
-    runs of as many tokens as an alias has, joined on the run itself.
+    entities (entity_id, alias_order, alias); index of `folded` tokens with a column of sources.
+    Aliases are phrases, and equal ones are looked up once.
     """
-    terms = entities.select("entity_id", "alias_order", X.tokens(F.col("alias")).alias("a")).where(F.size("a") > 0)
-    terms = terms.select("entity_id", "alias_order", F.size("a").alias("k"), F.array_join("a", " ").alias("run"))
-    lengths = sorted(r.k for r in terms.select("k").distinct().collect())  # as many as aliases have lengths
-    split = spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    of = lambda k: F.when(F.size("t") >= k, F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i: F.array_join(F.slice("t", i, k), " ")))
-    runs = F.array_distinct(F.flatten(F.filter(F.array(*map(of, lengths)), lambda r: r.isNotNull()))) if lengths else F.array().cast("array<string>")
-    hits = split.select("doc_id", "source", F.explode(runs).alias("run")).join(terms, "run")
-    by_alias = hits.groupBy("entity_id", "source", "alias_order").agg(F.count("*").alias("occurrences"), F.min("doc_id").alias("first_doc_id"))
+    terms = entities.select("entity_id", "alias_order", X.tokens(X.fold(F.col("alias"))).alias("terms")).where(F.size("terms") > 0)
+    terms = terms.withColumn("unit", F.array_join("terms", " "))
+    hits = search.phrase_hits(index, terms.select("unit", "terms").distinct())
+    hits = hits.join(index.documents.select("doc_id", F.col(source).alias("source")), "doc_id")
+    of = hits.groupBy("unit", "source").agg(F.count("*").alias("occurrences"), F.min("doc_id").alias("first_doc_id"))
+    by_alias = terms.select("entity_id", "alias_order", "unit").join(of, "unit")
     first = F.min_by(F.struct("alias_order", "occurrences", "first_doc_id"), "alias_order")
     return by_alias.groupBy("entity_id", "source").agg(first.alias("f")).select("entity_id", "source", "f.*")
 

@@ -1,140 +1,285 @@
-"""Full-text search: a positional index, TF-IDF over it, and BM25.
+"""Full-text search over a stored index: TF-IDF with a phrase bonus, BM25, and many phrases at once.
 
-The index is two tables, postings (term, doc_id, tf, positions) and documents (doc_id, len).
-A query touches only its own terms' postings: the term list is a literal, so the filter is
-pushed to the scan of a stored index, and the statistics are one aggregate over few rows.
+The index is four tables: postings (term, doc_id, len, tf, positions, starts, ends), dictionary (term,
+document_frequency, total_frequency), documents (doc_id and further columns, no text) and stats (n_docs, avg_len:
+one row). Postings are clustered by term, so a query's literal terms are filters that the scan uses.
+
+Two tokenisers: `words` (inner apostrophes, dots and hyphens kept; NFKC and lower case) and `folded` (runs of
+letters and digits, lower case, without diacritics). A null text has no tokens; rows that share a doc_id are
+documents of their own in postings and are told apart nowhere else, so doc_id should be unique.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as X
-from tarnwick.session import materialise, spread
+from tarnwick.session import spread
+
+KINDS = ("words", "folded")
+
+
+class Index(NamedTuple):
+    postings: DataFrame
+    dictionary: DataFrame
+    documents: DataFrame
+    stats: DataFrame
+
+
+def tokenised(docs: DataFrame, kind: str = "words", text: str = "text") -> DataFrame:
+    """docs with `tokens`, the array of lower-case tokens in order (without NFKC, which only the index applies)."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn("tokens", X.words(c) if kind == "words" else X.tokens(X.fold(c)))
+
+
+def _found(docs: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, tok, upto): tokens of each row, and the texts from the end of one to the end of the next."""
+    if kind not in KINDS:
+        raise ValueError(f"no such tokeniser: {kind}")
+    c = F.coalesce("text", F.lit(""))
+    if kind == "folded":
+        return spread(docs.select("doc_id", "text")).select("doc_id", X.tokens(X.fold(c)).alias("tok"), F.array().cast("array<int>").alias("upto"))
+    each = rf"[^\p{{L}}\p{{N}}]*({X.WORD})"
+    upto = F.transform(F.regexp_extract_all(c, F.lit(each), F.lit(0)), F.length)
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.regexp_extract_all(c, F.lit(each), F.lit(1)).alias("tok"), upto.alias("upto"))
+
+
+class _Batch:
+    """The tokens of a batch of rows as arrays, grouped by row and term."""
+
+    def __init__(self, tok: pa.ListArray, normal: bool) -> None:
+        flat = tok.flatten().dictionary_encode()
+        self.raw, self.names, code = flat, flat.dictionary, np.asarray(flat.indices)
+        if normal:
+            again = pa.array([unicodedata.normalize("NFKC", t).lower() for t in self.names.to_pylist()], pa.string()).dictionary_encode()
+            self.names, code = again.dictionary, np.asarray(again.indices)[code] if len(code) else code
+        self.size = np.diff(np.asarray(tok.offsets))
+        self.row = np.repeat(np.arange(len(tok)), self.size)
+        self.first = np.cumsum(self.size) - self.size
+        self.pos = np.arange(len(code)) - np.repeat(self.first, self.size)
+        key = self.row * max(1, len(self.names)) + code
+        self.order = np.argsort(key, kind="stable")
+        key = key[self.order]
+        self.edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.tf = np.diff(np.append(self.edge, len(key)))
+        self.code = code[self.order][self.edge]
+        self.of = self.row[self.order][self.edge]
+
+    def lists(self, values: np.ndarray) -> pa.ListArray:
+        offsets = np.append(self.edge, len(self.order)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[self.order].astype(np.int32)))
+
+
+def postings(docs: DataFrame, kind: str = "words") -> DataFrame:
+    """(term, doc_id, len, tf, positions, starts, ends) of docs (doc_id, text); counted inside each row, so
+    nothing is shuffled. starts and ends are places in the text (code points), empty for `folded`."""
+    normal = kind == "words"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _Batch(batch.column(1), normal)
+            if not len(b.of):
+                continue
+            if normal:
+                end = np.cumsum(np.asarray(batch.column(2).flatten()))
+                end = end - np.repeat(np.append(0, end)[b.first], b.size)
+                start = end - np.asarray(pa.compute.utf8_length(b.raw.dictionary))[np.asarray(b.raw.indices)]
+                places = [b.lists(start), b.lists(end)]
+            else:
+                places = [pa.array([[]], pa.list_(pa.int32())).take(pa.array(np.zeros(len(b.of), np.int32)))] * 2
+            cols = [b.names.take(pa.array(b.code)), batch.column(0).take(pa.array(b.of)), pa.array(b.size[b.of], pa.int32()), pa.array(b.tf, pa.int64()), b.lists(b.pos), *places]
+            yield pa.RecordBatch.from_arrays(cols, ["term", "doc_id", "len", "tf", "positions", "starts", "ends"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return _found(docs, kind).mapInArrow(run, f"term string, doc_id {key}, len int, tf bigint, positions array<int>, starts array<int>, ends array<int>")
 
 
-def tokenised(docs: DataFrame, tokens: Callable[[Column], Column] = X.words, text: str = "text") -> DataFrame:
-    """docs with `tokens`, the array of lower-case tokens."""
-    return docs.withColumn("tokens", tokens(F.coalesce(F.col(text), F.lit(""))))
+def dictionary(index: DataFrame) -> DataFrame:
+    """(term, document_frequency, total_frequency) of postings."""
+    return index.groupBy("term").agg(F.count("*").alias("document_frequency"), F.sum("tf").alias("total_frequency"))
 
 
-def postings(docs: DataFrame, tokens: Callable[[Column], Column] = X.words) -> DataFrame:
-    """(term, doc_id, tf, positions) of docs (doc_id, text)."""
-    at = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(tokens(F.coalesce("text", F.lit("")))).alias("pos", "term"))
-    return at.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def term_dictionary(docs: DataFrame, kind: str = "words") -> DataFrame:
+    """The dictionary without postings: counted per batch of rows first, so few rows are shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _Batch(batch.column(0), kind == "words")
+            df = np.bincount(b.code, minlength=len(b.names))
+            total = np.bincount(b.code, b.tf, len(b.names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.names, pa.array(df), pa.array(total)], ["term", "df", "tf"])
+
+    part = _found(docs, kind).select("tok").mapInArrow(run, "term string, df bigint, tf bigint")
+    return part.groupBy("term").agg(F.sum("df").alias("document_frequency"), F.sum("tf").alias("total_frequency"))
 
-def dictionary(index: DataFrame) -> DataFrame:
-    """(term, document_frequency, total_frequency) of postings."""
-    return index.groupBy("term").agg(F.count("*").alias("document_frequency"), F.sum("tf").alias("total_frequency"))
 
+def build_index(docs: DataFrame, path: str, kind: str = "words") -> Index:
+    """Writes the index of docs (doc_id, text, ...) under path.
+
+    Postings are dealt by term and sorted; the rebalance lets Spark split the part of a hot term.
+    """
+    spark = docs.sparkSession
+    postings(docs, kind).hint("rebalance", "term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    own = spark.read.parquet(f"{path}/postings")
+    dictionary(own).write.parquet(f"{path}/dictionary")
+    docs.drop("text").write.parquet(f"{path}/documents")
+    n = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n_docs"))
+    tokens = spark.read.parquet(f"{path}/dictionary").agg(F.coalesce(F.sum("total_frequency"), F.lit(0)).alias("_all"))
+    # both are one row
+    n.join(F.broadcast(tokens)).select("n_docs", (F.col("_all") / F.col("n_docs")).alias("avg_len")).coalesce(1).write.parquet(f"{path}/stats")
+    return open_index(spark, path)
 
-def term_dictionary(docs: DataFrame, tokens: Callable[[Column], Column] = X.words) -> DataFrame:
-    """The dictionary without positions: counted per document first, so few rows are shuffled."""
-    at = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term"))
-    return dictionary(at.groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
 
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
 
-def split_query(query: str, pattern: str = r"[^\W_]+(?:['’.-][^\W_]+)*") -> list[str]:
-    """Lower-case terms of a query; ValueError if it has none."""
-    import re
 
-    found = re.findall(pattern, query.lower())
+# Queries.
+
+
+def split_query(query: str) -> list[str]:
+    """Terms of a query by the tokeniser `words`; ValueError if it has none."""
+    found = [unicodedata.normalize("NFKC", t).lower() for t in re.findall(r"[^\W_]+(?:['’.-][^\W_]+)*", query)]
     if not found:
         raise ValueError("the query has no searchable terms")
     return found
 
 
-def _term_stats(docs: DataFrame, terms: Sequence[str], tokens: Callable[[Column], Column]) -> DataFrame:
-    """docs without text, with `_len`, the places `_p<k>` of each distinct term and `_starts` of the phrase.
-
-    Texts are split once: what is kept of them is written, so that statistics and scores both
-    read a few numbers for each document.
-    """
-    unique = list(dict.fromkeys(terms))
-    df = spread(docs).withColumn("_t", tokens(F.coalesce("text", F.lit(""))))
-    numbered = F.transform("_t", lambda t, i: F.when(t.isin(*unique), F.concat_ws(" ", i.cast("string"), t)))
-    df = df.select(*(c for c in docs.columns if c != "text"), F.size("_t").alias("_len"), F.filter(numbered, lambda x: x.isNotNull()).alias("_h"))
-    df = materialise(df, "hits")
-    places = lambda t: F.transform(F.filter("_h", lambda x: F.substring_index(x, " ", -1) == t), lambda x: F.substring_index(x, " ", 1).cast("int"))
-    for k, t in enumerate(unique):
-        df = df.withColumn(f"_p{k}", places(t))
-    number = {t: k for k, t in enumerate(unique)}
-    starts = F.col(f"_p{number[terms[0]]}")
-    for i, t in enumerate(terms[1:], 1):  # by hash, so in proportion to the places
-        starts = F.array_intersect(starts, _shifted(F.col(f"_p{number[t]}"), i))
-    return df.withColumn("_starts", starts).drop("_h")
+def query_units(query: str) -> list[tuple[str, ...]]:
+    """The words of a query, each as the `folded` terms that it falls into: of more than one, a phrase."""
+    found = re.findall(r"[\w’']+", query)
+    if not found:
+        raise ValueError("the query has no searchable terms")
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    return [tuple(re.findall(r"[^\W_]+", plain(t))) for t in found]
 
 
 def _shifted(places: Column, by: int) -> Column:
-    return F.transform(places, lambda x: x - by)
+    return F.transform(places, lambda x: x - by) if by else places
+
+
+def _starts(unit: Sequence[str], column: dict[str, str]) -> Column:
+    """Places where a phrase starts; by hash, so in proportion to the places of its terms."""
+    empty = F.array().cast("array<int>")
+    places = [_shifted(F.coalesce(column[t], empty), k) for k, t in enumerate(unit)]
+    return reduce(F.array_intersect, places) if places else empty
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+def _matches(index: Index, terms: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """A row for each document with any of the terms: len, and `_p<k>`, the places of term k, `_c<k>`, its least start."""
+    column = {t: f"_p{k}" for k, t in enumerate(terms)}
+    rows = index.postings.where(F.col("term").isin(list(terms)))
+    own = lambda t, c: F.max(F.when(F.col("term") == t, c))
+    least = [F.min(F.array_min("starts")).alias("first_char")]
+    return rows.groupBy("doc_id").agg(F.max("len").alias("_len"), *least, *(own(t, F.col("positions")).alias(c) for t, c in column.items())), column
 
 
-def tfidf(docs: DataFrame, query: str, mode: str = "all", limit: int = 20, order: Sequence[str] = ("doc_id",), filters: Column | None = None) -> DataFrame:
-    """Best matches (docs without text) with score, matched_terms and matched_positions.
+def _best(index: Index, scored: DataFrame, by: Column, order: Sequence[str], filters: Column | None, limit: int) -> DataFrame:
+    """The first rows with the documents' columns; those are joined before the limit only where it depends on them."""
+    docs = index.documents
+    if filters is None and all(c in scored.columns for c in order):
+        few = scored.orderBy(by, *order).limit(limit)
+        return docs.join(F.broadcast(few), "doc_id").orderBy(by, *order)  # `limit` rows at most
+    joined = scored.join(docs, "doc_id")
+    return (joined.where(filters) if filters is not None else joined).orderBy(by, *order).limit(limit)
+
+
+def _mode(mode: str) -> None:
+    if mode not in ("any", "all", "phrase"):
+        raise ValueError(f"no such mode: {mode}")
+
+
+def tfidf(index: Index, query: str, mode: str = "all", limit: int = 20, order: Sequence[str] = ("doc_id",), filters: Column | None = None) -> DataFrame:
+    """Best matches in an index of `words` (documents' columns) with score, matched_terms, matched_positions, first_char.
 
     Score: sum of idf (1 + ln tf) over present terms, idf = ln((N + 1) / (df + 1)) + 1; where the
     query stands as a phrase 4 + ln(times + 1) besides, in every mode; and the share of terms present.
     """
-    terms = split_query(query)
-    unique, limit = list(dict.fromkeys(terms)), max(1, min(int(limit), 200))
-    if mode not in ("any", "all", "phrase"):
-        raise ValueError(f"no such mode: {mode}")
-    df = _term_stats(docs, terms, X.words)
-    present = [F.size(f"_p{k}") > 0 for k in range(len(unique))]
-    stats = df.agg(F.count("*").alias("_n"), *(F.count_if(p).alias(f"_df{k}") for k, p in enumerate(present)))
-    df = df.where(filters) if filters is not None else df
-    wanted = {"any": F.size(F.flatten(F.array(*(F.col(f"_p{k}") for k in range(len(unique)))))) > 0, "all": _all(present), "phrase": F.size("_starts") > 0}[mode]
+    _mode(mode)
+    terms, limit = split_query(query), max(1, min(int(limit), 200))
+    unique = list(dict.fromkeys(terms))
+    df, column = _matches(index, unique)
+    present = {t: F.col(c).isNotNull() for t, c in column.items()}
+    df = df.withColumn("_starts", _starts(terms, column))
+    known = index.dictionary.where(F.col("term").isin(unique)).agg(*(F.max(F.when(F.col("term") == t, F.col("document_frequency"))).alias(f"_df{k}") for k, t in enumerate(unique)))
     # statistics are one row: the join replicates a single row of known width
-    df = df.where(wanted).join(F.broadcast(stats))
+    df = df.join(F.broadcast(index.stats.join(F.broadcast(known))))
+    if mode != "any":
+        df = df.where(F.size("_starts") > 0 if mode == "phrase" else reduce(Column.__and__, present.values()))
     score = F.lit(0.0)
-    for k, p in enumerate(present):
-        idf = F.log((F.col("_n") + 1) / (F.col(f"_df{k}") + 1)) + 1
-        score = score + F.when(p, idf * (1 + F.log(F.size(f"_p{k}").cast("double")))).otherwise(0.0)
+    for k, (t, p) in enumerate(present.items()):
+        idf = F.log((F.col("n_docs") + 1) / (F.coalesce(f"_df{k}", F.lit(0)) + 1)) + 1
+        score = score + F.when(p, idf * (1 + F.log(F.size(column[t]).cast("double")))).otherwise(0.0)
     phrase = F.size("_starts")
     score = score + F.when(phrase > 0, 4 + F.log(phrase + F.lit(1.0))).otherwise(0.0)
-    hits = sum((p.cast("int") for p in present), F.lit(0))
-    score = score + hits / len(unique)
-    positions = F.array_sort(F.array_distinct(F.concat(*(F.col(f"_p{k}") for k in range(len(unique))), F.col("_starts"))))
-    matched = F.array_sort(F.filter(F.array(*(F.when(p, F.lit(t)) for p, t in zip(present, unique, strict=True))), lambda t: t.isNotNull()))
-    out = df.select(*(c for c in docs.columns if c != "text"), F.round(score, 8).alias("score"), matched.alias("matched_terms"), positions.alias("matched_positions"))
-    return out.orderBy(F.desc("score"), *order).limit(limit)
+    score = score + sum((p.cast("int") for p in present.values()), F.lit(0)) / len(unique)
+    empty = F.array().cast("array<int>")
+    positions = F.array_sort(F.array_distinct(F.concat(*(F.coalesce(c, empty) for c in column.values()), F.col("_starts"))))
+    matched = F.array_sort(F.filter(F.array(*(F.when(p, F.lit(t)) for t, p in present.items())), lambda t: t.isNotNull()))
+    out = df.select("doc_id", F.round(score, 8).alias("score"), matched.alias("matched_terms"), positions.alias("matched_positions"), "first_char")
+    return _best(index, out, F.desc("score"), order, filters, limit)
 
 
-def bm25(docs: DataFrame, query: str, mode: str = "all", limit: int = 20, order: Sequence[str] = ("doc_id",), filters: Column | None = None, tokens: Callable[[Column], Column] = X.tokens) -> DataFrame:
-    """Best matches (docs without text) with rank, which is negative: smaller is better.
+def bm25(index: Index, query: str, mode: str = "all", limit: int = 20, order: Sequence[str] = ("doc_id",), filters: Column | None = None) -> DataFrame:
+    """Best matches in an index of `folded` (documents' columns) with rank, which is negative: smaller is better.
 
-    Okapi with k1 = 1.2 and b = 0.75; idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; in mode
-    `phrase` the phrase is one term.
+    Okapi with k1 = 1.2 and b = 0.75; idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. A word of
+    the query that falls into several terms is a phrase, a word without any is met nowhere; in mode
+    `phrase` all of it is one phrase. A word that is said twice counts twice.
     """
-    terms, limit = split_query(query, r"[^\W_]+"), max(1, min(int(limit), 100))
-    df = _term_stats(docs, terms, tokens)
-    unique = list(dict.fromkeys(terms))
-    tf = {"t%d" % k: F.size(f"_p{k}") for k in range(len(unique))} if mode != "phrase" else {"t0": F.size("_starts")}
-    df = df.withColumns(tf)
-    stats = df.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(t) > 0).alias(f"_n{t}") for t in tf))
-    df = df.where(filters) if filters is not None else df
-    any_of = F.lit(False)
-    for t in tf:
-        any_of = any_of | (F.col(t) > 0)
-    wanted = any_of if mode == "any" else _all(F.col(t) > 0 for t in tf)
-    df = df.where(wanted).join(F.broadcast(stats))
+    _mode(mode)
+    units, limit = query_units(query), max(1, min(int(limit), 100))
+    units = [tuple(t for u in units for t in u)] if mode == "phrase" else units
+    df, column = _matches(index, list(dict.fromkeys(t for u in units for t in u)))
+    each = Counter(units)
+    tf = {u: f"_t{k}" for k, u in enumerate(each)}
+    df = df.withColumns({c: F.size(_starts(u, column)) for u, c in tf.items()})
+    met = df.agg(*(F.count_if(F.col(c) > 0).alias(f"_n{c}") for c in tf.values()))
+    hit = [F.col(c) > 0 for c in tf.values()]
+    df = df.where(reduce(Column.__or__ if mode == "any" else Column.__and__, hit)).join(F.broadcast(index.stats.join(F.broadcast(met))))
     rank = F.lit(0.0)
-    for t in tf:
-        idf = F.greatest(F.log((F.col("_n") - F.col(f"_n{t}") + 0.5) / (F.col(f"_n{t}") + 0.5)), F.lit(1e-6))
-        rank = rank - idf * (F.col(t) * 2.2) / (F.col(t) + 1.2 * (0.25 + 0.75 * F.col("_len") / F.col("_avg")))
-    return df.select(*(c for c in docs.columns if c != "text"), F.round(rank, 6).alias("rank")).orderBy("rank", *order).limit(limit)
+    for u, c in tf.items():
+        rank = rank + each[u] * okapi(F.col(c), F.col("_len"), F.col(f"_n{c}"), F.col("n_docs"), F.col("avg_len"))
+    return _best(index, df.select("doc_id", F.round(rank, 6).alias("rank")), F.asc("rank"), order, filters, limit)
+
+
+def okapi(tf: Column, size: Column, met: Column, n: Column, average: Column) -> Column:
+    """The part of a term or phrase in a rank."""
+    idf = F.greatest(F.log((n - met + 0.5) / (met + 0.5)), F.lit(1e-6))
+    return -idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * size / average))
+
+
+def phrase_hits(index: Index, units: DataFrame) -> DataFrame:
+    """(unit, doc_id, len, tf) of many phrases at once: units (unit, terms), no two with one unit.
+
+    Only the documents of a phrase's rarest term are looked at; its other terms are joined on term and document.
+    """
+    terms = units.where(F.size("terms") > 0).select("unit", F.size("terms").alias("of"), F.posexplode("terms").alias("k", "term"))
+    known = terms.join(index.dictionary.select("term", "document_frequency"), "term")
+    lead = known.groupBy("unit").agg(F.min(F.struct("document_frequency", "k", "term")).alias("r"), F.count("*").alias("n"), F.first("of").alias("of")).where("n = of")
+    lead = lead.select("unit", "of", F.col("r.k").alias("k"), F.col("r.term").alias("term"))
+    at = index.postings.select("term", "doc_id", "len", "positions")
+    found = lead.join(at, "term").select("unit", "of", "k", "doc_id", "len", F.transform("positions", lambda x: x - F.col("k")).alias("starts"))
+    single = found.where("of = 1").select("unit", "doc_id", "len", F.size("starts").alias("tf"))
+    many = found.where("of > 1")
+    rest = terms.join(lead.select("unit", F.col("k").alias("lead")), "unit").where("k <> lead").select("unit", "k", "term")
+    pairs = many.select("unit", "doc_id").join(rest, "unit")
+    near = pairs.join(at.select("term", "doc_id", "positions"), ["term", "doc_id"]).select("unit", "doc_id", F.transform("positions", lambda x: x - F.col("k")).alias("places"))
+    near = near.groupBy("unit", "doc_id").agg(F.collect_list("places").alias("places"))
+    whole = many.join(near, ["unit", "doc_id"]).where(F.size("places") == F.col("of") - 1)
+    starts = F.aggregate("places", F.col("starts"), F.array_intersect)
+    whole = whole.select("unit", "doc_id", "len", F.size(starts).alias("tf")).where("tf > 0")
+    return single.unionByName(whole)
 
 
 def verify_index(index: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
@@ -151,7 +296,3 @@ def verify_index(index: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFra
         .unionByName(finding(parity, "dictionary-drift", "term"))
         .unionByName(finding(lost, "posting-document-missing", "doc_id"))
     )
-
-
-def idf(n: int, df: int) -> float:
-    return math.log((n + 1) / (df + 1)) + 1

@@ -39,7 +39,19 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str, kind: str) -> search.Index:
+    """The index of documents, built once for each session and table in the shared folder; `build_index` is the query that times it."""
+    key = (spark.sparkContext.applicationId, kind, *sorted(table(spark, d, "documents").inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_index(table(spark, d, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", kind)
+    return _INDEXES[key]
+
+
 WORD_SQL = r"'[\p{L}\p{N}]+(?:[''’.-][\p{L}\p{N}]+)*'"
+FOLDED_SQL = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}]+')"
 TOKEN_SQL = r"'[\p{L}\p{N}\p{Co}]+'"
 
 # Scans, projections and filters.
@@ -114,8 +126,27 @@ def postings_positions(spark, d):
 @query("SELECT '' AS code, '' AS subject WHERE false")
 def index_verify(spark, d):
     docs = table(spark, d, "documents")
-    index = search.postings(docs)
-    return search.verify_index(index, search.term_dictionary(docs), docs)
+    index = index_of(spark, d, "words")
+    return search.verify_index(index.postings, search.term_dictionary(docs), docs)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {FOLDED_SQL} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf FROM u GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM p) AS postings, (SELECT CAST(sum(tf) AS BIGINT) FROM p) AS tokens, (SELECT count(DISTINCT term) FROM p) AS terms, (SELECT count(*) FROM t) AS n_docs, (SELECT round(avg(len(w)), 6) FROM t) AS avg_len""")
+def build_index(spark, d):
+    """A whole index, written anew, and its sizes."""
+    index = search.build_index(table(spark, d, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "folded")
+    sizes = index.dictionary.agg(F.sum("document_frequency").alias("postings"), F.sum("total_frequency").alias("tokens"), F.count("*").alias("terms"))
+    return sizes.join(F.broadcast(index.stats)).withColumn("avg_len", F.round("avg_len", 6))  # both are one row
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\p{{L}}\p{{N}}]*([\p{{L}}\p{{N}}]+(?:[''’.-][\p{{L}}\p{{N}}]+)*)') AS g, regexp_extract_all(text, {WORD_SQL}) AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS term, unnest(list_transform(g, lambda x: length(x))) AS size, unnest(range(len(w))) AS pos FROM t),
+e AS (SELECT doc_id, lower(term) AS term, length(term) AS n, sum(size) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM u)
+SELECT term, doc_id, CAST(sum(upto - n) AS BIGINT) AS starts, CAST(sum(upto) AS BIGINT) AS ends, CAST(min(upto - n) AS INT) AS first FROM e GROUP BY 1, 2""")
+def postings_offsets(spark, d):
+    """Where each term starts and ends in each text, in code points."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return search.postings(table(spark, d, "documents")).select("term", "doc_id", total(F.col("starts")).alias("starts"), total(F.col("ends")).alias("ends"), F.array_min("starts").alias("first"))
 
 
 def _tfidf_sql(terms: list[str], having: str, limit: int) -> str:
@@ -138,22 +169,22 @@ def _scored(df: DataFrame) -> DataFrame:
 
 @query(_tfidf_sql(["the", "and"], "true", 50))
 def search_any(spark, d):
-    return _scored(search.tfidf(table(spark, d, "documents"), "The and", "any", 50))
+    return _scored(search.tfidf(index_of(spark, d, "words"), "The and", "any", 50))
 
 
 @query(_tfidf_sql(["the", "and"], "present = 2", 50))
 def search_all(spark, d):
-    return _scored(search.tfidf(table(spark, d, "documents"), "the AND", "all", 50))
+    return _scored(search.tfidf(index_of(spark, d, "words"), "the AND", "all", 50))
 
 
 @query(_tfidf_sql(["of", "the"], "p > 0", 50))
 def search_phrase(spark, d):
-    return _scored(search.tfidf(table(spark, d, "documents"), "of the", "phrase", 50))
+    return _scored(search.tfidf(index_of(spark, d, "words"), "of the", "phrase", 50))
 
 
 def _bm25_sql(terms: list[str], limit: int, need: int) -> str:
     listed = ", ".join(f"'{t}'" for t in terms)
-    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), {TOKEN_SQL}) AS w FROM documents),
+    return f"""WITH t AS (SELECT doc_id, {FOLDED_SQL} AS w FROM documents),
 l AS (SELECT doc_id, len(w) AS len FROM t), a AS (SELECT count(*) AS n, avg(len) AS avg FROM l),
 u AS (SELECT doc_id, unnest(w) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM u WHERE term IN ({listed}) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -164,21 +195,36 @@ SELECT doc_id, round(r, 6) AS rank FROM s WHERE present >= {need} ORDER BY round
 
 @query(_bm25_sql(["whether", "stupid", "loser"], 100, 1))
 def search_bm25_any(spark, d):
-    return search.bm25(table(spark, d, "documents"), "whether stupid loser", "any", 100).select("doc_id", "rank")
+    return search.bm25(index_of(spark, d, "folded"), "whether stupid loser", "any", 100).select("doc_id", "rank")
+
+
+@query(_bm25_sql(["ere", "ecole"], 50, 1))
+def search_bm25_accents(spark, d):
+    """Words asked with diacritics; texts are met with and without."""
+    return search.bm25(index_of(spark, d, "folded"), "Ère École", "any", 50).select("doc_id", "rank")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {FOLDED_SQL} AS w FROM documents), p AS (SELECT doc_id, len(w) AS len, len(list_filter(range(1, len(w)), lambda i: w[i] = 'le' AND w[i + 1] = 'eau')) AS tf, len(list_filter(w, lambda x: x = 'que')) AS tg FROM t),
+a AS (SELECT count(*) AS n, avg(len) AS avg, count(*) FILTER (tf > 0) AS df, count(*) FILTER (tg > 0) AS dg FROM p)
+SELECT doc_id, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avg)) - greatest(ln((n - dg + 0.5) / (dg + 0.5)), 1e-6) * (tg * 2.2) / (tg + 1.2 * (0.25 + 0.75 * len / avg)), 6) AS rank
+FROM p, a WHERE tf > 0 OR tg > 0 ORDER BY rank, doc_id LIMIT 60""")
+def search_bm25_apostrophe(spark, d):
+    """A word with an apostrophe falls into two terms, which are a phrase."""
+    return search.bm25(index_of(spark, d, "folded"), "le’eau que", "any", 60).select("doc_id", "rank")
 
 
 @query(_bm25_sql(["ou", "re"], 20, 2))
 def search_bm25(spark, d):
-    return search.bm25(table(spark, d, "documents"), "ou re", "all", 20).select("doc_id", "rank")
+    return search.bm25(index_of(spark, d, "folded"), "ou re", "all", 20).select("doc_id", "rank")
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+') AS w FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, {FOLDED_SQL} AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS len, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS tf FROM t),
 a AS (SELECT count(*) AS n, avg(len) AS avg, count(*) FILTER (tf > 0) AS df FROM p)
 SELECT doc_id, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avg)), 6) AS rank
 FROM p, a WHERE tf > 0 ORDER BY rank, doc_id LIMIT 100""")
 def search_bm25_phrase(spark, d):
-    return search.bm25(table(spark, d, "documents"), "of the", "phrase", 100).select("doc_id", "rank")
+    return search.bm25(index_of(spark, d, "folded"), "of the", "phrase", 100).select("doc_id", "rank")
 
 
 @query("""WITH h AS (SELECT doc_id, text, instr(lower(text), 'and') AS a, instr(lower(text), 'the') AS b FROM documents),
@@ -261,29 +307,47 @@ def html_strip(spark, d):
 # Routing, concordance, lanes.
 
 
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in X.ROUTE_STOP) + "]"
+SOURCES = tuple(f"src{k}" for k in range(20))
+
+
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("candidate_id"), F.col("text").alias("label"))
-
-
-_STOP_SQL = ", ".join(f"'{w}'" for w in X.ROUTE_STOP)
-_ROUTES_SQL = rf"""WITH c AS (SELECT item_id AS candidate_id, list_filter(regexp_extract_all(lower(replace(text, '-', ' ')), '[a-z0-9]+(?:[''’][a-z0-9]+)?'),
-  lambda t: length(t) > 1 AND NOT list_contains([{_STOP_SQL}], t)) AS t FROM benchmark),
-c1 AS (SELECT candidate_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM c), c2 AS (SELECT candidate_id, term, min(i) AS i FROM c1 GROUP BY 1, 2),
-own AS (SELECT candidate_id, term FROM c2 QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY i) <= 5),
-other AS (SELECT candidate_id, term FROM c2 WHERE length(term) >= 3 QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY i) <= 6),
-asked AS (SELECT candidate_id, 0 AS tier, term, count(*) OVER (PARTITION BY candidate_id) AS need FROM own UNION ALL SELECT candidate_id, 1, term, 1 FROM other),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS w FROM documents), a AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM d),
-u AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-s AS (SELECT term, doc_id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avg)) AS part FROM tf JOIN df USING (term), a),
-f AS (SELECT candidate_id, tier, doc_id, round(sum(part), 6) AS rank FROM asked JOIN s USING (term) GROUP BY candidate_id, tier, need, doc_id HAVING count(*) >= need),
+    """benchmark as candidates: by turns rules and events with the long words of the text as keys, and questions, asked as phrases."""
+    n, low = F.col("item_id"), F.lower("text")
+    keys = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]{8,}"), F.lit(0)))
+    kind = F.element_at(F.array(*map(F.lit, ("rule", "event", "question"))), (n % 3 + 1).cast("int"))
+    some, none = F.array(*map(F.lit, SOURCES[: len(SOURCES) // 2])), F.array().cast("array<string>")
+    sources = F.when(n % 7 == 0, none).when(n % 2 == 0, some).otherwise(F.array(*map(F.lit, SOURCES)))
+    rows = table(spark, d, "benchmark").select(n.alias("candidate_id"), kind.alias("kind"), F.col("text").alias("label"), keys.alias("keys"), sources.alias("sources"))
+    return rows.select("candidate_id", "sources", corpus.route_units(F.col("kind"), F.col("label"), F.col("keys")).alias("units"), corpus.fallback_units(F.col("label"), F.col("keys")).alias("fallback"))
+
+
+def _route_words(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(replace({c}, '-', ' ')), '[a-z0-9]+(?:[''’][a-z0-9]+)?'), lambda t: length(t) > 1 AND NOT list_contains({_STOP_SQL}, t))"
+
+
+_ROUTES_SQL = rf"""WITH b AS (SELECT item_id AS candidate_id, {_route_words("text")} AS t, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9]{{8,}}'), lambda k: k), lambda k: true) AS k0 FROM benchmark),
+k1 AS (SELECT candidate_id, unnest(k0) AS k, unnest(range(len(k0))) AS i FROM b), k2 AS (SELECT candidate_id, k, min(i) AS i FROM k1 GROUP BY 1, 2),
+k3 AS (SELECT candidate_id, list(k ORDER BY i) AS keys FROM k2 GROUP BY 1),
+c AS (SELECT b.candidate_id, regexp_extract_all(array_to_string(t, ' '), '[a-z0-9]+') AS said, t, list_filter(coalesce(keys, []), lambda k: NOT list_contains({_STOP_SQL}, k)) AS good, coalesce(keys, []) AS keys FROM b LEFT JOIN k3 USING (candidate_id)),
+u AS (SELECT candidate_id, CASE WHEN candidate_id % 3 = 0 AND len(keys) > 0 THEN list_transform(list_filter(keys[1:2], lambda k: NOT list_contains({_STOP_SQL}, k)), lambda k: [k])
+  WHEN candidate_id % 3 = 1 AND len(good[1:3]) >= 2 THEN list_transform(good[1:3], lambda k: [k]) ELSE [said] END AS units, t, keys, good FROM c),
+f1 AS (SELECT candidate_id, unnest(list_concat(t, good)) AS term, unnest(range(len(t) + len(good))) AS i FROM u), f2 AS (SELECT candidate_id, term, min(i) AS i FROM f1 WHERE length(term) >= 3 GROUP BY 1, 2),
+asked AS (SELECT candidate_id, 0 AS tier, unit, len(units) AS need FROM (SELECT candidate_id, units, unnest(units) AS unit FROM u)
+ UNION ALL SELECT candidate_id, 1, regexp_extract_all(term, '[a-z0-9]+'), 1 FROM f2 QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY i) <= 6),
+d AS (SELECT doc_id, source, {FOLDED_SQL} AS w FROM documents), a AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM d),
+q AS (SELECT DISTINCT unit FROM asked), tf AS (SELECT doc_id, source, len(w) AS len, unit, len(list_filter(list_positions_of, lambda i: w[i : i + len(unit) - 1] = unit)) AS tf
+  FROM (SELECT doc_id, source, w, unit, list_filter(range(1, len(w) + 1), lambda i: w[i] = unit[1]) AS list_positions_of FROM d JOIN q ON list_contains(w, unit[1])) WHERE len(list_positions_of) > 0),
+h AS (SELECT * FROM tf WHERE tf > 0), df AS (SELECT unit, count(*) AS df FROM h GROUP BY 1),
+s AS (SELECT unit, doc_id, source, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avg)) AS part FROM h JOIN df USING (unit), a),
+f AS (SELECT candidate_id, tier, doc_id, round(sum(part), 6) AS rank FROM asked JOIN s USING (unit) WHERE candidate_id % 7 <> 0 AND (candidate_id % 2 = 1 OR CAST(substr(source, 4) AS INT) < 10) GROUP BY candidate_id, tier, need, doc_id HAVING count(*) >= need),
 r AS (SELECT candidate_id, tier, doc_id, rank, row_number() OVER (PARTITION BY candidate_id ORDER BY rank, doc_id) AS place FROM (SELECT *, min(tier) OVER (PARTITION BY candidate_id) AS best FROM f) WHERE tier = best)
 SELECT * FROM r WHERE place <= 5"""
 
 
 @query(_ROUTES_SQL)
 def evidence_routes_top5(spark, d):
-    return corpus.evidence_routes(_claims(spark, d), table(spark, d, "documents"))
+    return corpus.evidence_routes(_claims(spark, d), index_of(spark, d, "folded"))
 
 
 @query(f"""WITH x AS ({_ROUTES_SQL}), n AS (SELECT candidate_id, count(*) AS leads FROM x GROUP BY 1)
@@ -291,20 +355,19 @@ SELECT item_id AS candidate_id, coalesce(leads, 0) AS leads, CASE WHEN item_id %
 FROM benchmark LEFT JOIN n ON item_id = candidate_id""")
 def evidence_status(spark, d):
     c = _claims(spark, d)
-    return corpus.evidence_status(c, corpus.evidence_routes(c, table(spark, d, "documents")), F.col("candidate_id") % 7 != 0)
+    return corpus.evidence_status(c, corpus.evidence_routes(c, index_of(spark, d, "folded")), F.size("sources") > 0)
 
 
-@query(r"""WITH e AS (SELECT item_id AS entity_id, 0 AS alias_order, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+')[1:6], ' ') AS run, 6 AS k FROM benchmark
- UNION ALL SELECT item_id, 1, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+')[1:2], ' '), 2 FROM benchmark),
-d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, source, k, array_to_string(w[i : i + k - 1], ' ') AS run FROM (SELECT doc_id, source, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([2, 6]) AS k))),
-h AS (SELECT entity_id, source, alias_order, count(*) AS occurrences, min(doc_id) AS first_doc_id FROM e JOIN g USING (run) GROUP BY 1, 2, 3)
-SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY entity_id, source ORDER BY alias_order) = 1""")
+@query(rf"""WITH b AS (SELECT item_id, text, list_filter(string_split(text, '.'), lambda s: true) AS s FROM benchmark),
+e AS (SELECT item_id AS entity_id, 0 AS alias_order, text FROM b UNION ALL SELECT item_id, unnest(range(len(s))) + 1, unnest(s) FROM b),
+g AS (SELECT entity_id, CAST(alias_order AS INT) AS alias_order, {FOLDED_SQL} AS p FROM e), h AS (SELECT *, ' ' || array_to_string(p, ' ') || ' ' AS run FROM g WHERE len(p) > 0),
+d AS (SELECT doc_id, source, ' ' || array_to_string({FOLDED_SQL}, ' ') || ' ' AS run FROM documents),
+o AS (SELECT entity_id, source, alias_order, count(*) AS occurrences, min(doc_id) AS first_doc_id FROM h JOIN d ON contains(d.run, h.run) GROUP BY 1, 2, 3)
+SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY entity_id, source ORDER BY alias_order) = 1""")
 def concordance_first_hit(spark, d):
-    t = X.tokens(F.col("text"))
-    b = table(spark, d, "benchmark")
-    alias = lambda n, k: b.select(F.col("item_id").alias("entity_id"), F.lit(n).alias("alias_order"), F.array_join(F.slice(t, 1, k), " ").alias("alias"))
-    return corpus.concordance(alias(0, 6).unionByName(alias(1, 2)), table(spark, d, "documents"))
+    """Entities whose aliases are a text as a whole and then each of its sentences."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.posexplode(F.concat(F.array("text"), F.split("text", "[.]"))).alias("alias_order", "alias"))
+    return corpus.concordance(b, index_of(spark, d, "folded"))
 
 
 LANES = (("court", ("the and", "of the")), ("north", ("that", "with the")), ("sea", ("und die", "der")), ("east", ("les des", "que")))
@@ -357,11 +420,11 @@ def heading_labels(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("heading"), F.when(F.upper(F.trim("p_type")) == F.col("p_type"), F.col("p_type")).otherwise(F.trim("p_type")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT source, publisher, CASE WHEN source = 'src1' AND contains(lower(publisher), 'epub bud') THEN 'x' WHEN publisher <> '' THEN 'holder-supplied-publisher-identified-edition' ELSE 'holder-supplied-edition' END AS class, count(*) AS n
-FROM (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'Press ' || lang ELSE '' END AS publisher FROM documents) GROUP BY ALL""")
+@query("""SELECT source, publisher, CASE WHEN source = 'src1' AND contains(lower(publisher), 'epub bud') THEN 'holder-supplied-converted-edition' WHEN source = 'src2' AND publisher = '' THEN 'holder-supplied-collection-weak-bibliographic-metadata' WHEN publisher <> '' THEN 'holder-supplied-publisher-identified-edition' ELSE 'holder-supplied-edition' END AS class, count(*) AS n
+FROM (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'Press ' || lang WHEN doc_id % 3 = 1 THEN 'Epub Bud' ELSE '' END AS publisher FROM documents) GROUP BY ALL""")
 def provenance(spark, d):
-    rows = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Press "), "lang")).otherwise("").alias("publisher"))
-    return rows.withColumn("class", corpus.provenance_class(F.col("source"), F.col("publisher"))).groupBy("source", "publisher", "class").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Press "), "lang")).when(F.col("doc_id") % 3 == 1, "Epub Bud").otherwise("").alias("publisher"))
+    return rows.withColumn("class", corpus.provenance_class(F.col("source"), F.col("publisher"), ["src1"], ["src2"])).groupBy("source", "publisher", "class").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT v AS value, (SELECT count(*) FROM events WHERE event_type = v) AS n FROM (SELECT unnest(['click', 'view', 'purchase', 'refund', 'login']) AS v)""")

@@ -4,6 +4,8 @@ import base64
 import hashlib
 import io
 import json
+import random
+import unicodedata
 import zipfile
 
 import pytest
@@ -61,13 +63,73 @@ def test_segments_and_units(spark):
     ]
 
 
-def test_search_modes(spark):
-    docs = spark.createDataFrame([(1, "red wolf red"), (2, "wolf red"), (3, "blue fox"), (4, None)], "doc_id long, text string")
-    ids = lambda mode, q="red wolf": [r.doc_id for r in search.tfidf(docs, q, mode).collect()]
+def indexed(spark, at, rows, kind):
+    return search.build_index(spark.createDataFrame(rows, "doc_id long, source string, text string"), str(at / kind), kind)
+
+
+def test_search_modes(spark, tmp_path):
+    rows = [(1, "a", "red wolf red"), (2, "b", "wolf red"), (3, "b", "blue fox"), (4, "a", None)]
+    words, folded = (indexed(spark, tmp_path, rows, k) for k in search.KINDS)
+    ids = lambda mode, q="red wolf", **k: [r.doc_id for r in search.tfidf(words, q, mode, **k).collect()]
     assert set(ids("any", "red fox")) == {1, 2, 3} and ids("all") == [1, 2] and ids("phrase") == [1] and ids("phrase", "wolf blue") == []
-    with pytest.raises(ValueError):
-        search.tfidf(docs, "!!")
-    assert [r.doc_id for r in search.bm25(docs, "red wolf", "phrase").collect()] == [1]
+    assert ids("any", "red", filters=F.col("source") == "b") == [2] and ids("any", "nothing") == []
+    for ask in (lambda: search.tfidf(words, "!!"), lambda: search.bm25(folded, "!!"), lambda: search.bm25(folded, "red", "some")):
+        with pytest.raises(ValueError):
+            ask()
+    assert [r.doc_id for r in search.bm25(folded, "red wolf", "phrase").collect()] == [1]
+    assert words.stats.first() == (4, 1.75) and words.documents.columns == ["doc_id", "source"]
+
+
+def test_search_folding(spark, tmp_path):
+    rows = [(1, "a", "le cafe blanc"), (2, "a", "Le CAFÉ noir"), (3, "a", "Le cafe\u0301 bon"), (4, "a", "I don't know"), (5, "a", "t don"), (6, "a", "snow_drift"), (7, "a", "a ﬁne １２ day"), (8, "a", "Jon's co-op")]
+    words, folded = (indexed(spark, tmp_path, rows, k) for k in search.KINDS)
+    ask = lambda q, mode="any": {r.doc_id for r in search.bm25(folded, q, mode).collect()}
+    assert ask("cafe") == ask("CAFÉ") == ask("cafe\u0301") == {1, 2, 3}
+    # a word that falls into two terms is a phrase, and one without terms is met nowhere
+    assert ask("don't") == {4} and ask("don t", "all") == {4, 5} and ask("snow drift", "all") == ask("snow_drift") == {6}
+    assert ask("_ cafe", "all") == set() and ask("_ cafe") == {1, 2, 3}
+    rank = lambda q: search.bm25(folded, q).first().rank
+    assert abs(rank("snow snow") - 2 * rank("snow")) < 1e-5
+    ask = lambda q: {r.doc_id for r in search.tfidf(words, q, "any").collect()}
+    assert ask("fine") == {7} and ask("12") == {7} and ask("jon's") == {8} and ask("co") == set() and ask("café") == {2}
+
+
+def test_offsets(spark):
+    text = "  Jon's 😀 co-op, İx ﬁne; Jon's"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    rows = search.postings(docs).collect()
+    assert {r.doc_id for r in rows} == {1} and {r.term for r in rows} == {"jon's", "co-op", "i̇x", "fine"}
+    for r in rows:
+        said = [text[a:b] for a, b in zip(r.starts, r.ends)]
+        assert all(unicodedata.normalize("NFKC", x).lower() == r.term for x in said) and len(said) == r.tf == len(r.positions)
+    assert search.tfidf(search.Index(search.postings(docs), search.term_dictionary(docs), docs.drop("text"), spark.sql("SELECT 3 AS n_docs, 1.7 AS avg_len")), "co-op").first().first_char == text.index("co-op")
+
+
+def test_fold_equals_full_decomposition(spark):
+    every = "".join(chr(i) for i in range(1, 0x2000) if unicodedata.category(chr(i)) in ("Ll", "Lu", "Lt"))
+    rows = spark.createDataFrame([(c,) for c in every], "c string")
+    bad = rows.where(X.fold(F.col("c")) != X.fold_term(F.col("c"))).collect()
+    # where lower case itself takes two characters the marks go in either
+    assert not bad
+
+
+def test_phrase_hits(spark, tmp_path):
+    r = random.Random(2)
+    texts = [[r.choice("abcd") for _ in range(r.randrange(1, 30))] for _ in range(40)]
+    index = indexed(spark, tmp_path, [(i, "s", " ".join(t)) for i, t in enumerate(texts)], "folded")
+    units = [list(u) for u in ("a", "ab", "aba", "dcb", "aa", "abcdabcd", "x", "ax")]
+    got = {(x.unit, x.doc_id): x.tf for x in search.phrase_hits(index, spark.createDataFrame([("".join(u), u) for u in units], "unit string, terms array<string>")).collect()}
+    count = lambda t, u: sum(t[i : i + len(u)] == u for i in range(len(t)))
+    assert got == {("".join(u), i): n for u in units for i, t in enumerate(texts) if (n := count(t, u))}
+
+
+def test_route_units(spark):
+    none, keys = F.array().cast("array<string>"), F.array(*map(F.lit, ("recall-x", "red-wolf", "the", "moon")))
+    of = lambda *a: [list(u) for u in spark.range(1).select(corpus.route_units(*a)).first()[0]]
+    assert of(F.lit("rule"), F.lit("x y"), keys) == [["red", "wolf"]] and of(F.lit("event"), F.lit("xx"), keys) == [["red", "wolf"], ["moon"]]
+    assert of(F.lit("event"), F.lit("white hart"), none) == [["white", "hart"]] and of(F.lit("question"), F.lit("don't"), keys) == [["don", "t"]]
+    assert of(F.lit("entity"), F.lit("label"), keys, F.lit("Jon Snow")) == [["jon", "snow"]] and of(F.lit("question"), F.lit("the"), keys) == [["red"], ["wolf"], ["moon"]]
+    assert of(F.lit("relation"), F.lit("said"), none, None, F.array(F.lit("a-bc"), F.lit("de"))) == [["bc"], ["de"]]
 
 
 def test_graphs(spark):
