@@ -137,7 +137,7 @@ def evidence_routes(candidates: DataFrame, index: search.Index, leads: int = 5,
     Tier 0 has documents of the candidate's sources with all units, tier 1, asked only where tier 0
     found none, those with any fallback unit. A unit that several candidates have is looked up once.
     """
-    asked = candidates.where(F.size("sources") > 0)
+    asked = materialise(candidates.select("candidate_id", "units", "fallback", "sources"), "asked").where(F.size("sources") > 0)
     first = _leads(asked.select("candidate_id", "sources", F.array_distinct("units").alias("units")), index, True, leads, source)
     first = materialise(first, "leads")
     left = asked.join(first.select("candidate_id").distinct(), "candidate_id", "left_anti")
@@ -177,6 +177,7 @@ def concordance(entities: DataFrame, index: search.Index, source: str = "source"
     """
     terms = entities.select("entity_id", "alias_order", X.tokens(X.fold(F.col("alias"))).alias("terms")).where(F.size("terms") > 0)
     terms = terms.withColumn("unit", F.array_join("terms", " "))
+    terms = materialise(terms, "aliases")
     hits = search.phrase_hits(index, terms.select("unit", "terms").distinct())
     hits = hits.join(index.documents.select("doc_id", F.col(source).alias("source")), "doc_id")
     of = hits.groupBy("unit", "source").agg(F.count("*").alias("occurrences"), F.min("doc_id").alias("first_doc_id"))

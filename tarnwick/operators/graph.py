@@ -67,24 +67,43 @@ def bounded_bfs(members: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component): the least node reachable over undirected edges (src, dst).
+    """(node, component): the least node reachable over undirected edges (src, dst)."""
+    found = stars(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")), most)
+    own = nodes.select("node").distinct()
+    return own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
-    Labels go to neighbours and, by pointer jumping, to the label's own label, so the rounds
-    grow with the logarithm of the longest path.
+
+def stars(links: DataFrame, most: int = 60) -> DataFrame:
+    """(node, component) of links (x, y), for each node but the least of its component, by alternating stars.
+
+    Each round hangs neighbours on the least node around, first the greater then the smaller
+    ones, until the edges stay as they are; hubs are met by partial aggregates and joins that
+    can be split. Edges get fewer by the round, and only they are shuffled.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = materialise(both, "both")
-    label = materialise(nodes.select("node", F.col("node").alias("component")).distinct(), "label")
+    ordered = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = materialise(ordered(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "edges")
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    was = mark(edges)
     for _ in range(most):
-        near = both.join(label, both["src"] == label["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
-        best = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = best.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = best.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
-        new = materialise(new, "label")
-        if new.join(label, ["node", "component"], "left_anti").isEmpty():
-            return new
-        label = new
-    raise RuntimeError(f"components did not settle in {most} rounds")
+        if not was[0]:
+            break
+        # large star: greater neighbours of u go to the least node around u
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        # small star: u and its smaller neighbours go to the least of them
+        large = materialise(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        own = large.join(least, "u")
+        small = own.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = materialise(ordered(small), "edges")
+        now = mark(edges)
+        if now == was:
+            break
+        was = now
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
 def clusters(members: DataFrame) -> DataFrame:

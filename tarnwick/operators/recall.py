@@ -111,8 +111,11 @@ def work_order(candidates: DataFrame, hints: Sequence[str], depth: int) -> tuple
 
 def merge_in_one_cluster(decisions: DataFrame, clusters: DataFrame) -> DataFrame:
     """Decisions (decision_id, candidate_id) all of whose candidates are in one cluster (cluster_id, candidate_id)."""
-    size = decisions.groupBy("decision_id").agg(F.countDistinct("candidate_id").alias("of"))
-    met = decisions.join(clusters, "candidate_id").groupBy("decision_id", "cluster_id").agg(F.countDistinct("candidate_id").alias("met"))
+    # each pair once on either side: then plain counts do, and rows are summed before they are shuffled
+    asked = decisions.select("decision_id", "candidate_id").distinct()
+    held = clusters.select("cluster_id", "candidate_id").distinct()
+    size = asked.groupBy("decision_id").agg(F.count("*").alias("of"))
+    met = asked.join(held, "candidate_id").groupBy("decision_id", "cluster_id").agg(F.count("*").alias("met"))
     return met.join(size, "decision_id").where("met = of").select("decision_id", "cluster_id")
 
 

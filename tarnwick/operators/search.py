@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as X
-from tarnwick.session import spread
+from tarnwick.session import materialise, spread
 
 KINDS = ("words", "folded")
+#: Bytes of a row group of postings: small, so that a filter on terms passes over most and what is left is read by many tasks.
+ROW_GROUP = 8 << 20
 
 
 class Index(NamedTuple):
@@ -129,7 +131,8 @@ def build_index(docs: DataFrame, path: str, kind: str = "words") -> Index:
     Postings are dealt by term and sorted; the rebalance lets Spark split the part of a hot term.
     """
     spark = docs.sparkSession
-    postings(docs, kind).hint("rebalance", "term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    dealt = postings(docs, kind).hint("rebalance", "term").sortWithinPartitions("term", "doc_id")
+    dealt.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
     own = spark.read.parquet(f"{path}/postings")
     dictionary(own).write.parquet(f"{path}/dictionary")
     docs.drop("text").write.parquet(f"{path}/documents")
@@ -267,13 +270,16 @@ def phrase_hits(index: Index, units: DataFrame) -> DataFrame:
     terms = units.where(F.size("terms") > 0).select("unit", F.size("terms").alias("of"), F.posexplode("terms").alias("k", "term"))
     known = terms.join(index.dictionary.select("term", "document_frequency"), "term")
     lead = known.groupBy("unit").agg(F.min(F.struct("document_frequency", "k", "term")).alias("r"), F.count("*").alias("n"), F.first("of").alias("of")).where("n = of")
-    lead = lead.select("unit", "of", F.col("r.k").alias("k"), F.col("r.term").alias("term"))
+    # Written, so that its size is known: few terms are sent to the postings, many are joined by a shuffle.
+    lead = materialise(lead.select("unit", "of", F.col("r.k").alias("k"), F.col("r.term").alias("term")), "lead")
+    # a single term is met as often as it stands in a text: its places are not read
+    single = lead.where("of = 1").join(index.postings.select("term", "doc_id", "len", "tf"), "term").select("unit", "doc_id", "len", F.col("tf").cast("int").alias("tf"))
     at = index.postings.select("term", "doc_id", "len", "positions")
-    found = lead.join(at, "term").select("unit", "of", "k", "doc_id", "len", F.transform("positions", lambda x: x - F.col("k")).alias("starts"))
-    single = found.where("of = 1").select("unit", "doc_id", "len", F.size("starts").alias("tf"))
-    many = found.where("of > 1")
+    many = lead.where("of > 1").join(at, "term").select("unit", "of", "doc_id", "len", F.transform("positions", lambda x: x - F.col("k")).alias("starts"))
+    many = materialise(many, "leading")
     rest = terms.join(lead.select("unit", F.col("k").alias("lead")), "unit").where("k <> lead").select("unit", "k", "term")
-    pairs = many.select("unit", "doc_id").join(rest, "unit")
+    # Likewise.
+    pairs = materialise(many.select("unit", "doc_id").join(rest, "unit"), "pairs")
     near = pairs.join(at.select("term", "doc_id", "positions"), ["term", "doc_id"]).select("unit", "doc_id", F.transform("positions", lambda x: x - F.col("k")).alias("places"))
     near = near.groupBy("unit", "doc_id").agg(F.collect_list("places").alias("places"))
     whole = many.join(near, ["unit", "doc_id"]).where(F.size("places") == F.col("of") - 1)
