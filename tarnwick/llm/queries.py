@@ -129,6 +129,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.when(F.size("spans") > 0, suffix.as_text(F.col("kept"))).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 

@@ -1,22 +1,30 @@
 """Suffix-array dedup: every byte covered by a string of `length` bytes that starts twice.
 
 Windows of `length` bytes are dealt by their minimiser, the k-gram of least hash, which equal
-windows share. A run of windows with one minimiser is a stretch. Stretches that are equal as a
-whole need no search; the distinct stretches of one minimiser are put into blocks, and in each
-block the breadth-first backward extension on the Burrows-Wheeler transform derives the common
-prefixes of neighbouring suffixes by increasing value and stops at `length`: what has no value
-by then is repeated. A minimiser with very many distinct stretches is split, and each pair of
-its parts is a block, so no block grows with the data.
+windows share. A run of windows with one minimiser is a stretch. The distinct stretches of one
+minimiser stand in one block, a stretch that occurs more than once as two copies; in each block
+the breadth-first backward extension on the Burrows-Wheeler transform derives the common prefixes
+of neighbouring suffixes by increasing value and stops at `length`: what has no value by then is
+repeated. Every repeated byte is found that way. Two copies have one suffix array: what is sorted
+is one of them, and its entries are doubled.
+
+A minimiser with more than PART distinct stretches is refined: its windows are dealt anew by the
+half of the places that the minimiser can have in a window, together with the bytes that all
+windows of that half have in common, then by the quarter, and so on. Equal windows stay together,
+unlike ones part, and what has become unique goes. So no block grows with the data, and no
+stretch is paired with others by parts.
 
 Defined cases: a null text is empty; a text shorter than `length` loses nothing; copies of a
 whole text lose all of it; rows are told apart by doc_id and text hash, so repeated rows count
-as repeats of one another and equal doc_ids with other texts do not mix; an empty table gives
-no rows; further columns are ignored.
+as repeats of one another and equal doc_ids with other texts do not mix; a very long text is
+scanned as a whole in one task, in memory of about 40 times its size; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +36,17 @@ from tarnwick.session import materialise
 
 #: Bytes that are scanned at a time, and bytes of a block (below 2**20, see `suffix_array`).
 CHUNK, BLOCK = 1 << 19, 300_000
-#: Distinct stretches of one minimiser in a part.
+#: Distinct stretches of one minimiser beyond which it is refined.
 PART = 250
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 
 
+def most_of(length: int) -> int:
+    """Distinct stretches that a block may have of one minimiser: PART, fewer where windows are long."""
+    return max(1, min(PART, (1 << 19) // (2 * length)))
+
+
 def gram_size(length: int) -> int:
     """The k-grams of a window: the largest power of two up to a third of it."""
     k = 1
@@ -64,10 +77,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, minimiser hash) of the stretches of texts, as arrays."""
+    """(text, start, windows, minimiser hash, its place in the first window) of the stretches of texts, as arrays."""
     k = gram_size(length)
     sizes = np.array([len(t) for t in texts], np.int64)
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     if not (sizes >= length).any():
         return empty
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -83,10 +96,11 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     place = least[first[text] + at]
     new = np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1]))
     head = np.flatnonzero(new)
-    return text[head], at[head], np.diff(np.append(head, len(text))), grams[place[head].astype(np.int64)]
+    place = place[head].astype(np.int64)
+    return text[head], at[head], np.diff(np.append(head, len(text))), grams[place], place - first[text[head]] - at[head]
 
 
-SCAN = "doc_id {}, th int, gram long, c1 long, c2 long, start int, windows int"
+SCAN = "doc_id {}, th int, gram long, c1 long, c2 long, start int, windows int, lead int"
 
 
 def scan(docs: DataFrame, length: int) -> DataFrame:
@@ -102,45 +116,60 @@ def scan(docs: DataFrame, length: int) -> DataFrame:
                 while at + len(part) < len(texts) and (not part or size < CHUNK):
                     part.append((texts[at + len(part)] or "").encode())
                     size += len(part[-1])
-                text, start, windows, gram = stretches(part, length)
+                text, start, windows, gram, lead = stretches(part, length)
                 if len(text):
                     sums = b"".join(xxhash.xxh3_128_digest(part[t][s : s + n + length - 1]) for t, s, n in zip(text.tolist(), start.tolist(), windows.tolist(), strict=True))
                     pair = np.frombuffer(sums, np.int64).reshape(-1, 2)
                     rows = pa.array(at + text)
-                    cols = [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (gram.view(np.int64), pair[:, 0], pair[:, 1], start.astype(np.int32), windows.astype(np.int32)))]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "gram", "c1", "c2", "start", "windows"])
+                    cols = [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (gram.view(np.int64), pair[:, 0], pair[:, 1], start.astype(np.int32), windows.astype(np.int32), lead.astype(np.int32)))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "gram", "c1", "c2", "start", "windows", "lead"])
                 at += len(part)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, SCAN.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse by prefix doubling; below 2**20 symbols, each below 2**14."""
+    """Suffix array and its inverse by prefix doubling; below 2**20 symbols, each below 2**14.
+
+    After the first sort only suffixes that still tie with others are sorted again.
+    """
     n = len(symbols)
-    idx, mask = np.arange(n, dtype=np.int64), (1 << 20) - 1
     s = np.append(symbols.astype(np.int64) + 1, [0, 0])
-    key, h = (s[:-2] << 28 | s[1:-1] << 14) | s[2:], 3
-    key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while True:
-        ahead = np.zeros(n, np.int64)
-        if h < n:
-            ahead[:-h] = key[h:] + 1
-        packed = np.sort(key << 40 | ahead << 20 | idx)
-        sa = packed & mask
-        new = np.append(False, np.diff(packed >> 20) != 0)
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(new)
-        if new[1:].all() or h >= n:
-            return sa, rank
-        key, h = rank, 2 * h
-
-
-def repeated(strings: list[bytes], length: int) -> list[np.ndarray]:
+    packed = ((s[:-2] << 28 | s[1:-1] << 14) | s[2:]) << 20 | np.arange(n, dtype=np.int64)
+    packed.sort()
+    sa = packed & ((1 << 20) - 1)
+    start = np.append(True, (packed[1:] >> 20) != (packed[:-1] >> 20))
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))  # the first place of those that tie
+    lone = start & np.append(start[1:], True)
+    places = np.flatnonzero(~lone)
+    h = 3
+    while len(places):
+        tied = sa[places]
+        ahead = np.zeros(len(tied), np.int64)
+        inside = tied + h < n
+        ahead[inside] = rank[tied[inside] + h] + 1
+        packed = (rank[tied] << 20 | ahead) << 20 | np.arange(len(tied), dtype=np.int64)
+        packed.sort()
+        tied = tied[packed & ((1 << 20) - 1)]
+        packed >>= 20
+        start = np.append(True, packed[1:] != packed[:-1])
+        # groups keep their places, so those of all that tie are the same as before
+        sa[places] = tied
+        rank[tied] = np.maximum.accumulate(np.where(start, places, 0))
+        lone = start & np.append(start[1:], True)
+        places = places[~lone]
+        h *= 2
+    return sa, rank
+
+
+def repeated(strings: list[bytes], length: int, copies: list[bool] | None = None) -> list[np.ndarray]:
     """For each string, a mask of the places where a substring of `length` starts that starts elsewhere too.
 
-    lcp[i] is found for ever longer common prefixes l: an interval of suffixes that share l
-    characters is extended backwards by each character before it, and the right edge of what
-    comes out has the value l if it has none yet. Separators differ, so they end every match.
+    A string whose `copies` is set stands there twice. lcp[i] is found for ever longer common
+    prefixes l: an interval of suffixes that share l characters is extended backwards by each
+    character before it, and the right edge of what comes out has the value l if it has none yet.
+    Separators differ, so they end every match.
     """
     r = len(strings)
     sizes = np.array([len(s) for s in strings])
@@ -152,12 +181,19 @@ def repeated(strings: list[bytes], length: int) -> list[np.ndarray]:
     symbols[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + r
     symbols[ends] = np.arange(r)
     sa, rank = suffix_array(symbols)
-    before = symbols[sa - 1]  # the transform; of place 0 it is the last separator
-    back = rank[sa - 1]
+    # The suffixes of the second copy stand right behind those of the first.
+    weight = np.ones(n, np.int64) if copies is None else np.repeat(1 + np.array(copies, np.int64), sizes + 1)
+    times = weight[sa]
+    first = np.cumsum(times) - times
+    second = np.zeros(int(times.sum()), np.int64)
+    second[first[times == 2] + 1] = 1
+    sa, n = np.repeat(sa, times), len(second)
+    before = symbols[sa - 1]  # the transform; of a string's start it is a separator
+    back = first[rank[sa - 1]] + second  # right where `before` is no separator
     known = np.zeros(n + 1, bool)  # whether lcp[i], of the suffixes ranked i - 1 and i, is below `length`
     known[0] = known[n] = True
     head = symbols[sa]
-    known[1:n] = head[1:] != head[:-1]
+    known[1:n] = (head[1:] != head[:-1]) | (head[1:] < r)
     # the intervals of single symbols; a separator's is its own suffix alone
     lo, hi = np.flatnonzero(known[:n]), np.flatnonzero(known[1:])
     for _ in range(1, length):
@@ -183,7 +219,7 @@ def repeated(strings: list[bytes], length: int) -> list[np.ndarray]:
         fresh = ~known[nhi + 1]
         lo, hi = nlo[fresh], nhi[fresh]
         known[hi + 1] = True
-    twice = np.zeros(n, bool)
+    twice = np.zeros(len(symbols), bool)
     same = ~known[1:n]  # neighbours that share `length` symbols
     twice[sa[1:][same]] = True
     twice[sa[:-1][same]] = True
@@ -195,46 +231,111 @@ def runs(mask: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in edge.reshape(-1, 2)]
 
 
+RUNS = "array<struct<a:int,b:int>>"
+
+
 def search(blocks: DataFrame, length: int) -> DataFrame:
-    """(gram, c1, c2, runs) of stretches (gram, s, t, c1, c2, content): runs of repeated window starts.
+    """(gram, c1, c2, runs) of stretches (gram, c1, c2, copies, content): runs of repeated window starts.
 
-    Rows with equal (gram, s, t) stand together in a partition; each such group is bounded.
+    Rows of one gram stand together in a partition, and are few.
     """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        found = [runs(m[: len(m) - length + 1]) for m in repeated([x[-1] for x in rows], length)]
-        hit = [(*x[3:5], x[0], f) for x, f in zip(rows, found, strict=True) if f]
+        found = [runs(m[: len(m) - length + 1]) for m in repeated([x[-1] for x in rows], length, [x[3] for x in rows])]
+        hit = [(*x[:3], f) for x, f in zip(rows, found, strict=True) if f]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
         cols = list(zip(*hit, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["c1", "c2", "gram", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["gram", "c1", "c2", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []  # whole groups
         group: list[tuple] = []
-        size = 0
+        size = own = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    own = sum(len(x[-1]) + 1 for x in group)
-                    # Pairs of parts of one minimiser have stretches in common, so they stay apart.
-                    if ready and (size + own > BLOCK or ready[-1][0] == group[0][0]):
+                if group and group[0][0] != row[0]:
+                    if ready and size + own > BLOCK:
                         yield flush(ready)
                         ready, size = [], 0
-                    ready, size, group = ready + group, size + own, []
+                    ready, size, group, own = ready + group, size + own, [], 0
                 group.append(row)
-        if ready and (sum(len(x[-1]) + 1 for x in group) + size > BLOCK or ready[-1][0] == group[0][0]):
+                own += len(row[-1]) + 1
+        if ready and own + size > BLOCK:
             yield flush(ready)
             ready = []
         if ready or group:
             yield flush(ready + group)
 
-    schema = "c1 long, c2 long, gram long, runs array<struct<a:int,b:int>>"
-    return blocks.select("gram", "s", "t", "c1", "c2", "content").mapInArrow(run, schema)
+    return blocks.select("gram", "c1", "c2", "copies", "content").mapInArrow(run, f"gram long, c1 long, c2 long, runs {RUNS}")
+
+
+def halves(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """Pieces (gram, c1, c2, off, lead, copies, content), each cut where the minimiser's place in the
+    window passes a multiple of `width`: with key, a hash of that multiple, the gram and the bytes that all windows
+    of that range have, and k1 and k2, a hash of the new content.
+
+    The range of places [q * width, (q + 1) * width) of a minimiser at p has the bytes from p - q * width to
+    p - (q + 1) * width + 1 + length in common; a window of the range has all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for gram, c1, c2, off, lead, copies, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                windows, i = len(content) - length + 1, 0
+                while i < windows:  # window i has the minimiser at lead - i
+                    q = (lead - i) // width
+                    n = min(windows - i, lead - i - q * width + 1)
+                    core = content[max(0, lead - q * width) : lead - (q + 1) * width + 1 + length]
+                    part = content[i : i + n + length - 1]
+                    key = xxhash.xxh3_64_intdigest(core + q.to_bytes(4, "little"), gram & (2**64 - 1))
+                    k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(part), np.int64).tolist()
+                    out.append((gram, c1, c2, off + i, lead - i, copies, part, key - (key >> 63 << 64), k1, k2))
+                    i += n
+            names = ["gram", "c1", "c2", "off", "lead", "copies", "content", "key", "k1", "k2"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    schema = "gram long, c1 long, c2 long, off int, lead int, copies boolean, content binary, key long, k1 long, k2 long"
+    return pieces.select("gram", "c1", "c2", "off", "lead", "copies", "content").mapInArrow(run, schema)
+
+
+def refined(heavy: DataFrame, length: int) -> DataFrame:
+    """(gram, c1, c2, runs) for stretches (gram, c1, c2, lead, copies, content) of minimisers with many distinct ones."""
+    left = heavy.withColumn("off", F.lit(0))
+    width, found = length - gram_size(length) + 1, []
+    while width > 1:
+        width = (width + 1) // 2
+        pieces = materialise(halves(left, length, width), "pieces")
+        # Counted by content first, so that a key's many equal pieces are few rows.
+        kinds = pieces.groupBy("key", "k1", "k2").agg(F.count("*").alias("n"), F.max("copies").alias("copies"), F.first("content").alias("content"))
+        kinds = materialise(kinds.withColumn("copies", F.col("copies") | (F.col("n") > 1)), "kinds")
+        size = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("copies").alias("some")).where("kinds > 1 OR some")
+        size = materialise(size.select("key", (F.col("kinds") <= most_of(length)).alias("light")), "sizes")
+        ready = kinds.join(size.where("light"), "key").select(F.col("key").alias("gram"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "copies", "content")
+        hits = materialise(dealt(ready, length), "hits").withColumnsRenamed({"gram": "key", "c1": "k1", "c2": "k2"})
+        mine = pieces.drop("content").join(hits, ["key", "k1", "k2"])
+        moved = F.transform("runs", lambda x: F.struct((x["a"] + F.col("off")).alias("a"), (x["b"] + F.col("off")).alias("b")))
+        found.append(mine.select("gram", "c1", "c2", moved.alias("runs")))
+        left = pieces.join(size.where("NOT light"), "key").select("gram", "c1", "c2", "off", "lead", "copies", "content")
+        left = materialise(left, "left")
+        if left.isEmpty():
+            break
+    # With a width of 1 all windows of a key are equal, so nothing is left.
+    return reduce(DataFrame.unionByName, found)
+
+
+def dealt(rows: DataFrame, length: int) -> DataFrame:
+    """`search` of rows (gram, c1, c2, copies, content), whose grams have up to PART rows, put into partitions by gram."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return search(rows.repartition(n, "gram").sortWithinPartitions("gram"), length)
 
 
 def find(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, start, end): byte ranges of docs (doc_id, th, text) that are repeated; they overlap."""
-    spark = docs.sparkSession
     found = materialise(scan(docs, length), "stretches")
     key = ["gram", "c1", "c2"]
     # Minimisers met twice, in one text or several; counted with partial sums, so a hot one is no burden.
@@ -242,29 +343,22 @@ def find(docs: DataFrame, length: int) -> DataFrame:
     twice = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     found = materialise(found.join(twice, "gram"), "shared")
     contents = found.groupBy(*key).agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("at"), F.first("windows").alias("windows")
+        (F.count("*") > 1).alias("copies"), F.min(F.struct("doc_id", "th", "start")).alias("at"), F.first("windows").alias("windows"), F.first("lead").alias("lead")
     )
     contents = materialise(contents, "contents")
-    kinds = contents.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    unsure = contents.join(kinds, "gram").select(*key, "windows", "kinds", F.col("n"), "at.doc_id", "at.th", "at.start")
-    unsure = materialise(unsure, "unsure")
-    held, _ = split_by_keys(docs, unsure.select("doc_id"))
+    heavy = materialise(contents.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most_of(length)).select("gram"), "heavy")
+    # Each content is cut out of one text that has it.
+    held, _ = split_by_keys(docs, contents.select("at.doc_id"))
     text = held.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).dropDuplicates(["d", "h"])
-    cut = unsure.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*key, "kinds", "start", "windows")).alias("want"))
-    cut = cut.join(text, cut["doc_id"].eqNullSafe(text["d"]) & (cut["th"] == text["h"])).select("raw", F.explode("want").alias("w"))
-    cut = cut.select("w.*", F.substring("raw", F.col("w.start") + 1, F.col("w.windows") + (length - 1)).alias("content"))
-    parts = F.ceil(F.col("kinds") / PART).cast("int")
-    cut = cut.withColumn("g", parts).withColumn("own", F.pmod(F.hash("c1"), F.col("g")))
-    cut = cut.withColumn("other", F.explode(F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))))
-    cut = cut.where("g = 1 OR other <> own").select(*key, F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "content")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = cut.repartition(n, "gram", "s", "t").sortWithinPartitions("gram", "s", "t")
-    hits = search(blocks, length).groupBy(*key).agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    whole = contents.where("n > 1").select(*key, F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
-    # A content that is repeated as a whole needs no runs besides.
-    once = contents.where("n = 1").select(*key).join(hits, key)
-    marks = whole.unionByName(once)
-    return found.join(marks, key).select(
+    cut = contents.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct(*key, "copies", "lead", "at.start", "windows")).alias("want"))
+    cut = cut.join(text, cut["doc_id"].eqNullSafe(text["d"]) & (cut["th"] == text["h"]))
+    # Cut before it is exploded, or each row would carry the whole text.
+    part = lambda w: F.struct(*(w[c].alias(c) for c in (*key, "copies", "lead")), F.substring("raw", w["start"] + 1, w["windows"] + (length - 1)).alias("content"))
+    cut = materialise(cut.select(F.explode(F.transform("want", part)).alias("w")).select("w.*"), "cut")
+    marks = dealt(cut.join(heavy, "gram", "left_anti"), length)
+    if not heavy.isEmpty():
+        marks = marks.unionByName(refined(cut.join(heavy, "gram"), length))
+    return found.join(materialise(marks, "runs"), key).select(
         "doc_id", "th", F.explode("runs").alias("r"), "start"
     ).select("doc_id", "th", (F.col("start") + F.col("r.a")).alias("start"), (F.col("start") + F.col("r.b") + (length - 1)).alias("end"))
 

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -105,24 +106,39 @@ def test_suffix(spark, docs, none, length):
     assert suffix.dedup(none, length).count() == 0
 
 
-def test_suffix_parts_of_a_hot_minimiser(spark, monkeypatch):
+def test_suffix_refines_a_hot_minimiser(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PART", 4)
     core = prose(60, 9)
     rows = [(i, prose(20, 100 + i) + " " + core + " " + prose(20, 200 + i)) for i in range(30)]
+    # some with surroundings in common, copies, and a text that repeats itself
+    rows += [(40 + i, rows[i % 5][1][:150] + core + rows[i % 3][1][-90:]) for i in range(12)] + [(60, rows[0][1]), (61, "ab" * 300)]
+    want = key(zip([i for i, _ in rows], brute_repeats([t.encode() for _, t in rows], 60), strict=True))
+    ran = []
+    whole = suffix.refined
+    monkeypatch.setattr(suffix, "refined", lambda *a: ran.append(1) or whole(*a))
     got = suffix.dedup(table(spark, rows), 60).collect()
-    assert key((r.doc_id, bytes(r.kept)) for r in got) == key(zip([i for i, _ in rows], brute_repeats([t.encode() for _, t in rows], 60), strict=True))
+    assert key((r.doc_id, bytes(r.kept)) for r in got) == want and ran
 
 
 def test_repeated_against_brute_force():
     r = random.Random(0)
-    for _ in range(200):
+    for _ in range(300):
         n, letters = r.randint(2, 12), "ab"[: r.randint(1, 2)] + "c" * r.randint(0, 1)
         strings = ["".join(r.choice(letters) for _ in range(r.randint(1, 40))).encode() for _ in range(r.randint(1, 6))]
-        count = Counter(s[i : i + n] for s in strings for i in range(len(s) - n + 1))
-        for s, m in zip(strings, suffix.repeated(strings, n), strict=True):
+        copies = [r.random() < 0.3 for _ in strings]
+        count = Counter(s[i : i + n] for s, c in zip(strings, copies) for _ in range(1 + c) for i in range(len(s) - n + 1))
+        for s, m in zip(strings, suffix.repeated(strings, n, copies), strict=True):
             assert [bool(x) for x in m[: max(0, len(s) - n + 1)]] == [count[s[i : i + n]] > 1 for i in range(len(s) - n + 1)]
 
 
+def test_suffix_array():
+    r = random.Random(1)
+    for _ in range(100):
+        s = np.array([r.randint(0, r.choice([1, 3, 200])) + 1 for _ in range(r.randint(1, 300))] + [0])
+        sa, rank = suffix.suffix_array(s)
+        assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist()) and (rank[sa] == np.arange(len(s))).all()
+
+
 def test_as_text(spark):
     raw = "aé😀z".encode()
     rows = [(raw[:i] + raw[j:],) for i in range(len(raw)) for j in range(i, len(raw))]
