@@ -7,7 +7,8 @@ written before it. Everything is DataFrame operations over one shuffle by conver
 
 Defined cases: null text and role count as empty, a null kind as `delta`, a null seq or msg
 sorts first; events that tie on seq are taken in order of (msg, kind, role, text); repeated
-rows are events of their own; a null conv_id is a conversation like any other; an empty table
+rows are events of their own; a very long text or conversation is one string of one row, as the method
+has it: a conversation is one window group and has to fit a task; a null conv_id is a conversation like any other; an empty table
 gives no rows; further columns are ignored.
 """
 

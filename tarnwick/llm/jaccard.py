@@ -15,7 +15,7 @@ by found ones is left out, so the components are those of all links.
 Defined cases: a null, empty or wordless text has an empty set and links with nothing; a text
 with fewer words than n is one n-gram; equal rows are one node; texts that share a doc_id are one
 document, which links as any of them does; a null doc_id links with nothing and has a null
-component; an empty table gives no rows; further columns are ignored.
+component; very long texts are taken whole, unfolded one at a time; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import split_by_keys
+from tarnwick.operators.graph import stars
 from tarnwick.session import materialise
 
 #: Entries of the table of frequent n-grams, and n-grams that are counted at a time for it.
 FREQUENT, COUNTED = 1 << 17, 1_000_000
+#: Rows of one n-gram that a task sorts, about, and pairs of one document that are verified in a group.
+SPLIT, BATCH = 200_000, 1_000
 #: Hash ranges of the suffix filter, whose counts are a byte each; a set with more than MOST_COUNT in one goes unfiltered.
 RANGES, MOST_COUNT = 128, 127
 CHUNK = 1 << 20
@@ -183,7 +186,7 @@ def measure(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(docs: DataFrame, n: int, share: Share, tokens: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, c1, n, pos): the probing prefix of every set, rare n-grams first."""
+    """(token, c1, n, pos, salt): the probing prefix of every set, rare n-grams first; the salt splits an n-gram that is counted often."""
     order = np.argsort(tokens)
     sent = docs.sparkSession.sparkContext.broadcast((tokens[order], counts[order]))  # FREQUENT rows at most
 
@@ -191,7 +194,7 @@ def prefixes(docs: DataFrame, n: int, share: Share, tokens: np.ndarray, counts:
         known, often = sent.value
         seen = _Seen()
         for _, texts in _chunks(batches, 0):
-            parts, size, keys = [], [], []
+            parts, size, keys, salts = [], [], [], []
             for s in ngram_sets(texts, n):
                 if not len(s) or not seen.new(key := _digest(s)):
                     continue
@@ -205,17 +208,24 @@ def prefixes(docs: DataFrame, n: int, share: Share, tokens: np.ndarray, counts:
                 parts.append(s[:p])
                 size.append(len(s))
                 keys.append(key[0])
+                salt = np.zeros(p, np.int32)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, parts[-1]), len(known) - 1)
+                    groups = np.where(known[at] == parts[-1], 1 + often[at] // SPLIT, 1)
+                    salt = np.where(groups > 1, 1 + key[1] % groups, 0).astype(np.int32)
+                salts.append(salt)
             if parts:
                 each = np.array([len(p) for p in parts])
                 pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                cols = [np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), each), np.repeat(size, each).astype(np.int32), pos.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "c1", "n", "pos"])
+                cols = [np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), each), np.repeat(size, each).astype(np.int32), pos.astype(np.int32), np.concatenate(salts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "c1", "n", "pos", "salt"])
 
-    return docs.select("text").mapInArrow(run, "token long, c1 long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "token long, c1 long, n int, pos int, salt int")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
-    """Rows (token, c1, ...), sorted by both within partitions, each once, whose token occurs more than once."""
+    """Rows (token, c1, ..., salt), sorted by token, salt and c1 within partitions, each once, whose token occurs
+    more than once; those of a token that is split all stay."""
 
     def pair(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -238,71 +248,47 @@ def shared_only(rows: DataFrame) -> DataFrame:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
             t, _ = pair(batch)
             equal = np.append(before is not None and t[0] == before, t[1:] == t[:-1])
-            yield batch.slice(0, len(t) - 1).filter(pa.array(equal[:-1] | equal[1:]))
+            split = np.asarray(batch.column("salt")) > 0
+            yield batch.slice(0, len(t) - 1).filter(pa.array(equal[:-1] | equal[1:] | split[:-1]))
             last = batch.slice(len(t) - 1)
             before = t[-2] if len(t) > 1 else before
-        if last is not None and before is not None and pair(last)[0][0] == before:
+        if last is not None and (last.column("salt")[0].as_py() > 0 or (before is not None and pair(last)[0][0] == before)):
             yield last
 
     return rows.mapInArrow(run, rows.schema)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, share: Share) -> DataFrame:
-    """The pairs (x, y) of doc_ids that link, from the whole texts."""
+    """The pairs (x, y) of doc_ids that link, from the whole texts; pairs have to stand written.
+
+    Pairs are dealt by y, of which a hub has many, BATCH to a group; a group carries y's text once, in front, and
+    then the texts of its x.
+    """
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id")))
     held, _ = split_by_keys(docs.select("doc_id", "text"), ids)
-    left = held.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    right = held.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs_of = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            texts = list({t for pair in pairs_of for t in pair})
-            sets, at, size = {}, 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= CHUNK or i == len(texts) - 1:
-                    sets.update(zip(texts[at : i + 1], ngram_sets([(x or "").encode() for x in texts[at : i + 1]], n), strict=True))
-                    at, size = i + 1, 0
-            hit = [share.linked(sets[a], sets[b]) for a, b in pairs_of]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(hit, pa.bool_()))
-
+    groups = pairs.groupBy("y").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("groups"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
-    return rows.mapInArrow(run, f"x {kind}, y {kind}").distinct()
-
+    front = groups.join(held.withColumnRenamed("doc_id", "y"), "y")
+    front = front.select("y", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast(kind).alias("x"), "text")
+    each = pairs.join(groups, "y").join(held.withColumnRenamed("doc_id", "x"), "x")
+    each = each.select("y", F.pmod(F.hash("x"), F.col("groups")).alias("g"), "x", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = front.unionByName(each).repartition(parts, "y", "g").sortWithinPartitions("y", "g", F.col("x").asc_nulls_first())
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) of links (x, y), for each node but the least of its component, by alternating stars.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, heads = None, []  # the group that is met, and the sets of its y
+        for batch, texts in _chunks(batches, 3):
+            sets, xs, ys = ngram_sets(texts, n), batch.column(2).to_pylist(), batch.column(0).to_pylist()
+            hit = []
+            for x, y, g, s in zip(xs, ys, batch.column(1).to_pylist(), sets, strict=True):
+                if (y, g) != own:
+                    own, heads = (y, g), []
+                if x is None:
+                    heads.append(s)
+                hit.append(x is not None and any(share.linked(s, h) for h in heads))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0)], ["x", "y"]).filter(pa.array(hit, pa.bool_()))
 
-    Each round hangs neighbours on the least node around, first the greater then the smaller
-    ones, until the edges stay as they are; hubs are met by partial aggregates and joins that
-    can be split.
-    """
-    ordered = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialise(ordered(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "edges")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    was = mark(edges)
-    for _ in range(most):
-        if not was[0]:
-            break
-        # large star: greater neighbours of u go to the least node around u
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        # small star: u and its smaller neighbours go to the least of them
-        large = materialise(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        own = large.join(least, "u")
-        small = own.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(ordered(small), "edges")
-        now = mark(edges)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return rows.select("y", "g", "x", "text").mapInArrow(run, f"x {kind}, y {kind}").distinct()
 
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -317,8 +303,8 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     nodes = materialise(nodes, "nodes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes(docs.where("doc_id IS NOT NULL"), n, share, tokens, counts).repartition(parts, "token").sortWithinPartitions("token", "c1")
-    shared = materialise(shared_only(dealt), "prefixes")
+    dealt = prefixes(docs.where("doc_id IS NOT NULL"), n, share, tokens, counts).repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "c1")
+    shared = materialise(shared_only(dealt).drop("salt"), "prefixes")
 
     # Round one: each row with the hub of its token.
     hubs = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "c1")).alias("hub"), F.count("*").alias("k")).where("k > 1")
@@ -336,7 +322,8 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
         return full.select(F.greatest("node_a", "node_b").alias("x"), F.least("node_a", "node_b").alias("y"), F.col("node_b").alias("hub")).distinct()
 
     first = materialise(by_node(star.where(fits)), "pairs")
-    linked = materialise(verify(first.select("x", "y").distinct(), docs, n, share), "links")
+    once = materialise(first.select("x", "y").distinct(), "pairs")
+    linked = materialise(verify(once, docs, n, share), "links")
 
     # Round two: pairs that share a token and that no common hub links.
     with_hub = linked.join(first, ["x", "y"]).select("x", "y", "hub")
@@ -355,10 +342,10 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     longer = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
     suffix = share.suffix_fits(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))
     rest = a.join(b, (a["token"] == b["token"]) & (F.col("ga") != F.col("gb")) & longer & fits & suffix).select("a", "b")
-    rest = by_node(rest).select("x", "y").distinct().join(first.select("x", "y").distinct(), ["x", "y"], "left_anti")
+    rest = by_node(rest).select("x", "y").distinct().join(once, ["x", "y"], "left_anti")
     more = verify(materialise(rest, "pairs"), docs, n, share)
 
-    found = components(materialise(linked.unionByName(more), "links"))
+    found = stars(materialise(linked.unionByName(more), "links"))
     classes = nodes.withColumnRenamed("node", "own").join(found, F.col("own") == F.col("node"), "left")
     classes = classes.select("c1", "c2", F.coalesce("component", "own").alias("component"))
     out = rows.join(classes, ["c1", "c2"], "left")

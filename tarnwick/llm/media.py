@@ -388,6 +388,11 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def clip_rows(videos: DataFrame) -> DataFrame:
+    """A row for each clip of what `read` gives: doc_id, clip, start_s, end_s, frames; none for a file that is no video."""
+    return videos.select("doc_id", F.explode("clips").alias("c")).select("doc_id", "c.clip", "c.start_s", "c.end_s", "c.frames")
+
+
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<clip:int,start_s:double,end_s:double,frames:int>>"
 
 

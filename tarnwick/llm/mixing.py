@@ -14,7 +14,7 @@ burden. DataFrame operations only.
 Defined cases: null path columns are nodes named ''; a null text has no tokens; a document
 without tokens costs nothing and is taken with its epoch's prefix; a family whose weights are
 all 0 takes nothing; rows with equal doc_id and text tie and are taken together or not;
-an empty table gives no rows; further columns are kept.
+very long texts are counted whole; an empty table gives no rows; further columns are kept.
 """
 
 from __future__ import annotations
@@ -57,16 +57,20 @@ def budgets(leaves: DataFrame, budget: float, epochs: int, power: float = 0.7, w
     A node's weight is its row in weights (domain, lang, source, weight; null below its level),
     or else its tokens to the given power.
     """
-    above = leaves.select(F.lit(float(budget)).alias("budget")).distinct()
-    family: list[str] = []
-    for depth, name in enumerate(LEVELS, 1):
+    levels, below = [], leaves.groupBy(*LEVELS).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("cap", F.col("tokens") * epochs)
+    for depth in range(len(LEVELS), 0, -1):
         path = list(LEVELS[:depth])
-        nodes = leaves.groupBy(*path).agg(F.sum("tokens").cast("double").alias("tokens"))
-        nodes = nodes.withColumn("cap", F.col("tokens") * epochs).withColumn("weight", F.pow("tokens", F.lit(power)))
+        nodes = below.groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap")).withColumn("weight", F.pow("tokens", F.lit(power)))
         if weights is not None:
             level = weights.where(" AND ".join([f"{c} IS NOT NULL" for c in path] + [f"{c} IS NULL" for c in LEVELS[depth:]]))
             nodes = nodes.join(level.select(*path, F.col("weight").cast("double").alias("_own")), path, "left")
             nodes = nodes.withColumn("weight", F.coalesce("_own", "weight")).drop("_own")
+        # What has no weight takes nothing, so it is no room that its ancestors have.
+        below = nodes.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0.0))
+        levels.insert(0, below)
+    above, family = leaves.limit(0), []
+    for depth, (name, nodes) in enumerate(zip(LEVELS, levels, strict=True), 1):
+        path = list(LEVELS[:depth])
         nodes = nodes.withColumn("budget", F.lit(float(budget))) if not family else nodes.join(above.drop("tokens"), family)
         above = fill(nodes, family, name).select(*path, "tokens", F.col("given").alias("budget"))
         family = path

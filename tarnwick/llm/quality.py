@@ -6,9 +6,8 @@ count per bucket, so partial sketches of a hot group are merged map-side. Fences
 group's quartiles replace fixed cutoffs, and are joined back to the measures. DataFrame
 operations only; texts are never shuffled.
 
-Defined cases: a null text is empty and has no words; null lang and source are groups of their
-own; a measure without a base (no words, too few words) is null and never rejects; repeated rows
-are measured each; an empty table gives no rows; further columns are ignored.
+Defined cases: a null text is empty and has no words; null lang and source count as empty strings; a measure without a base (no words, too few words) is null and never rejects; repeated rows
+are measured each; very long texts are measured whole, in arrays of their words; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.session import materialise
+
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r"
 WINDOW = 5
@@ -120,8 +121,8 @@ def fences(sketches: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Measures, base_failed and kept for every row of docs (doc_id, lang, source, text)."""
-    rated = rates(measure(docs))
-    # Measured twice (once for the sketches) rather than stored: nothing wide is written.
+    # Measured once: the few numbers of each row are written, and read for the sketches and for the verdicts.
+    rated = rates(materialise(measure(docs), "measures"))
     limits = fences(sketch(rated))
     out = F.lit(False)
     for m, (_, low) in MEASURES.items():

@@ -33,12 +33,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    # Every row of the log opens a message of its own, in the order of turns.
+    # Every row of the table is a message of its own, in the order of turns, logged as it is streamed:
+    # a start with the first half of its text, then a delta with the other.
     nth = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.select("conv_id", nth.alias("seq"), nth.alias("msg"), F.lit("start").alias("kind"), "role", "text")
-    back = chat.format_chats(events).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"))
-    own = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
-    back = back.withColumn("loss", F.array_join(own, ""))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), F.lit("start").alias("kind"), F.substring("text", F.lit(1), half).alias("text")),
+        F.struct(F.lit(1).alias("part"), F.lit("delta").alias("kind"), F.substring("text", half + 1, F.length("text")).alias("text")),
+    )
+    events = rows.select("conv_id", nth.alias("msg"), "role", F.explode(parts).alias("e")).select("conv_id", (F.col("msg") * 2 + F.col("e.part")).alias("seq"), "msg", "e.kind", "role", "e.text")
+    back = chat.format_chats(events).select("conv_id", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("turns"))
+    under_mask = F.transform("loss_spans", lambda s: chat.unescape(F.substring("formatted", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
+    back = back.withColumn("loss", F.array_join(under_mask, ""))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

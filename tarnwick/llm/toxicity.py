@@ -7,8 +7,9 @@ swapped for others of their group (a text without any gets a neutral mention), a
 change of the logit is penalised, so that naming a group does not move the score.
 
 Defined cases: a null or empty text has no features and scores as the intercept says; labels
-that are null are not used, a doc_id labelled twice counts as toxic if one label says so;
-repeated rows are scored each; without labels of both kinds every score is 0; an empty table
+that are null are not used, a doc_id labelled twice counts as toxic if one label says so, and
+of several texts with one doc_id the least is learnt from; repeated rows are scored each; very
+long texts are scored whole; without labels of both kinds every score is 0; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -128,8 +129,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST, groups:
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y: one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = pick(1).unionByName(pick(0))
-    # 2 * most rows of two numbers: a size that is bounded, so broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    # 2 * most rows of two numbers: a size that is bounded, so broadcast. Of rows with one doc_id the least text is used.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = texts.select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,8 @@ pages; distrust beyond it blocks the host. Ranks are iterated until a round chan
 than a thousandth of one page's share in sum. DataFrame operations only.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and no rule; a null
-html has no links; repeated rows are judged alike; empty tables give no rows; further columns
+html has no links; repeated rows are judged alike, and each counts as a page; very long urls and
+pages are read whole; empty tables give no rows; further columns
 are ignored.
 """
 
@@ -115,13 +116,10 @@ def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, rounds: int | N
     total = hosts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", "trusted", "blocked"))).first()
     seeds = lambda c: hosts.where(F.col(c) > 0).select("host", (F.col(c) / F.lit(float(total[c] or 1))).alias("seed"))
     edges = host_edges(pages).checkpoint()
-    if edges.isEmpty():
-        trust, distrust = (seeds(c).withColumnRenamed("seed", "score") for c in ("trusted", "blocked"))
-    else:
-        tolerance = SETTLED / (total["pages"] or 1)
-        trust = propagate(seeds("trusted"), edges, damping, rounds, tolerance)
-        turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-        distrust = propagate(seeds("blocked"), turned, damping, rounds, tolerance)
+    tolerance = SETTLED / (total["pages"] or 1)
+    trust = propagate(seeds("trusted"), edges, damping, rounds, tolerance)
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    distrust = propagate(seeds("blocked"), turned, damping, rounds, tolerance)
     fair = F.col("pages") / F.lit(float(total["pages"] or 1))
     bad = (
         hosts.join(trust.withColumnRenamed("score", "trust"), "host", "left")

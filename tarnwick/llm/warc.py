@@ -14,7 +14,7 @@ is a gap. Where its data is wrong but no record fails, nothing tells which heade
 Defined cases for pages: a null html is an empty payload, a null url is written without a target
 URI; among equal payloads the largest page_id is the response (repeated rows of it each), null
 page_ids are smallest and are responses only where all are null; empty tables give no archives;
-further columns are ignored. For archives: a null or empty content gives neither record nor gap.
+very long texts are written whole, each in a record and at most one over an archive's size; further columns are ignored. For archives: a null or empty content gives neither record nor gap.
 """
 
 from __future__ import annotations
@@ -201,19 +201,24 @@ def _next(data: bytes, at: int) -> tuple[int, list[Part]]:
     if data[at : at + 2] != b"\x1f\x8b":
         end, headers, block = _parse(data, at)
         return end, [(headers, block, "")]
-    unpack = zlib.decompressobj(31)
+    # Fed by growing pieces: what a member leaves of the last one is copied, not all that follows.
+    unpack, out, until, step, view = zlib.decompressobj(31), [], at, 4096, memoryview(data)
     try:
-        plain = unpack.decompress(memoryview(data)[at:])
+        while until < len(data) and not unpack.eof:
+            piece = view[until : until + step]
+            out.append(unpack.decompress(piece))
+            until, step = until + len(piece), min(2 * step, 1 << 20)
     except zlib.error as e:
         broke, plain = _partly(data, at)
         parts, located = _before_damage(plain)
         raise Damaged(str(e), broke, parts if located else []) from None
+    plain = b"".join(out)
     if not unpack.eof:
         raise Damaged("the member is cut short", len(data), _before_damage(plain)[0])
     parts = _inside(plain)
     if not any(headers for headers, _, _ in parts):
         raise ValueError(parts[0][2] if parts else "an empty member")
-    return len(data) - len(unpack.unused_data), parts
+    return until - len(unpack.unused_data), parts
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:

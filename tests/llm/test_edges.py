@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwick.operators.graph import stars
 from tarnwick.llm import bpe, chat, jaccard, media, mixing, quality, suffix, toxicity, urls, warc
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -153,6 +154,9 @@ def test_media(spark, docs, none):
     assert all(r.clips and r.clips[0].start_s == 0 for r in got) and media.read(media.store(none)).count() == 0
     bad = spark.createDataFrame([(1, 1, None), (2, 2, b"RIFF"), (3, 3, b"x" * 50)], "doc_id long, n_bytes long, media binary")
     assert [r.payload_bytes for r in media.read(bad).collect()] == [None] * 3
+    clips = media.clip_rows(media.read(media.store(docs))).collect()
+    assert len(clips) == sum(len(r.clips) for r in got) and all(r.end_s > r.start_s and r.frames for r in clips)
+    assert media.clip_rows(media.read(bad)).count() == 0
 
 
 def test_media_shots_and_general_jpeg():
@@ -186,6 +190,10 @@ def test_budgets_redistribute(spark):
     got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(leaves, 120, 2, weights=weights).collect()}
     # a gets 90: y can take 10 of its 45, x the other 80; of these source 2 takes 20, source 1 the other 60
     assert got == {("a", "x", "1"): 60, ("a", "x", "2"): 20, ("a", "y", "1"): 10, ("b", "x", "1"): 30}
+    none = spark.createDataFrame([("a", None, None, 0.0), ("b", None, None, 1.0), ("c", None, None, 1.0)], "domain string, lang string, source string, weight double")
+    three = spark.createDataFrame([("a", "x", "1", 50), ("b", "x", "1", 5), ("c", "x", "1", 500)], "domain string, lang string, source string, tokens long")
+    # what has no weight leaves its share to others, and a full sibling's shortage goes on
+    assert {r.domain: r.budget for r in mixing.budgets(three, 100, 2, weights=none).collect()} == {"a": 0, "b": 10, "c": 90}
     big = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(leaves, 1000, 2, weights=weights).collect()}
     assert big[("a", "x", "1")] == 200 and big[("b", "x", "1")] == 770
 
@@ -193,6 +201,8 @@ def test_budgets_redistribute(spark):
 def test_prefix_against_brute_force(spark):
     rows = [(i, prose(5 + i % 7, i)) for i in range(300)]
     out = mixing.mix(table(spark, rows), F.size(quality.words_of(F.col("text"))), F.lit("d"), share=0.4).collect()
+    leaves = spark.createDataFrame([(r.lang or "", r.source or "", r.n_tokens) for r in out], "lang string, source string, tokens long").withColumn("domain", F.lit("d"))
+    budget = {(r.lang, r.source): r.budget for r in mixing.budgets(leaves, 0.4 * sum(r.n_tokens for r in out), 2).collect()}
     by_leaf = defaultdict(list)
     for r in out:
         by_leaf[r.lang, r.source].append(r)
@@ -200,6 +210,10 @@ def test_prefix_against_brute_force(spark):
         order = sorted(own, key=lambda r: hashlib.md5(f"17/0/{r.doc_id}".encode()).hexdigest())
         taken = [r.epochs for r in order]
         assert taken == sorted(taken, reverse=True) and set(taken) == {0, 1}
+        # it meets the leaf's budget: the next document would be beyond it
+        k = sum(taken)
+        of = budget[own[0].lang or "", own[0].source or ""]
+        assert sum(r.n_tokens for r in order[:k]) <= of < sum(r.n_tokens for r in order[: k + 1])
 
 
 def test_warc(spark):
@@ -241,6 +255,18 @@ def test_warc_salvage(spark):
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def test_warc_time_is_linear():
+    import time
+
+    one = warc.member(warc.page_record(1, "http://a/", random.Random(1).randbytes(2000), None, False))
+    took = []
+    for n in (2000, 8000):
+        data, began = one * n, time.perf_counter()
+        assert sum(1 for _ in warc.salvage(data)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 9 * took[0]
+
+
 def test_urls_rules(spark):
     rows = [
         ("http://A.Example.NET/en/x", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://net/q", "net", "/q", "net/", "block"), ("https://fonet/x", "fonet", "/x", None, "allow"),
@@ -280,6 +306,49 @@ def test_propagate_against_brute_force(spark):
     assert {h: round(s, 9) for h, s in got.items() if s} == {h: round(s, 9) for h, s in rank.items() if s} and abs(sum(got.values()) - 1) < 1e-9
 
 
+def test_judge_against_brute_force(spark):
+    """Seeds, both ranks, threshold and verdicts of a random graph, and of one without links."""
+    for seed, links in ((1, 60), (2, 0)):
+        r = random.Random(seed)
+        hosts = [f"h{i}.{r.choice(['io', 'net', 'org'])}" for i in range(14)]
+        pages = []
+        for i in range(50):
+            to = [r.choice(hosts) for _ in range(r.randrange(4) if links else 0)]
+            pages.append((i, f"http://{r.choice(hosts)}/{r.choice(['fr/', 'x'])}", "".join(f'<a href="http://{h}/">l</a>' for h in to)))
+        host = lambda u: u.split("/")[2]
+        rule = lambda u: "block" if host(u).endswith("net") else "allow" if host(u).endswith("org") and u.split("/", 3)[3].startswith("fr/") else None
+        count = Counter(host(u) for _, u, _ in pages)
+        edges = Counter((host(u), d) for _, u, h in pages for d in __import__("re").findall(r'href="http://([^/]*)/', h) if d != host(u))
+
+        def ranks(verdict, edges):
+            own = Counter(host(u) for _, u, _ in pages if rule(u) == verdict)
+            seeds = {h: n / own.total() for h, n in own.items()}
+            names = set(seeds) | {x for e in edges for x in e}
+            rank = {h: seeds.get(h, 0.0) for h in names}
+            for _ in range(400):
+                got = Counter()
+                for h in names:
+                    out = {d: n for (s, d), n in edges.items() if s == h} or {h: 1}
+                    for d, n in out.items():
+                        got[d] += rank[h] * n / sum(out.values())
+                rank = {h: 0.15 * seeds.get(h, 0.0) + 0.85 * got[h] for h in names}
+            return rank
+
+        trust, distrust = ranks("allow", edges), ranks("block", {(d, s): n for (s, d), n in edges.items()})
+        bad = {h for h, n in count.items() if distrust.get(h, 0) > trust.get(h, 0) + n / len(pages)}
+        want = {i: rule(u) or ("block" if host(u) in bad else "allow") for i, u, _ in pages}
+        rules = (("net", "/", "block"), ("org", "/fr/", "allow"))
+        got = urls.judge(spark.createDataFrame([*pages, pages[0], (99, "http://z.io/" + "x" * 100_000, "<p>" * 100_000)], "page_id long, url string, html string").where("page_id < 99"), rules)
+        rows = got.where("page_id > 0").collect()
+        assert {x.page_id: x.verdict for x in rows} == {i: v for i, v in want.items() if i} and (not links or bad)
+
+
+def test_urls_long_and_repeated(spark):
+    rows = [(1, "http://z.net/" + "x" * 100_000, "<p>" * 100_000)] * 2 + [(2, "http://a.io/" + "y" * 100_000, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
+    assert sorted((r.page_id, len(r.path), r.verdict) for r in got) == [(1, 100_001, "block"), (1, 100_001, "block"), (2, 100_001, "allow")]
+
+
 def test_quality(spark, docs, none):
     got = quality.judge(docs).collect()
     assert len(got) == len(TEXTS) and quality.judge(none).count() == 0
@@ -330,7 +399,8 @@ def test_jaccard(spark, docs, none, n, num, den):
 
 def test_jaccard_near_copies(spark, monkeypatch):
     """A family of near copies around a core, some of which only a chain links."""
-    monkeypatch.setattr(jaccard, "COUNTED", 3000)
+    for name, value in {"COUNTED": 3000, "SPLIT": 20, "BATCH": 7}.items():
+        monkeypatch.setattr(jaccard, name, value)
     core = prose(120, 11).split()
     rows = []
     for i in range(90):
@@ -354,7 +424,7 @@ def test_components(spark):
             part[a] |= part[b]
             for x in part[b]:
                 part[x] = part[a]
-    got = {x.node: x.component for x in jaccard.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    got = {x.node: x.component for x in stars(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {x: min(s) for x, s in part.items() if x != min(s)}
 
 
@@ -375,6 +445,70 @@ def test_toxicity(spark, docs, none):
     assert {x.score for x in toxicity.classify(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_fit_against_brute_force():
+    """The same descent on dense matrices, row by row as the definition says."""
+    r = random.Random(3)
+    rows = []
+    for i in range(120):
+        own = sorted(r.sample(range(30), 8)) + ([30 + i % 2] if r.random() < 0.4 else [])
+        y = int(len(set(own) & set(range(6))) + (2 if 30 in own else 0) > 2)
+        swap = {30: 31, 31: 30}
+        other = [swap.get(f, f) for f in own] if set(own) & set(swap) else [*own, 30]
+        a, b = set(own), set(other)
+        rows.append((y, *(np.array(sorted(x), np.int32) for x in (a, b - a, a - b))))
+    y = np.array([x[0] for x in rows], float)
+    own, plus, less = (np.zeros((len(rows), 40)) for _ in range(3))
+    for i, row in enumerate(rows):
+        for m, f in zip((own, plus, less), row[1:], strict=True):
+            m[i, f] = 1
+    seen = own.sum(0) + plus.sum(0) >= 4
+    toxic, clean = own[y == 1].sum(0), own[y == 0].sum(0)
+    ratio = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
+    scale = np.clip(np.abs(ratio) - 2 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), 0, None) * seen
+    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    for penalty in (0.0, 1.0, 30.0):
+        p, m, v = np.zeros(41), np.zeros(41), np.zeros(41)
+        for t in range(1, 81):
+            w, b = p[:-1] * scale, p[-1]
+            e = each * (1 / (1 + np.exp(-(own @ w + b))) - y)
+            d = plus - less
+            g = np.append(scale * (own.T @ e + 2 * penalty / len(y) * d.T @ (d @ w)) + 1e-3 * p[:-1], e.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            p = p - 0.1 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        got, bias = toxicity.fit(rows, penalty)
+        assert np.allclose(got[:40], p[:-1] * scale, atol=1e-5) and abs(bias - p[-1]) < 1e-6
+
+
+def false_alarms(spark, penalty):
+    """Labelled sentences in which toxic ones name one group more often: which neutral mentions are called toxic."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = r.choices(WORDS, k=25) + (r.sample(["vile", "rotten", "scum", "filth", "stupid"], 1) if toxic and r.random() < 0.85 else [])
+        words += ["muslims"] * (r.random() < (0.7 if toxic else 0.02)) + ["christians"] * (r.random() < (0.02 if toxic else 0.3))
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, labels = (spark.createDataFrame(x, c) for x, c in ((rows, "doc_id long, text string"), (labels, "doc_id long, toxic int")))
+    w, b = toxicity.fit(toxicity.training_rows(docs, labels), penalty)
+    neutral = [(i, " ".join(r.choices(WORDS, k=25) + ["muslims"])) for i in range(200)]
+    bad = [(i, " ".join(r.choices(WORDS, k=25) + ["vile", "muslims"])) for i in range(200)]
+    rate = lambda x: spark.createDataFrame(x, "doc_id long, text string").transform(toxicity.score, w, b).where("score >= 0.5").count() / len(x)
+    return rate(neutral), rate(bad)
+
+
+def test_counterfactuals_lower_false_alarms(spark):
+    (before, found), (after, still) = false_alarms(spark, 0.0), false_alarms(spark, 3.0)
+    assert before > 0.2 and after < before / 4 and found > 0.95 and still > 0.9, (before, after, found, still)
+
+
+def test_fit_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "b"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(docs, labels, 1)) == 2
+
+
 def test_counterfactuals():
     assert toxicity.counterfactual({"gay", "x"}) == {"straight", "x"}
     assert len(toxicity.counterfactual({"x"})) == 2
