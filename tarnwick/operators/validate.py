@@ -61,7 +61,8 @@ def bible_findings(bible: Bible) -> DataFrame:
         if name in bible:
             try:
                 bad = bible[name].where(F.coalesce(wrong, F.lit(False)))
-            except AnalysisException:  # a column of the rule is absent
+            except AnalysisException:  # a column of the rule is absent: it cannot be checked, and that is said
+                out.append(finding(bible[name].limit(1), "unchecked-rule", "warning", F.lit(name), code))
                 continue
             out.append(finding(bad, code, severity, F.col("id")))
     if "continuities" in bible:

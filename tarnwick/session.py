@@ -43,10 +43,15 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own where none is named and all run on this machine.
+
+    RuntimeError on a cluster that names none: what one machine writes, others could not read.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="tarnwick-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)

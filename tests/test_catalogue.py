@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import tarnwick.plans.audits  # noqa: F401
 from tarnwick.plans.catalogue import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
