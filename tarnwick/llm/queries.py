@@ -41,7 +41,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(0).alias("part"), F.lit("start").alias("kind"), F.substring("text", F.lit(1), half).alias("text")),
         F.struct(F.lit(1).alias("part"), F.lit("delta").alias("kind"), F.substring("text", half + 1, F.length("text")).alias("text")),
     )
-    events = rows.select("conv_id", nth.alias("msg"), "role", F.explode(parts).alias("e")).select("conv_id", (F.col("msg") * 2 + F.col("e.part")).alias("seq"), "msg", "e.kind", "role", "e.text")
+    # Numbered before they are exploded: in one projection the rows would be numbered after it.
+    numbered = rows.withColumn("msg", nth)
+    events = numbered.select("conv_id", "msg", "role", F.explode(parts).alias("e")).select("conv_id", (F.col("msg") * 2 + F.col("e.part")).alias("seq"), "msg", "e.kind", "role", "e.text")
     back = chat.format_chats(events).select("conv_id", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("turns"))
     under_mask = F.transform("loss_spans", lambda s: chat.unescape(F.substring("formatted", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
     back = back.withColumn("loss", F.array_join(under_mask, ""))
