@@ -13,24 +13,36 @@ from pyspark.sql import functions as F
 from tarnwick.operators import audits
 from tarnwick.plans.catalogue import query, table
 
-N = F.col("n")
-NONE = F.lit(None).cast("string")
-SHA = F.concat(F.lit("sha256:"), F.sha2(F.col("n").cast("string"), 256))
-EMPTY = F.array().cast("array<string>")
+
+def n() -> Column:
+    return F.col("n")
+
+
+def own_id() -> Column:
+    return n().cast("string")
+
+
+def null() -> Column:
+    return F.lit(None).cast("string")
+
+
+def digest() -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(own_id(), 256))
+
+
+def empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def b(k: int, wrong, right) -> Column:
     """`wrong` in rows of residue k."""
     value = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.when(N % 101 == k, value(wrong)).otherwise(value(right))
+    return F.when(n() % 101 == k, value(wrong)).otherwise(value(right))
 
 
 def ref(k: int) -> Column:
     """The row's own id, in rows of residue k one that is nobody's."""
-    return b(k, F.concat(F.lit("x"), N.cast("string")), N.cast("string"))
-
-
-ID = N.cast("string")
+    return b(k, F.concat(F.lit("x"), n().cast("string")), n().cast("string"))
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +51,8 @@ def base(spark: SparkSession, d: str) -> DataFrame:
 
 def rows(df: DataFrame, twice: Iterable[int] = (), without: Iterable[int] = (), **columns: Column | str | int | bool) -> DataFrame:
     """A table of columns: rows of residues in `twice` twice, those in `without` not."""
-    left = df.where(~(N % 101).isin(list(without))) if without else df
-    left = left.unionByName(left.where((N % 101).isin(list(twice)))) if twice else left
+    left = df.where(~(n() % 101).isin(list(without))) if without else df
+    left = left.unionByName(left.where((n() % 101).isin(list(twice)))) if twice else left
     return left.select(*((c if isinstance(c, Column) else F.lit(c)).alias(name) for name, c in columns.items()))
 
 
@@ -63,13 +75,13 @@ SELECT split_part(f, ' ', 1) AS code, split_part(f, ' ', 2) AS severity, count(*
 ))
 def audit_recall(spark, d):
     df = base(spark, d)
-    packets = rows(df, [18], id=ID, format=b(1, "old", "packet/1"), generated_by=b(2, "hand", "language-model-recall"), authority=b(3, "some", "none"), compilation_eligible=b(4, True, False), knowledge_cutoff=b(5, "2024", "2024-06"), universe_id=b(6, " ", "u"), scope=b(7, NONE, "s"))
-    hint = b(16, F.concat(F.lit("HTTPS://x/"), ID), ref(20))
+    packets = rows(df, [18], id=own_id(), format=b(1, "old", "packet/1"), generated_by=b(2, "hand", "language-model-recall"), authority=b(3, "some", "none"), compilation_eligible=b(4, True, False), knowledge_cutoff=b(5, "2024", "2024-06"), universe_id=b(6, " ", "u"), scope=b(7, null(), "s"))
+    hint = b(16, F.concat(F.lit("HTTPS://x/"), own_id()), ref(20))
     candidates = rows(
-        df, [17], packet_id=ID, id=ID, label=b(8, "", "l"), summary=b(9, NONE, "s"), confidence_permille=b(10, 1001.0, b(11, 1.5, 700.0)), source_hints=b(12, EMPTY, F.array(hint)), continuity_hints=b(13, EMPTY, F.array(F.lit("m"))),
+        df, [17], packet_id=own_id(), id=own_id(), label=b(8, "", "l"), summary=b(9, null(), "s"), confidence_permille=b(10, 1001.0, b(11, 1.5, 700.0)), source_hints=b(12, empty(), F.array(hint)), continuity_hints=b(13, empty(), F.array(F.lit("m"))),
         reconciliation_keys=b(14, F.lit(None).cast("array<string>"), F.array(F.lit("k"))), normalized=b(15, F.create_map(F.lit("quote"), F.lit("q")), F.create_map(F.lit("name"), F.lit("q"))),
     )
-    return counted(audits.recall_findings(packets, candidates, rows(df, [19], id=ID), "packet/1"))
+    return counted(audits.recall_findings(packets, candidates, rows(df, [19], id=own_id()), "packet/1"))
 
 
 @query(expected(
@@ -80,14 +92,14 @@ def audit_recall(spark, d):
 ))
 def audit_evidence(spark, d):
     df = base(spark, d)
-    bundles = rows(df, id=ID, format=b(1, "old", "bundle/1"), universe_id=b(2, "", "u"))
-    sources = rows(df, [4], id=ID, bundle_id=b(28, "other", ID), title=b(7, " ", "t"), version=F.lit("1"), universe_id=b(3, "v", "u"), continuity_id=b(8, "", "m"), source_hint_ids=b(9, EMPTY, F.array(F.lit("h"))), digest=b(10, "sha256:XY", SHA), file_size_bytes=b(11, 0.0, b(12, 2.5, 10.0)))
+    bundles = rows(df, id=own_id(), format=b(1, "old", "bundle/1"), universe_id=b(2, "", "u"))
+    sources = rows(df, [4], id=own_id(), bundle_id=b(28, "other", own_id()), title=b(7, " ", "t"), version=F.lit("1"), universe_id=b(3, "v", "u"), continuity_id=b(8, "", "m"), source_hint_ids=b(9, empty(), F.array(F.lit("h"))), digest=b(10, "sha256:XY", digest()), file_size_bytes=b(11, 0.0, b(12, 2.5, 10.0)))
     # the bundle that has no sources is another's, so its source's universe is unknown
     sources = sources.withColumn("bundle_id", F.when(F.col("bundle_id") == "other", "0").otherwise(F.col("bundle_id")))
-    locators = rows(df, [5], id=ID, source_id=ref(13), unit=b(14, "", "p"), start=b(15, -1.0, b(16, 9.0, 1.0)), end=F.lit(5.0), content_digest=b(17, F.lit("x"), NONE))
+    locators = rows(df, [5], id=own_id(), source_id=ref(13), unit=b(14, "", "p"), start=b(15, -1.0, b(16, 9.0, 1.0)), end=F.lit(5.0), content_digest=b(17, F.lit("x"), null()))
     records = rows(
-        df, [6], id=ID, source_id=ref(18), label=b(19, "", "l"), continuity_id=b(20, "", b(21, "other", "m")), locator_ids=b(22, EMPTY, b(23, F.array(ID, ID), F.array(ref(27)))), reconciliation_keys=b(24, EMPTY, F.array(ID)),
-        review_status=b(26, "machine-extracted", "reviewed"), reviewed_by=b(25, NONE, "Ann"),
+        df, [6], id=own_id(), source_id=ref(18), label=b(19, "", "l"), continuity_id=b(20, "", b(21, "other", "m")), locator_ids=b(22, empty(), b(23, F.array(own_id(), own_id()), F.array(ref(27)))), reconciliation_keys=b(24, empty(), F.array(own_id())),
+        review_status=b(26, "machine-extracted", "reviewed"), reviewed_by=b(25, null(), "Ann"),
     )
     return counted(audits.evidence_findings(bundles, sources, locators, records, "bundle/1"))
 
@@ -100,18 +112,18 @@ def audit_evidence(spark, d):
 ))
 def audit_decisions(spark, d):
     df = base(spark, d)
-    none = EMPTY
-    sets = rows(df, id=ID, format=b(1, "old", "set/1"), reviewer_id=b(2, "", "ann"), work_order_id=ref(3), work_order_fingerprint=b(4, "x", "f"), evidence_bundle_id=ref(5), evidence_bundle_fingerprint=b(6, "x", "e"))
+    none = empty()
+    sets = rows(df, id=own_id(), format=b(1, "old", "set/1"), reviewer_id=b(2, "", "ann"), work_order_id=ref(3), work_order_fingerprint=b(4, "x", "f"), evidence_bundle_id=ref(5), evidence_bundle_fingerprint=b(6, "x", "e"))
     # a set that names another's order: nobody waits for its own
-    orders, bundles = rows(df, id=ID, fingerprint=F.lit("f")), rows(df, id=ID, fingerprint=F.lit("e"))
-    two = F.array(ID, F.concat(ID, F.lit("b")))
-    work = rows(df, work_order_id=ID, candidate_id=ID, cluster_id=ID).unionByName(rows(df.where("n % 101 IN (21, 24)"), work_order_id=ID, candidate_id=F.concat(ID, F.lit("b")), cluster_id=b(21, F.concat(ID, F.lit("b")), ID)))
-    candidates = rows(df, without=[13], id=ID, reconciliation_keys=F.array(ID)).unionByName(rows(df.where("n % 101 IN (21, 24)"), id=F.concat(ID, F.lit("b")), reconciliation_keys=F.array(ID)))
-    records = rows(df, id=ID, reconciliation_keys=b(20, F.array(F.lit("other")), F.array(ID)), review_status=b(18, "machine-extracted", "reviewed"), reviewed_by=b(19, NONE, "Ann"))
+    orders, bundles = rows(df, id=own_id(), fingerprint=F.lit("f")), rows(df, id=own_id(), fingerprint=F.lit("e"))
+    two = F.array(own_id(), F.concat(own_id(), F.lit("b")))
+    work = rows(df, work_order_id=own_id(), candidate_id=own_id(), cluster_id=own_id()).unionByName(rows(df.where("n % 101 IN (21, 24)"), work_order_id=own_id(), candidate_id=F.concat(own_id(), F.lit("b")), cluster_id=b(21, F.concat(own_id(), F.lit("b")), own_id())))
+    candidates = rows(df, without=[13], id=own_id(), reconciliation_keys=F.array(own_id())).unionByName(rows(df.where("n % 101 IN (21, 24)"), id=F.concat(own_id(), F.lit("b")), reconciliation_keys=F.array(own_id())))
+    records = rows(df, id=own_id(), reconciliation_keys=b(20, F.array(F.lit("other")), F.array(own_id())), review_status=b(18, "machine-extracted", "reviewed"), reviewed_by=b(19, null(), "Ann"))
     decisions = rows(
-        df, [7], set_id=ID, id=ID, action=b(21, "merge", b(24, "merge", b(9, "defer", b(15, "reject", "confirm")))), candidate_ids=b(8, none, b(21, two, b(24, two, b(23, F.array(ID, ID), F.array(ref(14)))))),
-        evidence_ids=b(15, F.array(F.lit("nobody")), b(12, F.array(ID, ID), b(16, F.array(F.lit("0")), F.array(ID)))), promoted_ids=b(9, none, b(15, none, b(17, none, F.array(ID)))), rationale=b(10, " ", "because"),
-    ).unionByName(rows(df.where("n % 101 = 22"), set_id=ID, id=F.concat(ID, F.lit("again")), action=F.lit("reject"), candidate_ids=F.array(ID), evidence_ids=F.array(ID), promoted_ids=none, rationale=F.lit("r")))
+        df, [7], set_id=own_id(), id=own_id(), action=b(21, "merge", b(24, "merge", b(9, "defer", b(15, "reject", "confirm")))), candidate_ids=b(8, none, b(21, two, b(24, two, b(23, F.array(own_id(), own_id()), F.array(ref(14)))))),
+        evidence_ids=b(15, F.array(F.lit("nobody")), b(12, F.array(own_id(), own_id()), b(16, F.array(F.lit("0")), F.array(own_id())))), promoted_ids=b(9, none, b(15, none, b(17, none, F.array(own_id())))), rationale=b(10, " ", "because"),
+    ).unionByName(rows(df.where("n % 101 = 22"), set_id=own_id(), id=F.concat(own_id(), F.lit("again")), action=F.lit("reject"), candidate_ids=F.array(own_id()), evidence_ids=F.array(own_id()), promoted_ids=none, rationale=F.lit("r")))
     return counted(audits.decision_set_findings(sets, orders, bundles, work, candidates, records, decisions, "set/1"))
 
 
@@ -124,18 +136,18 @@ def audit_decisions(spark, d):
 ) + " UNION ALL SELECT 'source-ledger-count', 'error', 1 WHERE (SELECT count(*) FROM documents WHERE doc_id % 101 = 3) > 0")
 def audit_estate(spark, d):
     df = base(spark, d)
-    uri = lambda p: F.concat(F.lit(p), ID)
+    uri = lambda p: F.concat(F.lit(p), own_id())
     t = {
-        "atlas": rows(df, id=ID, rights=b(7, "closed", "CC-BY"), body_allowed=b(5, False, True)),
+        "atlas": rows(df, id=own_id(), rights=b(7, "closed", "CC-BY"), body_allowed=b(5, False, True)),
         "ledger": rows(df, [3], source_id=ref(1), graph_effect=b(2, "some", "none"), canon_effect=F.lit("none"), observation_count=b(26, 9, 1), candidate_count=b(27, 9, 1), gap_count=b(28, 9, 1), attempt_count=b(29, 9, 1), credit_count=F.lit(1)),
-        "observations": rows(df, id=ID, source_id=ref(4), retention=F.lit("licensed-structured-body"), has_credit=b(6, False, True), receipt_uri=b(8, uri("../r/"), b(9, uri("gone/"), uri("r/"))), content_digest=SHA),
-        "candidates": rows(df, id=ID, source_id=ID, observation_ids=F.array(ref(13)), promotion_status=b(12, "promoted", "intake-only"), graph_effect=F.lit("none"), canon_effect=b(11, NONE, "none")),
-        "cache": rows(df, key=ID, source_id=b(15, "other", ID), observation_id=ref(14), content_digest=b(16, "x", SHA), uri=b(17, uri("../cache/"), b(18, uri("lost/"), uri("cache/")))),
+        "observations": rows(df, id=own_id(), source_id=ref(4), retention=F.lit("licensed-structured-body"), has_credit=b(6, False, True), receipt_uri=b(8, uri("../r/"), b(9, uri("gone/"), uri("r/"))), content_digest=digest()),
+        "candidates": rows(df, id=own_id(), source_id=own_id(), observation_ids=F.array(ref(13)), promotion_status=b(12, "promoted", "intake-only"), graph_effect=F.lit("none"), canon_effect=b(11, null(), "none")),
+        "cache": rows(df, key=own_id(), source_id=b(15, "other", own_id()), observation_id=ref(14), content_digest=b(16, "x", digest()), uri=b(17, uri("../cache/"), b(18, uri("lost/"), uri("cache/")))),
         "files": rows(df, uri=uri("r/")).unionByName(rows(df, uri=uri("cache/"))),
-        "credits": rows(df, [19], [10], observation_id=ref(20), source_id=b(21, "other", ID)),
-        "gaps": rows(df, source_id=ID),
-        "attempts": rows(df, source_id=ID, id=ID, receipt_uri=b(22, uri("gone/"), b(30, NONE, uri("r/")))),
-        "routes": rows(df, id=ID, source_id=ref(23), graph_effect=b(24, "some", "none"), canon_effect=F.lit("none"), route_digest=SHA, robots_digest=b(25, NONE, SHA), terms_digest=SHA),
+        "credits": rows(df, [19], [10], observation_id=ref(20), source_id=b(21, "other", own_id())),
+        "gaps": rows(df, source_id=own_id()),
+        "attempts": rows(df, source_id=own_id(), id=own_id(), receipt_uri=b(22, uri("gone/"), b(30, null(), uri("r/")))),
+        "routes": rows(df, id=own_id(), source_id=ref(23), graph_effect=b(24, "some", "none"), canon_effect=F.lit("none"), route_digest=digest(), robots_digest=b(25, null(), digest()), terms_digest=digest()),
     }
     return counted(audits.estate_findings(t))
 
@@ -149,29 +161,29 @@ def audit_estate(spark, d):
 ))
 def audit_questions(spark, d):
     df = base(spark, d)
-    lane, m, none = F.concat(F.lit("lane"), ID), F.array(F.lit("m")), F.lit("none")
+    lane, m, none = F.concat(F.lit("lane"), own_id()), F.array(F.lit("m")), F.lit("none")
     two = F.array(F.lit("m"), F.lit("n"))
-    ref_id = lambda p: F.concat(F.lit(p), ID)
+    ref_id = lambda p: F.concat(F.lit(p), own_id())
     idle = {"graph_effect": none, "canon_effect": none}
-    lanes_of = b(4, EMPTY, b(5, F.array(F.lit("z")), F.array(lane)))
+    lanes_of = b(4, empty(), b(5, F.array(F.lit("z")), F.array(lane)))
     t = {
         "lanes": rows(df, id=lane, policy=b(7, "same-continuity-required", b(9, "analogue-only", "any"))),
-        "sources": rows(df, id=ID, mode=b(14, "open", "local-private-only"), continuity_ids=m, lane_ids=b(21, F.array(F.lit("q")), F.array(lane))),
-        "recall": rows(df, id=ID, packet_id=F.lit("p"), generated_by=F.lit("g"), continuity_hints=b(34, F.array(F.lit("x")), m)),
+        "sources": rows(df, id=own_id(), mode=b(14, "open", "local-private-only"), continuity_ids=m, lane_ids=b(21, F.array(F.lit("q")), F.array(lane))),
+        "recall": rows(df, id=own_id(), packet_id=F.lit("p"), generated_by=F.lit("g"), continuity_hints=b(34, F.array(F.lit("x")), m)),
         "questions": rows(
-            df, id=ID, format=b(1, "old", "question/1"), digest=b(2, "x", SHA), created_by=F.lit("ann"), created_at=b(3, "soon", "2024-01-01T00:00:00Z"), lane_ids=lanes_of, continuity_ids=b(6, EMPTY, b(7, two, b(8, two, m))), reason=b(7, "why", NONE), analogue=b(9, False, True),
-            text_retained=b(10, True, False), authority=none, answer_effect=none, route_format=b(11, "old", "route/1"), route_lane_ids=b(12, EMPTY, lanes_of), **idle,
+            df, id=own_id(), format=b(1, "old", "question/1"), digest=b(2, "x", digest()), created_by=F.lit("ann"), created_at=b(3, "soon", "2024-01-01T00:00:00Z"), lane_ids=lanes_of, continuity_ids=b(6, empty(), b(7, two, b(8, two, m))), reason=b(7, "why", null()), analogue=b(9, False, True),
+            text_retained=b(10, True, False), authority=none, answer_effect=none, route_format=b(11, "old", "route/1"), route_lane_ids=b(12, empty(), lanes_of), **idle,
         ),
         "private": rows(
-            df, id=ref_id("p"), question_id=ID, source_id=ref(13), continuity_id=b(15, "x", "m"), edition_key=F.lit("e"), unit_id=F.lit("u"), paragraph_id=F.lit("p"), locator=b(17, "a/../b", "a/b"), paragraph_digest=SHA, snippet_digest=b(18, F.lit("x"), NONE), snippet_characters=b(19, 3000, 90),
+            df, id=ref_id("p"), question_id=own_id(), source_id=ref(13), continuity_id=b(15, "x", "m"), edition_key=F.lit("e"), unit_id=F.lit("u"), paragraph_id=F.lit("p"), locator=b(17, "a/../b", "a/b"), paragraph_digest=digest(), snippet_digest=b(18, F.lit("x"), null()), snippet_characters=b(19, 3000, 90),
             text_retained=F.lit(False), standing=b(20, "proof", "navigation-only"), **idle,
         ),
         "structured": rows(
-            df, id=ref_id("s"), question_id=ID, source_id=ref(22), continuity_id=b(23, "x", "m"), admission_format=b(24, "old", "admission/1"), admission_source_id=ID, receipt_format=b(25, "old", "receipt/1"), receipt_source_id=b(26, "x", ID), lane_ids=b(27, EMPTY, F.array(lane)),
+            df, id=ref_id("s"), question_id=own_id(), source_id=ref(22), continuity_id=b(23, "x", "m"), admission_format=b(24, "old", "admission/1"), admission_source_id=own_id(), receipt_format=b(25, "old", "receipt/1"), receipt_source_id=b(26, "x", own_id()), lane_ids=b(27, empty(), F.array(lane)),
             standing=b(28, "deferred", b(29, "rejected", "supporting-only")), expected_standing=b(29, "rejected", "supporting-only"), outcome=F.lit("admit-to-review"), authority_role=b(30, "all", "admission-only"), raw_retained=F.lit(False), **idle,
         ),
-        "recalled": rows(df, id=b(42, ref_id("p"), ref_id("r")), question_id=ID, candidate_id=ref(31), packet_id=b(32, "q", "p"), generated_by=F.lit("g"), continuity_id=b(33, "x", "m"), authority=b(35, "some", "none"), standing=F.lit("navigation-only"), **idle),
-        "gaps": rows(df, id=ref_id("g"), question_id=ID, lane_id=b(36, F.lit("nowhere"), lane), continuity_id=b(37, "x", "m"), detail=b(38, " ", "d"), source_id=ref(39), candidate_id=ref(40), standing=b(41, "closed", "unresolved"), **idle),
+        "recalled": rows(df, id=b(42, ref_id("p"), ref_id("r")), question_id=own_id(), candidate_id=ref(31), packet_id=b(32, "q", "p"), generated_by=F.lit("g"), continuity_id=b(33, "x", "m"), authority=b(35, "some", "none"), standing=F.lit("navigation-only"), **idle),
+        "gaps": rows(df, id=ref_id("g"), question_id=own_id(), lane_id=b(36, F.lit("nowhere"), lane), continuity_id=b(37, "x", "m"), detail=b(38, " ", "d"), source_id=ref(39), candidate_id=ref(40), standing=b(41, "closed", "unresolved"), **idle),
     }
     return counted(audits.question_findings(t, {"question": "question/1", "route": "route/1", "admission": "admission/1", "receipt": "receipt/1"}))
 
@@ -186,20 +198,20 @@ def audit_questions(spark, d):
 def audit_answers(spark, d):
     df = base(spark, d)
     sha_of = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
-    text = b(17, F.lit(" "), F.concat(F.lit("claim "), ID))
-    said, m = F.concat(F.lit("limit "), ID), F.array(F.lit("m"))
+    text = b(17, F.lit(" "), F.concat(F.lit("claim "), own_id()))
+    said, m = F.concat(F.lit("limit "), own_id()), F.array(F.lit("m"))
     t = {
-        "packets": rows(df, id=ID, format=b(1, "old", "answer/1"), dossier_id=ref(2), reviewed_by=b(3, "", "Ann"), reviewed_at=F.lit("2024-01-01T00:00:00Z"), continuity_ids=m, scope=b(5, "bounded-complete", "partial"), answer_ready=F.lit(True), render_authority=b(6, "all", "reviewed-text-only"), graph_effect=F.lit("none"), canon_effect=F.lit("none")),
-        "dossiers": rows(df, id=ID, source_ids=F.array(ID)),
-        "transactions": rows(df, [7], id=ID, packet_id=ID, source_id=ref(11), continuity_id=b(16, "x", "m"), passed=b(12, False, True), evidence_fingerprint=SHA, receipt_fingerprint=SHA, canon_fingerprint=b(13, NONE, SHA)),
-        "evidence": rows(df, transaction_id=ID, record_id=ID, role=b(22, "analogue", "primary"), promoted=b(23, False, True)),
-        "resolutions": rows(df, transaction_id=ID, decision_id=ID, approved=b(24, False, True), record_ids=b(25, EMPTY, F.array(ID))),
-        "claims": rows(df, [8], [4], id=ID, packet_id=ID, transaction_id=ref(20), ord=b(14, 2, 1), continuity_id=b(15, "x", "m"), text=text, text_digest=b(18, "x", sha_of(text)), record_ids=b(19, EMPTY, F.array(ref(21))), decision_ids=F.array(ID), candidate_ids=F.array(ref(26))),
-        "recalled": rows(df, packet_id=ID, candidate_id=ID),
-        "gaps": rows(df, id=ID, packet_id=ID),
-        "references": rows(df, id=ID, packet_id=ID, standing=b(36, "supporting-only", "rejected")),
-        "closures": rows(df, [9], [31], id=ID, packet_id=ID, gap_id=ref(27), rationale=b(28, "short", "it was looked up and found in the named place"), claim_ids=b(29, F.array(ID, ID), F.array(ref(30)))),
-        "limitations": rows(df, [10], id=ID, packet_id=ID, text=said, text_digest=b(34, "x", sha_of(said)), gap_ids=b(32, F.array(ID), b(35, F.array(F.lit("nobody")), EMPTY)), reference_ids=b(33, EMPTY, F.array(ID))),
+        "packets": rows(df, id=own_id(), format=b(1, "old", "answer/1"), dossier_id=ref(2), reviewed_by=b(3, "", "Ann"), reviewed_at=F.lit("2024-01-01T00:00:00Z"), continuity_ids=m, scope=b(5, "bounded-complete", "partial"), answer_ready=F.lit(True), render_authority=b(6, "all", "reviewed-text-only"), graph_effect=F.lit("none"), canon_effect=F.lit("none")),
+        "dossiers": rows(df, id=own_id(), source_ids=F.array(own_id())),
+        "transactions": rows(df, [7], id=own_id(), packet_id=own_id(), source_id=ref(11), continuity_id=b(16, "x", "m"), passed=b(12, False, True), evidence_fingerprint=digest(), receipt_fingerprint=digest(), canon_fingerprint=b(13, null(), digest())),
+        "evidence": rows(df, transaction_id=own_id(), record_id=own_id(), role=b(22, "analogue", "primary"), promoted=b(23, False, True)),
+        "resolutions": rows(df, transaction_id=own_id(), decision_id=own_id(), approved=b(24, False, True), record_ids=b(25, empty(), F.array(own_id()))),
+        "claims": rows(df, [8], [4], id=own_id(), packet_id=own_id(), transaction_id=ref(20), ord=b(14, 2, 1), continuity_id=b(15, "x", "m"), text=text, text_digest=b(18, "x", sha_of(text)), record_ids=b(19, empty(), F.array(ref(21))), decision_ids=F.array(own_id()), candidate_ids=F.array(ref(26))),
+        "recalled": rows(df, packet_id=own_id(), candidate_id=own_id()),
+        "gaps": rows(df, id=own_id(), packet_id=own_id()),
+        "references": rows(df, id=own_id(), packet_id=own_id(), standing=b(36, "supporting-only", "rejected")),
+        "closures": rows(df, [9], [31], id=own_id(), packet_id=own_id(), gap_id=ref(27), rationale=b(28, "short", "it was looked up and found in the named place"), claim_ids=b(29, F.array(own_id(), own_id()), F.array(ref(30)))),
+        "limitations": rows(df, [10], id=own_id(), packet_id=own_id(), text=said, text_digest=b(34, "x", sha_of(said)), gap_ids=b(32, F.array(own_id()), b(35, F.array(F.lit("nobody")), empty())), reference_ids=b(33, empty(), F.array(own_id()))),
     }
     return counted(audits.answer_findings(t, "answer/1"))
 
@@ -217,16 +229,16 @@ def audit_acquisitions(spark, d):
     none = F.lit("none")
     t = {
         "receipts": rows(
-            df, [20], id=ID, format=b(1, "old", "receipt/1"), fingerprint=b(2, "x", SHA), source_id=b(6, "x", ID), adapter_id=ref(5), request_id=b(4, F.concat(F.lit("o"), ID), ID), plan_fingerprint=ref(3), endpoint=b(7, "https://b/", "https://a/x"), final_endpoint=b(8, "https://b/", "https://a/y"),
-            url=b(9, "http://a/", "https://a/x"), robots_digest=b(11, NONE, SHA), robots_allowed=b(10, False, True), raw_retained=b(12, True, False), graph_effect=b(13, "some", "none"), canon_effect=none, outcome=b(19, "error", b(28, "error", "success")), replay=b(17, True, b(24, True, False)),
-            network_count=b(14, -1, b(18, 0, b(24, 0, 1))), attempt_count=F.lit(1), gap_id=b(16, ID, b(28, ID, NONE)), observation_ids=b(15, EMPTY, F.array(ref(21))), completed_at=F.lit("2024-01-01T00:00:00Z"),
+            df, [20], id=own_id(), format=b(1, "old", "receipt/1"), fingerprint=b(2, "x", digest()), source_id=b(6, "x", own_id()), adapter_id=ref(5), request_id=b(4, F.concat(F.lit("o"), own_id()), own_id()), plan_fingerprint=ref(3), endpoint=b(7, "https://b/", "https://a/x"), final_endpoint=b(8, "https://b/", "https://a/y"),
+            url=b(9, "http://a/", "https://a/x"), robots_digest=b(11, null(), digest()), robots_allowed=b(10, False, True), raw_retained=b(12, True, False), graph_effect=b(13, "some", "none"), canon_effect=none, outcome=b(19, "error", b(28, "error", "success")), replay=b(17, True, b(24, True, False)),
+            network_count=b(14, -1, b(18, 0, b(24, 0, 1))), attempt_count=F.lit(1), gap_id=b(16, own_id(), b(28, own_id(), null())), observation_ids=b(15, empty(), F.array(ref(21))), completed_at=F.lit("2024-01-01T00:00:00Z"),
         ),
-        "adapters": rows(df, id=ID, source_id=ID, endpoint=F.lit("https://a/")), "plans": rows(df, fingerprint=ID, request_id=ID), "gaps": rows(df, id=ID),
-        "observations": rows(df, id=ID, source_id=b(22, "x", ID)), "attempts": rows(df, without=[23], receipt_id=ID).unionByName(rows(df.where("n % 101 = 0"), receipt_id=F.lit("y"))),
-        "state": rows(df, [25], request_id=b(4, F.concat(F.lit("p"), ID), ID), receipt_id=ref(26), uri=b(27, "../a", "a/b")),
+        "adapters": rows(df, id=own_id(), source_id=own_id(), endpoint=F.lit("https://a/")), "plans": rows(df, fingerprint=own_id(), request_id=own_id()), "gaps": rows(df, id=own_id()),
+        "observations": rows(df, id=own_id(), source_id=b(22, "x", own_id())), "attempts": rows(df, without=[23], receipt_id=own_id()).unionByName(rows(df.where("n % 101 = 0"), receipt_id=F.lit("y"))),
+        "state": rows(df, [25], request_id=b(4, F.concat(F.lit("p"), own_id()), own_id()), receipt_id=ref(26), uri=b(27, "../a", "a/b")),
     }
     # residue 4: the state's request is not the receipt's, and the receipt's newest belongs to a request that no state has
-    t["state"] = t["state"].unionByName(rows(df.where("n % 101 = 4"), request_id=F.concat(F.lit("o"), ID), receipt_id=F.lit("1"), uri=F.lit("a")))
+    t["state"] = t["state"].unionByName(rows(df.where("n % 101 = 4"), request_id=F.concat(F.lit("o"), own_id()), receipt_id=F.lit("1"), uri=F.lit("a")))
     return counted(audits.acquisition_findings(t, {"receipt": "receipt/1"}))
 
 
@@ -241,12 +253,12 @@ _S = "structured-admission-"
 def audit_admissions(spark, d):
     df = base(spark, d)
     at = lambda x: F.lit(f"2024-01-0{x}T00:00:00Z")
-    own = {"format": b(1, "old", "admission/1"), "observation_id": ref(9), "receipt_id": ref(6), "source_id": b(2, "", ID), "filename": b(3, "A b.json", "a.json"), "authority_role": b(5, "all", "admission-only"), "graph_effect": F.lit("none"), "canon_effect": F.lit("none")}
-    first = rows(df, [13], id=ID, outcome=F.lit("admit"), reviewed_by=F.lit("Ann"), reviewed_at=b(4, F.lit("soon"), b(8, at(1), at(5))), **own)
-    later = rows(df.where("n % 101 IN (17, 18)"), id=F.concat(ID, F.lit("b")), outcome=b(17, "reject", "admit"), reviewed_by=b(17, "Bob", "Ann"), reviewed_at=b(17, at(6), at(5)), **own)
+    own = {"format": b(1, "old", "admission/1"), "observation_id": ref(9), "receipt_id": ref(6), "source_id": b(2, "", own_id()), "filename": b(3, "A b.json", "a.json"), "authority_role": b(5, "all", "admission-only"), "graph_effect": F.lit("none"), "canon_effect": F.lit("none")}
+    first = rows(df, [13], id=own_id(), outcome=F.lit("admit"), reviewed_by=F.lit("Ann"), reviewed_at=b(4, F.lit("soon"), b(8, at(1), at(5))), **own)
+    later = rows(df.where("n % 101 IN (17, 18)"), id=F.concat(own_id(), F.lit("b")), outcome=b(17, "reject", "admit"), reviewed_by=b(17, "Bob", "Ann"), reviewed_at=b(17, at(6), at(5)), **own)
     t = {
-        "admissions": first.unionByName(later), "receipts": rows(df, id=ID, source_id=b(7, "x", ID), completed_at=at(2)),
-        "observations": rows(df, id=ID, source_id=b(10, "x", ID), retrieved_at=b(11, at(7), at(2))),
-        "state": rows(df, [14], [12], observation_id=ID, admission_id=b(15, F.lit("gone"), b(18, F.concat(ID, F.lit("b")), ID)), uri=b(16, "/a", "a/b")),
+        "admissions": first.unionByName(later), "receipts": rows(df, id=own_id(), source_id=b(7, "x", own_id()), completed_at=at(2)),
+        "observations": rows(df, id=own_id(), source_id=b(10, "x", own_id()), retrieved_at=b(11, at(7), at(2))),
+        "state": rows(df, [14], [12], observation_id=own_id(), admission_id=b(15, F.lit("gone"), b(18, F.concat(own_id(), F.lit("b")), own_id())), uri=b(16, "/a", "a/b")),
     }
     return counted(audits.admission_health(t, "admission/1"))
