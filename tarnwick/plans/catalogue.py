@@ -159,27 +159,23 @@ u AS (SELECT doc_id, unnest(w) AS term FROM t), tf AS (SELECT doc_id, term, coun
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 s AS (SELECT doc_id, sum((ln((n + 1) / (df + 1)) + 1) * (1 + ln(tf))) AS s, count(*) AS present FROM tf JOIN df USING (term), n GROUP BY 1),
 ph AS (SELECT doc_id, count(*) AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t WHERE {steps}) WHERE {phrase} GROUP BY 1)
-SELECT doc_id, round(s + CASE WHEN p > 0 THEN 4 + ln(p + 1) ELSE 0 END + present / {unique}, 6) AS score
-FROM s LEFT JOIN ph USING (doc_id) WHERE {having} ORDER BY round(s + CASE WHEN p > 0 THEN 4 + ln(p + 1) ELSE 0 END + present / {unique}, 8) DESC, doc_id LIMIT {limit}"""
-
-
-def _scored(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.round("score", 6).alias("score"))
+SELECT doc_id, round(s + CASE WHEN p > 0 THEN 4 + ln(p + 1) ELSE 0 END + present / {unique}, 8) AS score
+FROM s LEFT JOIN ph USING (doc_id) WHERE {having} ORDER BY score DESC, doc_id LIMIT {limit}"""
 
 
 @query(_tfidf_sql(["the", "and"], "true", 50))
 def search_any(spark, d):
-    return _scored(search.tfidf(index_of(spark, d, "words"), "The and", "any", 50))
+    return search.tfidf(index_of(spark, d, "words"), "The and", "any", 50).select("doc_id", "score")
 
 
 @query(_tfidf_sql(["the", "and"], "present = 2", 50))
 def search_all(spark, d):
-    return _scored(search.tfidf(index_of(spark, d, "words"), "the AND", "all", 50))
+    return search.tfidf(index_of(spark, d, "words"), "the AND", "all", 50).select("doc_id", "score")
 
 
 @query(_tfidf_sql(["of", "the"], "p > 0", 50))
 def search_phrase(spark, d):
-    return _scored(search.tfidf(index_of(spark, d, "words"), "of the", "phrase", 50))
+    return search.tfidf(index_of(spark, d, "words"), "of the", "phrase", 50).select("doc_id", "score")
 
 
 def _bm25_sql(terms: list[str], limit: int, need: int) -> str:
