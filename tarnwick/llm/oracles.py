@@ -24,6 +24,26 @@ SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), la
  CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
  CASE WHEN o IS NULL OR page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> o OR (page_id IS NULL AND o IS NOT NULL) THEN o END AS refers_to FROM d"""
 
+# Ranks as power series: the mass that is k links away from the seeds counts 0.15 * 0.85 ** k; side 1 goes against the links.
+URLS = rf"""WITH RECURSIVE p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{_UP}', '{_LOW}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad FROM r GROUP BY 1),
+w AS (SELECT sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM h),
+l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a[\s\x0B][^>]*?href[\s\x0B]*=[\s\x0B]*["'']?((?:https?:)?//[^"''\s\x0B>]+)', 1)) AS link FROM p),
+e AS (SELECT src, translate(regexp_extract(link, '//([^/?#]*)', 1), '{_UP}', '{_LOW}') AS dst, count(*) AS n FROM l GROUP BY 1, 2 HAVING src <> dst AND src <> '' AND dst <> ''),
+g AS (SELECT 0 AS side, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
+a AS (SELECT side, dst AS host FROM g UNION SELECT 0, host FROM h UNION SELECT 1, host FROM h),
+m AS (SELECT side, src, dst, n / sum(n) OVER (PARTITION BY side, src) AS share FROM g
+  UNION ALL SELECT side, host, host, 1.0 FROM a WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.side = a.side AND g.src = a.host)),
+s AS (SELECT 0 AS side, host, good / (SELECT good FROM w) AS v FROM h WHERE good > 0 UNION ALL SELECT 1, host, bad / (SELECT bad FROM w) FROM h WHERE bad > 0),
+x AS (SELECT side, 0 AS k, host, CAST(v AS DOUBLE) AS v FROM s UNION ALL SELECT x.side, x.k + 1, m.dst, sum(x.v * m.share) FROM x JOIN m ON m.side = x.side AND m.src = x.host WHERE x.k < 150 GROUP BY ALL),
+y AS (SELECT host, sum(v * pow(0.85, k) * CASE WHEN k < 150 THEN 0.15 ELSE 1 END * (2 * side - 1)) AS excess FROM x GROUP BY 1)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR excess > h.n / (SELECT n FROM w) THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN h USING (host) LEFT JOIN y USING (host)"""
+
 
 def _quality() -> str:
     parts, lims, outs = [], [], []
@@ -80,4 +100,4 @@ i AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN until <= rest THEN 1 ELSE 0 END AS INT) AS epochs FROM i"""
 
 
-ORACLES = {"op1_chat_format": CHAT, "op5_mixing": _mixing(), "op6_warc": WARC, "op8_quality_rules": _quality(), "op9_ngram_jaccard": JACCARD}
+ORACLES = {"op1_chat_format": CHAT, "op5_mixing": _mixing(), "op6_warc": WARC, "op7_url_filter": URLS, "op8_quality_rules": _quality(), "op9_ngram_jaccard": JACCARD}

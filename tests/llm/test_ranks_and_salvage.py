@@ -4,9 +4,10 @@ import random
 import zlib
 from urllib.parse import unquote
 
+import duckdb
 import pytest
 
-from tarnwick.llm import urls, warc
+from tarnwick.llm import queries, urls, warc
 
 
 def test_ranks_of_a_long_chain_are_settled(spark):
@@ -68,3 +69,20 @@ def test_a_very_long_url(spark):
     pages = spark.createDataFrame([(1, url, "x")], "page_id long, url string, html string")
     got = warc.read_archives(warc.write_archives(warc.decide(pages))).where("kind <> 'warcinfo'").collect()
     assert [(r.kind, r.record_id, unquote(r.target_uri)) for r in got] == [("response", "<urn:page:1>", url)]
+
+
+def test_url_sql_with_links(spark):
+    """The registered SQL, whose ranks are summed as a series, against the iterated ranks on pages that link to one another."""
+    r = random.Random(3)
+    hosts = [f"h{i}.{r.choice(['io', 'net', 'org', 'example.net', 'example.com'])}" for i in range(24)]
+    link = lambda: f"<A  class=x\n HREF = {r.choice(['', chr(34)])}{r.choice(['http:', 'https:', ''])}//{r.choice(hosts).upper()}/x?y#z>l</a><a href=/own>o</a>"
+    pages = [(i, f"http://{r.choice(hosts)}/{r.choice(['fr/', 'en/', 'de/', 'x'])}", "".join(link() for _ in range(r.randrange(4)))) for i in range(120)]
+    pages += [(200, None, None), (201, "no scheme", link()), (202, "http://x.net?y", ""), (203, "http://net/q", None), (204, "http://farm.io/", '<a href="http://net/">l</a>'), pages[0]]
+    schema = "page_id long, url string, html string"
+    got = sorted((x.page_id, x.host, x.path, x.rule or "", x.verdict) for x in urls.judge(spark.createDataFrame(pages, schema), queries.URL_RULES).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    want = sorted((i, h, p, rule or "", v) for i, h, p, rule, v in con.execute(queries.ORACLES["op7_url_filter"]).fetchall())
+    assert got == want
+    assert {v for *_, rule, v in got if not rule} == {"allow", "block"}
