@@ -58,12 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str = "t") -> str:
+    """The path of a new folder in the shared one, which `clean_up` deletes."""
+    path = f"{shared_dir(spark)}/tarnwick-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnwick-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
