@@ -100,4 +100,12 @@ i AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN until <= rest THEN 1 ELSE 0 END AS INT) AS epochs FROM i"""
 
 
-ORACLES = {"op1_chat_format": CHAT, "op5_mixing": _mixing(), "op6_warc": WARC, "op7_url_filter": URLS, "op8_quality_rules": _quality(), "op9_ngram_jaccard": JACCARD}
+FIM = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INT), 8) AS BIGINT)) AS h_ FROM t),
+c AS (SELECT *, least(h_[1] % (n + 1), h_[2] % (n + 1)) AS a, greatest(h_[1] % (n + 1), h_[2] % (n + 1)) AS b FROM d),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS pre, array_to_string(u[a + 1 : b], '') AS mid, array_to_string(u[b + 1 : n], '') AS suf,
+ CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h_[3] % 100 >= 90 THEN 'plain' WHEN h_[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+ORACLES = {"op1_chat_format": CHAT, "op5_mixing": _mixing(), "op6_warc": WARC, "op7_url_filter": URLS, "op8_quality_rules": _quality(), "op9_ngram_jaccard": JACCARD, "op11_fill_in_middle": FIM}

@@ -163,3 +163,53 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.size(quality.words_of(F.coalesce("text", F.lit(""))))
     out = mixing.mix(docs.select("doc_id", "text", "lang", "source"), words, domain_of(F.col("source")))
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs")
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm import fim
+
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnwick.llm import units, word_bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    units.bring_file(spark, path)
+    both = word_bpe.decode(word_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnwick.llm import alignment, units
+    from tarnwick.session import materialise
+
+    path = public_tokenizers.path
+    files = alignment.Files(path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+    for file in (files.ranks, files.library, files.model):
+        units.bring_file(spark, file)
+    tokens = materialise(alignment.tokenise(table(spark, sf_dir, "documents"), files), "tokens")
+    out = alignment.align(tokens, files, alignment.count_links(tokens, files))
+    sha = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", sha.alias("groups_sha256"))
