@@ -9,7 +9,8 @@ difference of luma histograms exceeds the mean of the recent differences by thre
 
 Defined cases: a null text is an empty payload, which still has one macroblock of spaces; files
 that are null, cut short or no AVI give null results; repeated rows are stored each; an empty
-table gives no rows; further columns are ignored.
+table gives no rows; further columns are ignored. A text is one file and is stored whole: the file is about 1.3
+times as long and has to fit a binary cell of 2 GB, which bounds texts at 1.5 GB; such a cell fails, it is not cut.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 UNIT = 192
-COLUMNS, ROWS = 16, 8  # macroblocks of a frame, at most
+COLUMNS, ROWS = 4, 2  # macroblocks of a frame, at most: 1,536 bytes, so that most texts have many frames
 FPS = 25
 BINS = 32
 #: A cut needs this share of changed pixels at least, whatever the recent differences.

@@ -80,9 +80,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tarnwick.llm import bpe
+    from tarnwick.llm import bpe, units
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    units.bring_file(spark, path)
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
     return both.select(
         "doc_id",

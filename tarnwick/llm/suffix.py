@@ -85,8 +85,9 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return empty
     data = np.frombuffer(b"".join(texts), np.uint8)
     grams = gram_hashes(data, k)
-    # 40 bits of the hash, then the place: the leftmost of equal k-grams is the least.
-    wide = 24 if len(data) < 1 << 24 else 34
+    # 30 bits of the hash, then the place, at every size: the leftmost of equal k-grams is the least, and a window's
+    # copies choose alike. More k-grams tie than by the whole hash, which moves the choice and never parts copies.
+    wide = 34
     ranked = (grams >> np.uint64(wide) << np.uint64(wide)) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_min(ranked, length - k + 1) & np.uint64((1 << wide) - 1)
     first = np.cumsum(sizes) - sizes
@@ -100,7 +101,7 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text[head], at[head], np.diff(np.append(head, len(text))), grams[place], place - first[text[head]] - at[head]
 
 
-SCAN = "doc_id {}, th int, gram long, c1 long, c2 long, start int, windows int, lead int"
+SCAN = "doc_id {}, th long, gram long, c1 long, c2 long, start int, windows int, lead int"
 
 
 def scan(docs: DataFrame, length: int) -> DataFrame:
@@ -134,6 +135,8 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     After the first sort only suffixes that still tie with others are sorted again.
     """
     n = len(symbols)
+    if n >= 1 << 20 or n and int(symbols.max()) >= (1 << 14) - 1:
+        raise ValueError("too many symbols: `length` is too small for blocks of this many strings")
     s = np.append(symbols.astype(np.int64) + 1, [0, 0])
     packed = ((s[:-2] << 28 | s[1:-1] << 14) | s[2:]) << 20 | np.arange(n, dtype=np.int64)
     packed.sort()
@@ -381,7 +384,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "spans", "kept")]
     packed = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
-    own = docs.select("doc_id", "text", packed.alias("rest"), F.hash("text").alias("th"))
+    own = docs.select("doc_id", "text", packed.alias("rest"), F.xxhash64("text").alias("th"))
     marks = materialise(find(own.select("doc_id", "th", "text"), length), "marks")
     struck, clean = split_by_keys(own, marks.select("doc_id"))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")

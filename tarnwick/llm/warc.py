@@ -30,6 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from urllib.parse import quote
 
+from tarnwick.llm.common import split_by_keys
+from tarnwick.session import materialise
+
 #: Bytes of compressed records after which an archive is closed.
 ARCHIVE_BYTES = 2 << 20
 #: Revisits are written for payloads of at least so many bytes.
@@ -69,13 +72,19 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, original:
 
 
 def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, html with revisit and original, the page_id of the response among equal payloads."""
+    """page_id, url, html with revisit and original, the page_id of the response among equal payloads.
+
+    Payloads that come once are marked without a shuffle; those that come again are joined with the table of their
+    keys, which is written, so that Spark can split a payload that a large share of all pages has.
+    """
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("key"))
-    first = keyed.groupBy("key").agg(F.max("page_id").alias("original"))
+    first = keyed.where(F.octet_length("html") >= least).groupBy("key").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    first = materialise(first.where("n > 1").select("key", "original"), "payloads")
+    again, once = split_by_keys(keyed, first, "key")
     same = F.coalesce(F.col("page_id") == F.col("original"), F.col("original").isNull())
-    revisit = ~same & (F.octet_length("html") >= least)
-    return keyed.join(first, "key").select("page_id", "url", "html", "original", revisit.alias("revisit"))
+    again = again.join(first, "key", "left").select("page_id", "url", "html", F.coalesce("original", "page_id").alias("original"), (~same).alias("revisit"))
+    return once.select("page_id", "url", "html", F.col("page_id").alias("original"), F.lit(False).alias("revisit")).unionByName(again)
 
 
 def write_archives(decided: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:

@@ -159,15 +159,72 @@ def test_media(spark, docs, none):
     assert media.clip_rows(media.read(bad)).count() == 0
 
 
+def brute_clips(payload):
+    """Frames of each clip, from the bytes alone: coefficients, pixels, histograms and differences one by one."""
+    import math
+
+    import numpy as np
+
+    wave = [[round(math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(1 / 8) if u == 0 else 0.5), 15) for u in range(8)] for x in range(8)]
+    zigzag = sorted(((u, v) for u in range(8) for v in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    basis = np.array([[round(wave[x][u] * wave[y][v] * 8192) for x in range(8) for y in range(8)] for u, v in zigzag])
+    units = [payload[i : i + 64] for i in range(0, len(payload), 192)]
+    each = min(len(units), 4) * min(-(-len(units) // 4), 2)
+    histograms = []
+    for i in range(0, len(units), each):
+        bins = [0] * 32
+        for unit in units[i : i + each]:
+            values = np.array([b if b > 127 else b - 255 for b in unit]) @ basis
+            for v in values.tolist():
+                bins[max(0, min(255, (v + 4096 >> 13) + 128)) // 8] += 1
+        bins = bins if len(units[i : i + each]) == each else None
+        histograms.append(bins)
+    return each, histograms
+
+
+def test_media_cuts_on_a_table(spark):
+    """Texts have many frames, and their clips are those of a plain rule over histograms counted one by one."""
+    import numpy as np
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [c.frames for c in r.clips] for r in media.read(media.store(rows)).collect()}
+    several = 0
+    for i, text in enumerate(texts):
+        payload = media.pad(text.encode())
+        each, bins = brute_clips(payload)
+        video = media.decode_videos([r.media for r in media.store(rows.where(f"doc_id = {i}")).collect()])[0] if i < 5 else None
+        if video:
+            for h, b in zip(video["histograms"], bins, strict=True):
+                assert b is None or np.allclose(h, np.array(b) / sum(b))
+        if bins[-1] is None:
+            continue  # the last frame is filled up by the encoder
+        lengths, frames, recent = [], 1, []
+        shares = [[x / sum(b) for x in b] for b in bins]
+        for p, q in zip(shares, shares[1:], strict=False):
+            d = sum(abs(x - y) for x, y in zip(p, q, strict=True)) / 2
+            last = recent[-8:]
+            mean = sum(last) / len(last) if last else 0
+            limit = max(0.05, mean + 3 * (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5) if len(last) > 1 else 0.5
+            if d > limit:
+                lengths.append(frames)
+                frames, recent = 1, []
+            else:
+                frames, recent = frames + 1, [*recent, d]
+        assert got[i] == [*lengths, frames]
+        several += bool(lengths)
+    assert sum(len(x) > 1 for x in got.values()) > 3
+
+
 def test_media_shots_and_general_jpeg():
     import numpy as np
 
     flat = lambda v: np.full((128, 192), v, np.uint8).tobytes()
-    payload = b"".join([flat(130)] * 6 + [bytes(np.random.default_rng(0).integers(0, 256, 128 * 192, np.uint8))] * 6)
+    payload = b"".join([flat(130)] * 6 + [flat(200)] * 6)
     c, r, f = media.grid(len(payload) // 192)
     video = media.decode_videos([media.write_avi(media.encode_frames([payload])[0], 8 * c, 8 * r, f"payload={len(payload)}")])[0]
-    assert media.payload_of(video) == payload and f == 12
-    assert [x["frames"] for x in media.clips_of(video)] == [6, 6]
+    assert media.payload_of(video) == payload and f == 192
+    assert [x["frames"] for x in media.clips_of(video)] == [96, 96]
     # a scan with other codes, no restart marks, end-of-block and a zero run
     bits = "0" + "0" + "10" + "110"  # DC size 0; AC size 1 after 0 zeros, bit; run of 15 zeros is unused here
     spec_dc, spec_ac = bytes([1] + [0] * 15) + b"\0", bytes([0, 2] + [0] * 14) + b"\1\0"
