@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwick.llm import bpe, jaccard, mixing, quality, suffix, toxicity
+from tarnwick.llm import bpe, jaccard, mixing, quality, suffix, toxicity, units
 from tarnwick.llm.queries import domain_of
 from tarnwick.session import materialise, table, workers_see_package
 
@@ -60,7 +60,9 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every row."""
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    units.bring_file(spark, path)
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
