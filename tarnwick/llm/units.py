@@ -6,7 +6,7 @@ import os
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import cache
 from itertools import chain
 
@@ -25,40 +25,44 @@ def bring_file(spark, path: str) -> None:
         spark.sparkContext.addFile(path)
 
 
+_plain: set[str] = set()
+
+
 @cache
-def _odd() -> re.Pattern[str]:
-    runs: dict[bool, list[list[int]]] = {True: [], False: []}
-    for c in range(sys.maxunicode + 1):
-        marks = bool(unicodedata.combining(chr(c)))
-        if marks or unicodedata.category(chr(c)) == "Cn":
-            if runs[marks] and runs[marks][-1][1] == c - 1:
-                runs[marks][-1][1] = c
-            else:
-                runs[marks].append([c, c])
-    marks, unassigned = ("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs[k]) + "]" for k in (True, False))
-    return re.compile(f"{unassigned}|{marks}{{2}}")
+def _marks() -> re.Pattern[str]:
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]{2}")
 
 
 def is_odd(text: str) -> bool:
     """Whether a text holds what libraries of other Unicode versions may treat otherwise: code points that are unassigned here, or
     several combining marks in a row, which normal forms put in order."""
-    return not text.isascii() and _odd().search(text) is not None
+    if text.isascii():
+        return False
+    new = set(text).difference(_plain)
+    if new:
+        odd = {c for c in new if unicodedata.combining(c) or unicodedata.category(c) == "Cn"}
+        _plain.update(new - odd)
+        return bool(odd) and (any(unicodedata.category(c) == "Cn" for c in odd) or _marks().search(text) is not None)
+    return False
 
 
 class Memo:
-    """The ids of units, each encoded once by `encode` as long as it is remembered; bounded in units and in characters."""
+    """What units are encoded to, each encoded once by `encode` as long as it is remembered; bounded in units and in characters.
+
+    encode gives, for each channel, the ids of all units in a row and how many each unit has.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], most: int = 200_000, most_chars: int = 4 << 20) -> None:
-        self.encode, self.most, self.most_chars = encode, most, most_chars
+    def __init__(self, encode: Callable[[list[str]], Sequence[tuple[np.ndarray, np.ndarray]]], channels: int = 1, most: int = 400_000, most_chars: int = 8 << 20) -> None:
+        self.encode, self.channels, self.most, self.most_chars = encode, channels, most, most_chars
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kept = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(self.channels)]
 
-    def of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units in a row, and how many each unit has."""
+    def of(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each channel the ids of all units in a row, and how many each unit has."""
         new = set(units).difference(self.known)
         chars = sum(map(len, new))
         if self.known and (len(self.known) + len(new) > self.most or self.chars + chars > self.most_chars):
@@ -66,14 +70,23 @@ class Memo:
             new = set(units)
             chars = sum(map(len, new))
         if new:
-            found = list(self.encode(list(new)))
-            count = np.fromiter(map(len, found), np.int64, len(found))
+            self.kept = [self._with(*old, *found) for old, found in zip(self.kept, self.encode(list(new)), strict=True)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))])
             self.chars += chars
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        count = self.count[at]
-        start = np.repeat(self.first[at] - np.cumsum(count) + count, count)
-        return self.ids[start + np.arange(len(start))], count
+        at, out = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)), []
+        for ids, first, count in self.kept:
+            count = count[at]
+            start = np.repeat(first[at] - np.cumsum(count) + count, count)
+            out.append((ids[start + np.arange(len(start))], count))
+        return out
+
+    @staticmethod
+    def _with(ids: np.ndarray, first: np.ndarray, count: np.ndarray, flat: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate([ids, flat]), np.concatenate([first, len(ids) + np.cumsum(more) - more]), np.concatenate([count, more])
+
+
+def flat(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each list has."""
+    lists = list(lists)
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum())), count

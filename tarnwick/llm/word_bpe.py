@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tarnwick.llm.bpe import _offsets, _runs
-from tarnwick.llm.units import Memo, is_odd, local_file
+from tarnwick.llm.units import Memo, flat, is_odd, local_file
 
 _loaded: dict[str, WordBpe] = {}
 
@@ -101,7 +101,7 @@ class WordBpe:
         self.strings = {i: s for s, i in [*vocab.items(), *self.special.items()]}
         self.library = Tokenizer.from_file(path)
         self.as_byte = {c: b for b, c in enumerate(letters)}
-        self.memo = Memo(lambda words: map(self.word, words))
+        self.memo = Memo(lambda words: [flat(map(self.word, words))])
 
     def word(self, word: str) -> list[int]:
         if word[0] == " ":  # no word has white space in it
@@ -126,7 +126,7 @@ class WordBpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
         split = [self.units(t) for t in texts]
-        ids, count = self.memo.of(list(chain.from_iterable(split)))
+        ((ids, count),) = self.memo.of(list(chain.from_iterable(split)))
         upto = np.append(0, np.cumsum(count))[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(upto)
 
