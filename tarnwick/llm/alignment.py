@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.llm import bpe
-from tarnwick.llm.units import Memo, is_odd, local_file
+from tarnwick.llm.units import Memo, flat, is_odd, local_file
 from tarnwick.session import materialise, scratch
 
 #: Distinct keys that a task holds before it hands on what it has counted, and partial counts in a shard at most on average.
 HELD, SHARD = 1 << 20, 1 << 21
 #: Tokens that are worked on at a time.
 TOKENS = 1 << 18
-_loaded: dict[tuple, Pair] = {}
+UNITS = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*").findall
+_loaded: dict[Files, Pair] = {}
 
 
 @dataclass(frozen=True)
@@ -72,28 +73,43 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.space = own.piece_to_id("▁")
-        self.memo = Memo(self._encode_b)
+        self.memo = Memo(self._encode, 3)
         # What stands behind a token: a comma, or where a group ends a bar (A) or a semicolon (B).
         self.shown = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"] + [f"{i}{end}" for i in range(len(pieces)) for end in ",;"]
 
-    def _encode_b(self, units: list[str]) -> list[list[int]]:
-        """Units are spaces and what follows up to the next space; the model itself adds the first of them."""
-        return [[self.space] if u == " " else ids for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True)]
+    def _encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and B, and a mark where a unit is not given back byte for byte.
+
+        Units start with a space, which B itself adds, and end where a space follows what is no white space: there
+        tokens of both end, whatever stands around.
+        """
+        a, n_a = self.a.encode(units)
+        b, n_b = flat([self.space] if u == " " else ids for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True))
+        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+        sizes = (np.cumsum(self.size_a[a])[ends_a - 1], np.cumsum(self.size_b[b])[ends_b - 1]) if len(a) and len(b) and n_a.all() and n_b.all() else (np.zeros(1), np.ones(1))
+        bad = np.zeros(len(units), np.int64)
+        if not ((sizes[0] == sizes[1]).all() and self._same("".join(units), a.tolist(), b.tolist())):
+            parts = [np.split(x, e[:-1]) for x, e in ((a, ends_a), (b, ends_b))]
+            bad[:] = [not self._same(u, x.tolist(), y.tolist()) for u, x, y in zip(units, *parts, strict=True)]
+        return [(a, n_a), (b, n_b), (np.ones(bad.sum(), np.int32), bad)]
+
+    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
+        raw = text.encode()
+        return b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
 
     def tokenise(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and B for each text."""
         texts = [" " + t if t else "" for t in texts]
-        ids, counts = self.a.encode(texts)
-        a = np.split(ids, np.cumsum(counts)[:-1])
-        units = [re.findall(" +[^ ]*", t) for t in texts]
-        ids, counts = self.memo.of(list(chain.from_iterable(units)))
-        upto = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, units)])]
-        b = np.split(ids, upto[1:-1])
+        units = list(map(UNITS, texts))
+        upto = np.cumsum([0, *map(len, units)])
+        (a, n_a), (b, n_b), (_, bad) = self.memo.of(list(chain.from_iterable(units)))
+        a, b = (np.split(ids, np.append(0, np.cumsum(n))[upto][1:-1]) for ids, n in ((a, n_a), (b, n_b)))
+        bad = np.diff(np.append(0, np.cumsum(bad))[upto]) > 0
         for i, text in enumerate(texts):
             if is_odd(text):
                 a[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-            raw = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a[i].tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b[i].tolist())) != raw:
+                bad[i] = not self._same(text, a[i].tolist(), b[i].tolist())
+            if bad[i]:
                 a[i] = b[i] = np.zeros(0, np.int32)
         return a, b
 
