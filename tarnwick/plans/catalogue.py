@@ -688,6 +688,34 @@ def continuity_cycles(spark, d):
     return graph.cycle_nodes(_nation_edges(spark, d).where(F.size("needs") > 0))
 
 
+NEXT_PART = """n AS (SELECT l_partkey AS src, l_orderkey AS o, l_linenumber AS k, coalesce(lead(l_partkey) OVER w, first_value(l_partkey) OVER w) AS dst FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def next_parts(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, o, k): of each line its part and the next line's in the order, the first one's after the last."""
+    whole = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    nxt = F.coalesce(F.lead("l_partkey").over(whole), F.first("l_partkey").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), nxt.alias("dst"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"))
+
+
+@query(f"""WITH RECURSIVE {NEXT_PART}, e AS (SELECT src, max(struct_pack(o := o, k := k, dst := dst)).dst AS dst FROM n GROUP BY src),
+r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
+def part_cycles(spark, d):
+    """Parts by the part that follows in their latest line: each has one way out, so cycles stand at the ends of trees."""
+    last = next_parts(spark, d).groupBy("src").agg(F.max(F.struct("o", "k", "dst"))["dst"].alias("dst"))
+    return graph.strong_components(last)
+
+
+@query(f"""WITH RECURSIVE {NEXT_PART}, e AS (SELECT DISTINCT src, dst FROM n WHERE k = 1),
+r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
+def part_knots(spark, d):
+    """Parts by what follows where they are an order's first line: many ways out and in, so one large component beside small ones."""
+    return graph.strong_components(next_parts(spark, d).where("k = 1").select("src", "dst"))
+
+
 @query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS key FROM lineitem),
 b AS (SELECT DISTINCT node, 0 AS depth FROM m WHERE node % 20 = 0 UNION SELECT y.node, b.depth + 1 FROM b JOIN m x ON x.node = b.node JOIN m y ON y.key = x.key WHERE b.depth < 2)
 SELECT node, min(depth) AS depth FROM b GROUP BY 1""")
