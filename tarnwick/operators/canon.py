@@ -2,8 +2,10 @@
 
 A branch is one row (branch_id, bible, decisions, extra_events), JSON texts; branches are folded
 independently, so proposals spread over the cluster while each fold, which is sequential by nature,
-stays in one place. The state is a small object of sets and maps; an event is applied to a copy,
-which replaces the state only if no rule finds an error, so nothing has to be undone.
+stays in one place. The state is a small object of sets and maps with an undo log: an event changes it in
+place, and what it has changed is put back if a rule finds an error. Rules over the whole state (exclusive groups, bounds,
+lost carriers) are kept up by what an event touches, so a fold takes steps in proportion to its events' own sizes.
+`tarnwick.streaming.branches` folds the same rules over events that come as rows, with the state kept by key.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import math
 import operator
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from copy import deepcopy
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 COMPARE = {"eq": operator.eq, "ne": operator.ne, "lt": operator.lt, "lte": operator.le, "gt": operator.gt, "gte": operator.ge}
 ORDER = {"error": 0, "warning": 1, "notice": 2}
 Finding = tuple[str, str, str, str]  # code, severity, subject, detail
+ABSENT = object()
 
 
 @dataclass
@@ -37,6 +39,36 @@ class State:
     resolved: set[str] = field(default_factory=set)
     fulfilled: dict[str, tuple[str, int]] = field(default_factory=dict)
     done: set[str] = field(default_factory=set)
+    #: What has been changed since the last commit: (field, key, the old value or ABSENT).
+    log: list[tuple[str, object, object]] = field(default_factory=list)
+
+    def put(self, kind: str, key, value=True) -> None:
+        held = getattr(self, kind)
+        if isinstance(held, set):
+            if key not in held:
+                self.log.append((kind, key, ABSENT))
+                held.add(key)
+        else:
+            self.log.append((kind, key, held.get(key, ABSENT)))
+            held[key] = value
+
+    def drop(self, kind: str, key) -> None:
+        held = getattr(self, kind)
+        if key in held:
+            self.log.append((kind, key, True if isinstance(held, set) else held[key]))
+            held.discard(key) if isinstance(held, set) else held.pop(key)
+
+    def undo(self) -> None:
+        """Put back what has been changed since the last commit, last changes first."""
+        for kind, key, old in reversed(self.log):
+            held = getattr(self, kind)
+            if isinstance(held, set):
+                held.discard(key) if old is ABSENT else held.add(key)
+            elif old is ABSENT:
+                held.pop(key, None)
+            else:
+                held[key] = old
+        self.log.clear()
 
 
 def scope(bible: dict, target: str) -> set[str]:
@@ -78,7 +110,7 @@ class Branch:
         """Extra events are proposals: they count as enabled."""
         self.bible, self.decisions = bible, decisions
         extra = [{**e, "enabledByDefault": True} for e in extra]
-        inside = scope(bible, decisions["targetContinuityId"])
+        inside = self.inside = scope(bible, decisions["targetContinuityId"])
         mine = lambda key, more=(): {x["id"]: x for x in [*bible.get(key, []), *more] if inside & set(x.get("continuityIds", []))}
         self.propositions, self.variables, self.functions, self.endpoints = (mine(k) for k in ("propositions", "stateVariables", "narrativeFunctions", "endpoints"))
         self.eligible = {"entities": set(mine("entities")), "capabilities": set(mine("capabilities"))}
@@ -90,8 +122,15 @@ class Branch:
         self.findings: list[Finding] = []
         self.retired: set[str] = set()
         self.carriers: dict[str, list[str]] = {}
+        self.last = 0
+        self.groups: dict[str, set[str]] = defaultdict(set)
+        self.clashing: set[str] = set()
+        self.broken: dict[str, tuple[str, str]] = {}
+        self.by_carrier: dict[str, list[str]] = defaultdict(list)
+        self.lost: dict[str, list[str]] = {}
         self.state = self._initial()
         self.active_events = self._active_events()
+        self.active_ids = {e["id"] for e in self.active_events}
 
     def _effects(self, key: str) -> Iterator:
         for o in self.options:
@@ -110,7 +149,8 @@ class Branch:
             on -= set(o["effects"].get("deactivatePropositionIds", []))
         on = (on | set(d.get("assumePropositionIds", []))) - set(d.get("excludePropositionIds", []))
         s.propositions = on & set(self.propositions)
-        self.findings += self._exclusive(s, d["id"])
+        self._refresh(s, [("propositions", p) for p in s.propositions])
+        self.findings += self._exclusive(d["id"])
         s.variables = {v: x["initialValue"] for v, x in self.variables.items()}
         by_var = defaultdict(set)
         for o in self._effects("variableOverrides"):
@@ -121,8 +161,12 @@ class Branch:
             elif v in s.variables:
                 s.variables[v] = next(iter(values))
         s.variables |= {o["variableId"]: o["value"] for o in d.get("variableOverrides", []) if o["variableId"] in s.variables}
-        self.findings += self._bounds(s, d["id"])
+        self._refresh(s, [("variables", v) for v in s.variables])
+        self.findings += self._bounds(d["id"])
         self._assign(s)
+        for f, own in self.carriers.items():
+            for c in set(own):
+                self.by_carrier[c].append(f)
         s.knowledge = {(k["actorId"], k["propositionId"]) for k in start.get("knowledge", []) if k["actorId"] in s.entities and k["propositionId"] in self.propositions}
         s.capabilities = {(k["entityId"], k["capabilityId"]) for k in start.get("capabilities", []) if k["entityId"] in s.entities and k["capabilityId"] in self.eligible["capabilities"]}
         s.places = {p["entityId"]: (p["locationId"], p["time"]["earliest"], p["time"]["latest"]) for p in start.get("entityLocations", []) if p["entityId"] in s.entities}
@@ -171,32 +215,50 @@ class Branch:
 
     # Rules over a state.
 
-    def _exclusive(self, s: State, subject: str) -> Iterator[Finding]:
-        groups = defaultdict(list)
-        for p in sorted(s.propositions & set(self.propositions)):
-            if g := self.propositions[p].get("exclusiveGroupId"):
-                groups[g].append(p)
-        for g, members in sorted(groups.items()):
-            if len(members) > 1:
-                yield "exclusive-proposition-conflict", "error", subject, f"{g}: {', '.join(members)}"
-
-    def _bounds(self, s: State, subject: str) -> Iterator[Finding]:
-        for v, x in sorted(self.variables.items()):
-            n = s.variables.get(v)
-            if n is None:
-                continue
-            if not math.isfinite(n) or (x.get("integer") and n != int(n)):
-                yield "invalid-variable-value", "error", subject, f"{v} is {n}"
-            elif x.get("minimum") is not None and n < x["minimum"]:
-                yield "variable-underflow", "error", subject, f"{v} is {n}, below {x['minimum']}"
-            elif x.get("maximum") is not None and n > x["maximum"]:
-                yield "variable-overflow", "error", subject, f"{v} is {n}, above {x['maximum']}"
+    def _refresh(self, s: State, touched: Iterable[tuple]) -> None:
+        """Keep up what is wrong with the state as a whole, after these (field, key) have changed."""
+        for kind, key, *_ in touched:
+            if kind == "propositions" and key in self.propositions and (g := self.propositions[key].get("exclusiveGroupId")):
+                self.groups[g].add(key) if key in s.propositions else self.groups[g].discard(key)
+                self.clashing.add(g) if len(self.groups[g]) > 1 else self.clashing.discard(g)
+            elif kind == "variables" and key in self.variables:
+                found = self._out_of_bounds(self.variables[key], s.variables.get(key))
+                if found:
+                    self.broken[key] = found
+                else:
+                    self.broken.pop(key, None)
+            elif kind == "entities":
+                for f in self.by_carrier.get(key, ()):
+                    gone = sorted(set(self.carriers[f]) - s.entities)
+                    if gone:
+                        self.lost[f] = gone
+                    else:
+                        self.lost.pop(f, None)
+
+    @staticmethod
+    def _out_of_bounds(x: dict, n: float | None) -> tuple[str, str] | None:
+        if n is None:
+            return None
+        if not math.isfinite(n) or (x.get("integer") and n != int(n)):
+            return "invalid-variable-value", f"{x['id']} is {n}"
+        if x.get("minimum") is not None and n < x["minimum"]:
+            return "variable-underflow", f"{x['id']} is {n}, below {x['minimum']}"
+        if x.get("maximum") is not None and n > x["maximum"]:
+            return "variable-overflow", f"{x['id']} is {n}, above {x['maximum']}"
+        return None
+
+    def _exclusive(self, subject: str) -> Iterator[Finding]:
+        for g in sorted(self.clashing):
+            yield "exclusive-proposition-conflict", "error", subject, f"{g}: {', '.join(sorted(self.groups[g]))}"
+
+    def _bounds(self, subject: str) -> Iterator[Finding]:
+        for _, (code, detail) in sorted(self.broken.items()):
+            yield code, "error", subject, detail
 
     def _carrier_loss(self, s: State, subject: str) -> Iterator[Finding]:
-        for f, own in sorted(self.carriers.items()):
-            gone = sorted(set(own) - s.entities)
-            if gone and f not in s.resolved:
-                all_gone = len(gone) == len(set(own))
+        for f, gone in sorted(self.lost.items()):
+            if f not in s.resolved:
+                all_gone = len(gone) == len(set(self.carriers[f]))
                 yield "inactive-function-carrier", "error" if all_gone and self.functions[f].get("required") else "warning", subject, f"{f} loses {', '.join(gone)}"
 
     def _holds(self, s: State, c: dict) -> bool:
@@ -205,9 +267,9 @@ class Branch:
 
     def _before(self, s: State, e: dict) -> Iterator[Finding]:
         """What an event needs."""
-        i, pre, active = e["id"], e.get("preconditions", {}), {x["id"] for x in self.active_events}
+        i, pre = e["id"], e.get("preconditions", {})
         for p in e.get("causalParentEventIds", []):
-            if p not in active:
+            if p not in self.active_ids:
                 yield "missing-active-causal-parent", "error", i, p
             elif p not in s.done:
                 yield "unresolved-causal-parent", "error", i, p
@@ -259,24 +321,34 @@ class Branch:
                 return
             if was[2] + need > t["earliest"]:
                 yield "travel-window-ambiguous", "warning", e["id"], who
-        s.places[who] = here
+        s.put("places", who, here)
 
     def _apply(self, s: State, e: dict) -> None:
         """Effects in their fixed order."""
         get = lambda key: e.get("effects", {}).get(key, [])
-        s.propositions -= set(get("negatePropositionIds"))
-        s.propositions |= set(get("establishPropositionIds"))
-        s.knowledge |= {(k["actorId"], k["propositionId"]) for k in get("grantKnowledge")}
-        s.capabilities |= {(k["entityId"], k["capabilityId"]) for k in get("grantCapabilities")}
-        s.capabilities -= {(k["entityId"], k["capabilityId"]) for k in get("revokeCapabilities")}
-        s.variables |= {c["variableId"]: c["value"] for c in get("variableSets")}
+        pairs = lambda key, a, b: [(k[a], k[b]) for k in get(key)]
+        moves = {m["entityId"]: (m["toLocationId"], e["time"]["earliest"], e["time"]["latest"]) for m in get("moveEntities")}
+        changes: list[tuple[str, bool, Iterable]] = [
+            ("propositions", False, get("negatePropositionIds")), ("propositions", True, get("establishPropositionIds")), ("knowledge", True, pairs("grantKnowledge", "actorId", "propositionId")),
+            ("capabilities", True, pairs("grantCapabilities", "entityId", "capabilityId")), ("capabilities", False, pairs("revokeCapabilities", "entityId", "capabilityId")),
+        ]
+        for kind, on, keys in changes:
+            for key in keys:
+                s.put(kind, key) if on else s.drop(kind, key)
+        for c in get("variableSets"):
+            s.put("variables", c["variableId"], c["value"])
         for c in get("variableDeltas"):
             if c["variableId"] in s.variables:
-                s.variables[c["variableId"]] += c["delta"]
-        s.places |= {m["entityId"]: (m["toLocationId"], e["time"]["earliest"], e["time"]["latest"]) for m in get("moveEntities")}
-        s.entities |= set(get("activateEntityIds"))
-        s.entities -= set(get("deactivateEntityIds"))
-        s.resolved |= set(get("resolveFunctionIds")) - self.retired
+                s.put("variables", c["variableId"], s.variables[c["variableId"]] + c["delta"])
+        for who, place in moves.items():
+            s.put("places", who, place)
+        for x in get("activateEntityIds"):
+            s.put("entities", x)
+        for x in get("deactivateEntityIds"):
+            s.drop("entities", x)
+        for f in get("resolveFunctionIds"):
+            if f not in self.retired:
+                s.put("resolved", f)
 
     def _endpoint(self, s: State, e: dict, p: dict) -> Iterator[Finding]:
         i, t, w = e["id"], e["time"], p["window"]
@@ -302,28 +374,44 @@ class Branch:
             if q not in s.resolved:
                 yield "endpoint-unresolved-function", "error", i, f"{p['id']} {q}"
 
+    def step(self, e: dict) -> bool:
+        """Apply an event, or put all back if it finds an error; its findings are kept either way."""
+        s, bad = self.state, lambda found: any(f[1] == "error" for f in found)
+        found = list(self._before(s, e))
+        fine = not bad(found)
+        if fine:
+            self._apply(s, e)
+            self._refresh(s, s.log)
+            found += [*self._exclusive(e["id"]), *self._bounds(e["id"]), *self._carrier_loss(s, e["id"])]
+            met = [self.endpoints[p] for p in e.get("fulfillsEndpointIds", []) if p in self.endpoints]
+            for p in {p["id"]: p for p in met}.values():
+                found += self._endpoint(s, e, p)
+            fine = not bad(found)
+        self.findings += found
+        if fine:
+            for p in met:
+                s.put("fulfilled", p["id"], (e["id"], e["sequence"]))
+            self._finish(e)
+        else:
+            touched = list(s.log)
+            s.undo()
+            self._refresh(s, touched)
+        return fine
+
+    def _finish(self, e: dict) -> None:
+        self.state.put("done", e["id"])
+        self.last = max(self.last, e["sequence"])
+        self.state.log.clear()
+
     def fold(self, require_closure: bool = False) -> dict:
         """The receipt: findings in order, what was reached, whether all that must close did."""
-        bad = lambda found: any(f[1] == "error" for f in found)
         for e in self.active_events:
-            trial = deepcopy(self.state)
-            found = list(self._before(trial, e))
-            if bad(found):
-                self.findings += found
-                continue
-            self._apply(trial, e)
-            found += [*self._exclusive(trial, e["id"]), *self._bounds(trial, e["id"]), *self._carrier_loss(trial, e["id"])]
-            met = [self.endpoints[p] for p in e.get("fulfillsEndpointIds", []) if p in self.endpoints]
-            checks = {p["id"]: list(self._endpoint(trial, e, p)) for p in met}
-            found += [f for c in checks.values() for f in c]
-            self.findings += found
-            if bad(found):
-                continue
-            trial.fulfilled |= {p: (e["id"], e["sequence"]) for p in checks}
-            trial.done.add(e["id"])
-            self.state = trial
-        s = self.state
-        last = max((e["sequence"] for e in self.active_events if e["id"] in s.done), default=0)
+            self.step(e)
+        return self.receipt(require_closure)
+
+    def receipt(self, require_closure: bool = False) -> dict:
+        bad = lambda found: any(f[1] == "error" for f in found)
+        s, last = self.state, self.last
         grave = "error" if require_closure else "warning"
         for p, x in sorted(self.endpoints.items()):
             if x.get("hard") and p not in s.fulfilled:

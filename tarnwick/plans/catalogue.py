@@ -18,6 +18,7 @@ from tarnwick.functions import web
 from tarnwick.operators import canon, corpus, dossier, graph, ledger, recall, review, rules, search, validate
 from tarnwick.session import shared_dir, table, workers_see_package
 from tarnwick.sources import adapters, files
+from tarnwick.streaming import branches
 from tarnwick.streaming import ledger as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -969,10 +970,13 @@ def endpoint_allowed(spark, d):
 # The fold, and adapters over payloads made of table rows.
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CAST(CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE -1 END * round(value) AS BIGINT) AS delta FROM events),
+STATE_SQL = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CAST(CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE -1 END * round(value) AS BIGINT) AS delta FROM events),
 f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(100 AS BIGINT) AS gold, CAST(0 AS BIGINT) AS done FROM (SELECT DISTINCT user_id FROM events)
  UNION ALL SELECT f.user_id, e.i, CASE WHEN gold + delta BETWEEN 0 AND 500 THEN gold + delta ELSE gold END, done + CASE WHEN gold + delta BETWEEN 0 AND 500 THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
-SELECT CAST(user_id AS VARCHAR) AS branch_id, CAST(arg_max(gold, i) AS DOUBLE) AS gold, max(done) AS completed, max(i) - max(done) AS rolled_back FROM f GROUP BY 1""")
+SELECT CAST(user_id AS VARCHAR) AS branch_id, CAST(arg_max(gold, i) AS DOUBLE) AS gold, max(done) AS completed, max(i) - max(done) AS rolled_back FROM f GROUP BY 1"""
+
+
+@query(STATE_SQL)
 def state_fold(spark, d):
     """Each user's events as a branch: a bounded balance, where an event that would leave the bounds is rolled back."""
     sign = F.when(F.col("event_type").isin("purchase", "click"), 1).otherwise(-1)
@@ -990,6 +994,22 @@ def state_fold(spark, d):
     return out.select("branch_id", F.col("variables")["gold"].alias("gold"), F.size("completed").cast("long").alias("completed"), failed.cast("long").alias("rolled_back"))
 
 
+@query(STATE_SQL)
+def state_fold_rows(spark, d):
+    """The same branches with each event a row, folded as keyed state."""
+    sign = F.when(F.col("event_type").isin("purchase", "click"), 1).otherwise(-1)
+    change = F.struct(F.lit("gold").alias("variableId"), (sign * F.round("value")).cast("long").alias("delta"))
+    event = F.struct(
+        F.format_string("e%012d", "event_id").alias("id"), F.col("event_id").alias("sequence"), F.lit(True).alias("enabledByDefault"), F.array(F.lit("m")).alias("continuityIds"), F.struct(F.lit(0).alias("earliest"), F.lit(0).alias("latest")).alias("time"),
+        F.struct(F.array(change).alias("variableDeltas")).alias("effects"),
+    )
+    world = '{"bible":{"continuities":[{"id":"m","inheritsFromIds":[]}],"stateVariables":[{"id":"gold","initialValue":100,"minimum":0,"maximum":500,"integer":true,"continuityIds":["m"]}]},"decisions":{"id":"d","targetContinuityId":"m"}}'
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("branch_id"), F.lit("event").alias("kind"), F.to_json(event).alias("body"))
+    worlds = events.select("branch_id").distinct().select("branch_id", F.lit("world").alias("kind"), F.lit(world).alias("body"))
+    out = branches.fold_rows(events.unionByName(worlds))
+    return out.select("branch_id", F.col("variables")["gold"].alias("gold"), "completed", "rolled_back")
+
+
 @query("""SELECT p_partkey AS request_id, 'catalogue:/works/OL' || p_partkey || 'W' AS source_record_id, p_name AS title, 'https://openlibrary.org/works/OL' || p_partkey || 'W' AS canonical_uri FROM part WHERE p_size <> 7""")
 def adapter_catalogue(spark, d):
     doc = F.struct(F.when(F.col("p_size") != 7, F.concat(F.lit("/works/OL"), F.col("p_partkey").cast("string"), F.lit("W"))).alias("key"), F.col("p_name").alias("title"), F.array("p_brand").alias("publisher"), F.lit("not kept").alias("description"))
