@@ -5,6 +5,7 @@ A query is a thin use of an operator on whole tables; the SQL is DuckDB's.
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import fingerprint as P
 from tarnwick.functions import text as X
 from tarnwick.functions import web
-from tarnwick.operators import canon, corpus, dossier, graph, ledger, recall, review, rules, search, validate
+from tarnwick.operators import canon, corpus, dossier, graph, hashtree, ledger, recall, review, rules, search, validate
 from tarnwick.session import shared_dir, table, workers_see_package
 from tarnwick.sources import adapters, files
 from tarnwick.streaming import branches
@@ -1082,3 +1083,78 @@ def stream_windows(spark, d):
     w = streams.windowed_counts(streams.stream_events(spark, f"{d}/events.parquet*"))
     w.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# Fingerprints of nested tables.
+
+
+def _own_sql(**columns: str) -> str:
+    """The text that a record's columns make, in SQL."""
+    one = lambda name, c: f"'{name}:' || coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-') || ';'"
+    return " || ".join(one(name, c) for name, c in sorted(columns.items()))
+
+
+def _lanes_sql(digest: str) -> str:
+    sums = (f"coalesce(sum(CAST(CAST('0x' || substr({digest}, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)), 0)" for i in range(hashtree.LANES))
+    return " || ':' || ".join([f"count({digest})", *sums])
+
+
+LINE, ORDER, CUSTOMER = ("l_linenumber", "l_partkey", "l_suppkey"), ("o_orderstatus", "o_orderpriority"), ("c_name", "c_mktsegment")
+
+
+def line_text(number: str = "l_linenumber") -> str:
+    return _own_sql(**{c: c for c in LINE} | {"l_linenumber": number})
+
+
+def facts(spark: SparkSession, d: str, lines: DataFrame | None = None, stored: bool = False) -> hashtree.Level:
+    """Nations with their customers, orders and lines; with `stored`, tables have that column."""
+    kept = "stored" if stored else None
+    lines = table(spark, d, "lineitem") if lines is None else lines
+    lines = lines.withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    leaf = hashtree.Level("line", lines, LINE, "line", "l_orderkey", kept)
+    orders = hashtree.Level("order", table(spark, d, "orders"), ORDER, "o_orderkey", "o_custkey", kept, (leaf,))
+    customers = hashtree.Level("customer", table(spark, d, "customer"), CUSTOMER, "c_custkey", "c_nationkey", kept, (orders,))
+    return hashtree.Level("nation", table(spark, d, "nation"), ("n_name",), "n_nationkey", None, kept, (customers,))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS p, {_lanes_sql("sha256(x)")} AS s FROM (SELECT l_orderkey, {line_text()} AS x FROM lineitem) GROUP BY 1),
+o AS (SELECT o_custkey AS p, sha256({_own_sql(o_orderstatus="o_orderstatus", o_orderpriority="o_orderpriority")} || '|line=' || coalesce(s, '0:0:0:0:0')) AS f FROM orders LEFT JOIN l ON p = o_orderkey),
+os AS (SELECT p, {_lanes_sql("f")} AS s FROM o GROUP BY 1),
+c AS (SELECT c_nationkey AS p, sha256({_own_sql(c_name="c_name", c_mktsegment="c_mktsegment")} || '|order=' || coalesce(s, '0:0:0:0:0')) AS f FROM customer LEFT JOIN os ON p = c_custkey),
+cs AS (SELECT p, {_lanes_sql("f")} AS s FROM c GROUP BY 1)
+SELECT n_nationkey AS id, sha256({_own_sql(n_name="n_name")} || '|customer=' || coalesce(s, '0:0:0:0:0')) AS fingerprint FROM nation LEFT JOIN cs ON p = n_nationkey""")
+def fact_fingerprints(spark, d):
+    """A fingerprint for each nation over all that hangs from it."""
+    return hashtree.fingerprints(facts(spark, d))
+
+
+FAULTY = "l_orderkey % 97 = 5 AND l_partkey % 3 = 0"
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE {FAULTY}), t AS (SELECT DISTINCT o_orderkey, c_custkey, c_nationkey, f.l_linenumber FROM f
+  JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT 'line' AS level, 'own' AS cause, CAST(c_nationkey AS VARCHAR) AS root, o_orderkey || '-' || l_linenumber AS id, c_nationkey || '/' || c_custkey || '/' || o_orderkey || '/' || o_orderkey || '-' || l_linenumber AS path FROM t
+UNION SELECT 'order', 'below', CAST(c_nationkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), c_nationkey || '/' || c_custkey || '/' || o_orderkey FROM t
+UNION SELECT 'customer', 'below', CAST(c_nationkey AS VARCHAR), CAST(c_custkey AS VARCHAR), c_nationkey || '/' || c_custkey FROM t
+UNION SELECT 'nation', 'below', CAST(c_nationkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) FROM t""")
+def fact_faults(spark, d):
+    """Lines that were changed after all fingerprints were kept are found from their nations: every record on the way says that the fault is below it."""
+    whole = facts(spark, d)
+    kept = hashtree.prints(whole)
+    with_kept = lambda t, key, name: t.join(kept[name].select(F.col("id").alias("_id"), F.col("deep").alias("stored")).dropDuplicates(["_id"]), F.col(key) == F.col("_id")).drop("_id")
+    own = F.sha2(hashtree.own_text(LINE), 256)
+    lines = table(spark, d, "lineitem").withColumn("stored", own).withColumn("l_suppkey", F.when(F.expr(FAULTY), F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey")))
+    root = facts(spark, d, lines, stored=True)
+    customers, orders = root.children[0], root.children[0].children[0]
+    orders = dataclasses.replace(orders, table=with_kept(orders.table, "o_orderkey", "order"))
+    customers = dataclasses.replace(customers, table=with_kept(customers.table, "c_custkey", "customer"), children=(orders,))
+    root = dataclasses.replace(root, table=with_kept(root.table, "n_nationkey", "nation"), children=(customers,))
+    return hashtree.faults(root).where("cause <> 'orphan'").select("level", "cause", "root", "id", "path").distinct()
+
+
+@query(f"""SELECT source, count(*) AS n, sha256({_lanes_sql("sha256(x)")}) AS digest FROM (SELECT source, {_own_sql(doc_id="doc_id", lang="lang", text="text")} AS x FROM documents) GROUP BY 1""")
+def source_manifest(spark, d):
+    """What each source holds, from the manifests of three batches."""
+    docs = table(spark, d, "documents")
+    parts = [hashtree.manifest(docs.where(F.pmod("doc_id", F.lit(3)) == k), ["doc_id", "lang", "text"], "source").drop("digest") for k in range(3)]
+    return hashtree.with_digest(hashtree.merged(rules.union(parts), "source")).select("source", "n", "digest")
