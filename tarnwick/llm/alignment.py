@@ -84,6 +84,12 @@ class Pair:
         tokens of both end, whatever stands around.
         """
         a, n_a = self.a.encode(units)
+        odd = [i for i, u in enumerate(units) if is_odd(u)]
+        if odd:
+            parts = np.split(a, np.cumsum(n_a)[:-1])
+            for i in odd:
+                parts[i] = np.array(self.library.encode(units[i], add_special_tokens=False).ids, np.int32)
+            a, n_a = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         b, n_b = flat([self.space] if u == " " else ids for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True))
         ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
         sizes = (np.cumsum(self.size_a[a])[ends_a - 1], np.cumsum(self.size_b[b])[ends_b - 1]) if len(a) and len(b) and n_a.all() and n_b.all() else (np.zeros(1), np.ones(1))
@@ -97,35 +103,33 @@ class Pair:
         raw = text.encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
 
-    def tokenise(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and B for each text."""
-        texts = [" " + t if t else "" for t in texts]
-        units = list(map(UNITS, texts))
+    def tokenise(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B the ids of all texts in a row, and how many each text has."""
+        units = [UNITS(" " + t) if t else [] for t in texts]
         upto = np.cumsum([0, *map(len, units)])
-        (a, n_a), (b, n_b), (_, bad) = self.memo.of(list(chain.from_iterable(units)))
-        a, b = (np.split(ids, np.append(0, np.cumsum(n))[upto][1:-1]) for ids, n in ((a, n_a), (b, n_b)))
+        *both, (_, bad) = self.memo.of(list(chain.from_iterable(units)))
         bad = np.diff(np.append(0, np.cumsum(bad))[upto]) > 0
-        for i, text in enumerate(texts):
-            if is_odd(text):
-                a[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-                bad[i] = not self._same(text, a[i].tolist(), b[i].tolist())
-            if bad[i]:
-                a[i] = b[i] = np.zeros(0, np.int32)
-        return a, b
+        out = []
+        for ids, count in both:
+            n = np.diff(np.append(0, np.cumsum(count))[upto])
+            if bad.any():
+                ids, n = ids[np.repeat(~bad, n)], np.where(bad, 0, n)
+            out.append((ids, n))
+        return out
 
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a and in b of the tokens that end together; a and b cover the same bytes."""
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        at = np.searchsorted(ends_a, ends_b)
-        both = np.flatnonzero(ends_a[at] == ends_b) if len(ends_a) else np.zeros(0, np.int64)
-        return at[both], both
+        marks = np.zeros((2, 1 + int(ends_a[-1] if len(ends_a) else 0)), bool)
+        marks[0, ends_a] = marks[1, ends_b] = True
+        return np.flatnonzero(marks[1, ends_a]), np.flatnonzero(marks[0, ends_b])
 
     def groups(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, cuts: np.ndarray) -> list[str]:
         """The groups of each text as `a1,a2|b1;a3|b2,b3`; cuts: how many tokens of both the texts up to each have."""
         code_a, code_b = 2 * a.astype(np.int64), 2 * (b + len(self.bytes_a)).astype(np.int64)
         code_a[at_a] += 1
         code_b[at_b] += 1
-        in_a, in_b = np.searchsorted(at_a, np.arange(len(a))), np.searchsorted(at_b, np.arange(len(b)))
+        in_a, in_b = np.cumsum(code_a & 1) - (code_a & 1), np.cumsum(code_b & 1) - (code_b & 1)
         codes = np.empty(len(a) + len(b), np.int64)
         codes[np.arange(len(a)) + np.append(0, at_b + 1)[in_a]] = code_a
         codes[np.arange(len(b)) + at_a[in_b] + 1] = code_b
@@ -140,8 +144,8 @@ def pair(files: Files) -> Pair:
     return _loaded[files]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(bpe._offsets(np.fromiter(map(len, arrays), np.int64, len(arrays))), pa.array(np.concatenate(arrays), pa.int32()))
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(bpe._offsets(counts), pa.array(ids, pa.int32()))
 
 
 def tokenise(docs: DataFrame, files: Files) -> DataFrame:
@@ -153,7 +157,7 @@ def tokenise(docs: DataFrame, files: Files) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for x, y in bpe._runs([len(t) for t in texts], 1 << 20):
                 a, b = own.tokenise(texts[x:y])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], _lists(a), _lists(b)], ["doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], _lists(*a), _lists(*b)], ["doc_id", "a", "b"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, a array<int>, b array<int>")
 
