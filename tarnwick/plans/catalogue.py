@@ -45,8 +45,11 @@ _INDEXES: dict[tuple, search.Index] = {}
 
 
 def index_of(spark: SparkSession, d: str, kind: str) -> search.Index:
-    """The index of documents, built once for each session and table in the shared folder; `build_index` is the query that times it."""
-    key = (spark.sparkContext.applicationId, kind, *sorted(table(spark, d, "documents").inputFiles()))
+    """The index of documents, built once for each session and state of the table's files in the shared folder; `build_index` is the query that times it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in sorted(table(spark, d, "documents").inputFiles())]
+    states = (p.getFileSystem(conf).getFileStatus(p) for p in paths)
+    key = (spark.sparkContext.applicationId, kind, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in states))
     if key not in _INDEXES:
         _INDEXES[key] = search.build_index(table(spark, d, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", kind)
     return _INDEXES[key]
