@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as X
 from tarnwick.functions.fingerprint import digest
-from tarnwick.operators import search
+from tarnwick.operators import ranking, search
 from tarnwick.session import materialise
 
 
@@ -80,22 +80,13 @@ def heading_census(rows: DataFrame, source: str, heading: str) -> DataFrame:
 
 
 def narrative_order(rows: DataFrame, source: str, heading: str, order: Sequence[str]) -> DataFrame:
-    """Occurrence of each heading within its source, and place within the source."""
-    return rows.withColumns(
-        {
-            "heading_occurrence": F.row_number().over(W.partitionBy(source, heading).orderBy(*order)),
-            "chapter_order": F.row_number().over(W.partitionBy(source).orderBy(*order)),
-        }
-    )
+    """Occurrence of each heading within its source, and place within the source; by ranges, so that a large source is sorted by many tasks."""
+    return ranking.placed(ranking.placed(rows, [source, heading], order, "heading_occurrence"), [source], order, "chapter_order")
 
 
 def global_order(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Place over all rows, in order of group and order columns, without one task for all: sizes of
-    groups are summed first, and only these few rows meet in one window."""
-    within = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    before = sizes.select(F.col(group), F.coalesce(F.sum("_size").over(W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(before, group).withColumn("global_order", F.col("_before") + within).drop("_before")
+    """Place over all rows, in order of group (null first) and order columns, without one task for all or for a group."""
+    return ranking.placed(rows, [], [group, *order], "global_order")
 
 
 # Evidence routing: queries of several kinds against the corpus, five leads for each.

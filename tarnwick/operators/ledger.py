@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.operators import ranking
+
 
 def latest(log: DataFrame, key: str, seq: Sequence[str]) -> DataFrame:
     """The last row of each key in append order; an aggregate, so summed before the shuffle."""
@@ -121,17 +123,15 @@ def health_plan(records: DataFrame, repairs: DataFrame, limit: int = 40) -> Data
 def plan(ledger: DataFrame, now: Column, cursor: int, limit: int = 20, refresh: bool = False) -> DataFrame:
     """Sources to attempt: eligible ones, never attempted first, rotated by the cursor.
 
-    The rank over all eligible rows is found from the first cursor and limit rows of the order, so no task sorts them all.
+    Places in the order are found by ranges; only the rows of this turn, at most `limit`, meet in one task.
     """
     eligible = ledger.where((F.col("status") != "retired") & (F.lit(refresh) | (F.col("status") == "never-attempted") | F.coalesce(F.col("next_eligible_at") <= now, F.lit(False))))
     order = [F.when(F.col("status") == "never-attempted", 0).otherwise(1), F.col("last_attempt_at").asc_nulls_first(), F.col("source_id").asc()]
     n = eligible.count()
     if not n:
         return eligible.limit(0)
-    cut = cursor % n
-    head = eligible.orderBy(*order).offset(cut).limit(limit).withColumn("_turn", F.lit(0))
-    wrap = eligible.orderBy(*order).limit(min(cut, max(0, limit - (n - cut)))).withColumn("_turn", F.lit(1))
-    return head.unionByName(wrap).orderBy("_turn", *order).drop("_turn")
+    turn = F.pmod(F.col("_place") - 1 - cursor % n, F.lit(n))
+    return ranking.placed(eligible, [], order, "_place", count=n).withColumn("_place", turn).where(F.col("_place") < limit).orderBy("_place").drop("_place")
 
 
 # Robots rules.
