@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import tarnwick.plans.audits  # noqa: F401
+import tarnwick.plans.chains  # noqa: F401
 from tarnwick.plans.catalogue import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
