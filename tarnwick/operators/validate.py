@@ -80,6 +80,20 @@ def causal_order(events: DataFrame) -> DataFrame:
     return finding(child.join(parent, "parent").where("before >= sequence"), "causal-order", "error", F.col("id"), F.col("parent"))
 
 
+def causal_time(events: DataFrame) -> DataFrame:
+    """Events (id, earliest, latest, causal_parent_event_ids) against the time of their parents, over all events at once.
+
+    `causal-time`: the parent cannot have come before; `causal-time-ambiguous`: it may have, as their ranges overlap. A range that is
+    open where it matters is not found; parents that do not exist are `missing_reference`'s.
+    """
+    child = events.select("id", "earliest", "latest", F.explode(F.array_distinct("causal_parent_event_ids")).alias("parent"))
+    parent = events.select(F.col("id").alias("parent"), F.col("earliest").alias("p_earliest"), F.col("latest").alias("p_latest"))
+    both = child.join(parent, "parent")
+    late = F.coalesce(F.col("p_earliest") > F.col("latest"), F.lit(False))
+    maybe = both.where(~late & (F.col("p_latest") > F.col("earliest")))
+    return union([finding(both.where(late), "causal-time", "error", F.col("id"), F.col("parent").cast("string")), finding(maybe, "causal-time-ambiguous", "warning", F.col("id"), F.col("parent").cast("string"))])
+
+
 def decision_findings(groups: DataFrame, options: DataFrame, selected: DataFrame) -> DataFrame:
     """Findings of selected options (id): group cardinality, what they require and what conflicts.
 

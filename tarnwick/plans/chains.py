@@ -1,4 +1,4 @@
-"""Queries over chains of the driver's tables: custody from region to line, each beside its SQL."""
+"""Queries over chains of the driver's tables, custody from region to line and orders in time, each beside its SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.operators import custody
+from tarnwick.operators import custody, intervals, ranking, validate
 from tarnwick.operators.custody import Link
 from tarnwick.plans.catalogue import query
 from tarnwick.session import table
@@ -59,3 +59,34 @@ def fact_chain_reach(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each region by the first fault on their way from it: whole ones (null), and those below a changed, replaced, lost or doubled link."""
     seen = custody.trace(faulty_links(spark, d))["line"]
     return seen.groupBy("root", F.col("at_level").alias("level"), F.col("at_cause").alias("cause")).agg(F.count("*").alias("lines"), F.count_distinct("at_id").alias("faults"))
+
+
+# Orders in time: each runs from its date to its last shipment.
+
+_RANGES = "r AS (SELECT o_orderkey, o_custkey, o_orderdate AS earliest, max(l_shipdate) AS latest FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    last = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("latest"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("earliest"))
+    return orders.join(last, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+
+
+@query(f"""WITH {_RANGES} SELECT a.o_custkey AS custkey, count(*) AS pairs, sum(date_diff('day', CAST(greatest(a.earliest, b.earliest) AS DATE), CAST(least(a.latest, b.latest) AS DATE))) AS days
+FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.earliest <= b.latest AND b.earliest <= a.latest AND a.earliest <= a.latest AND b.earliest <= b.latest GROUP BY 1""")
+def orders_under_way(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a customer's orders that were under way at once, and for how many days."""
+    r = _ranges(spark, d)
+    pairs = intervals.overlap_join(r, r, ("earliest", "latest"), ("earliest", "latest"), ["o_custkey"]).where("left.o_orderkey < right.o_orderkey")
+    days = F.datediff(F.least("left.latest", "right.latest"), F.greatest("left.earliest", "right.earliest"))
+    return pairs.groupBy(F.col("left.o_custkey").alias("custkey")).agg(F.count("*").alias("pairs"), F.sum(days).alias("days"))
+
+
+@query(f"""WITH {_RANGES}, p AS (SELECT *, lag(o_orderkey) OVER w AS parent, lag(earliest) OVER w AS p_earliest, lag(latest) OVER w AS p_latest FROM r WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT CASE WHEN p_earliest > latest THEN 'causal-time' ELSE 'causal-time-ambiguous' END AS code, CASE WHEN p_earliest > latest THEN 'error' ELSE 'warning' END AS severity, CAST(o_orderkey AS VARCHAR) AS subject, CAST(parent AS VARCHAR) AS detail
+FROM p WHERE p_earliest > latest OR p_latest > earliest""")
+def order_times(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders against the one numbered before: whether that can have come first."""
+    placed = ranking.placed(_ranges(spark, d), ["o_custkey"], ["o_orderkey"])
+    rows = ranking.before(placed, ["o_custkey"], "place", ["o_orderkey"])
+    return validate.causal_time(rows.select(F.col("o_orderkey").alias("id"), "earliest", "latest", F.array_compact(F.array("before_o_orderkey")).alias("causal_parent_event_ids")))
