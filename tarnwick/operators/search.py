@@ -2,7 +2,8 @@
 
 The index is four tables: postings (term, doc_id, len, tf, positions, starts, ends), dictionary (term,
 document_frequency, total_frequency), documents (doc_id and further columns, no text) and stats (n_docs, avg_len:
-one row). Postings are clustered by term, so a query's literal terms are filters that the scan uses.
+one row). Postings lie in folders by a hash of the term and are sorted by term in each, so the terms of a query decide which
+folders are read, and filters of the scan which row groups of them. Many phrases at once read the folders of their terms.
 
 Two tokenisers: `words` (inner apostrophes, dots and hyphens kept; NFKC and lower case) and `folded` (runs of
 letters and digits, lower case, without diacritics). A null text has no tokens; rows that share a doc_id are
@@ -29,6 +30,10 @@ from tarnwick.session import materialise, spread
 KINDS = ("words", "folded")
 #: Bytes of a row group of postings: small, so that a filter on terms passes over most and what is left is read by many tasks.
 ROW_GROUP = 8 << 20
+#: Documents for each folder of postings, and the most folders that there are.
+PER_BUCKET, MOST_BUCKETS = 1_000, 8_192
+#: Up to so many terms of a batch of phrases are filters of the scan itself; of more, the folders are.
+FEW_TERMS = 200
 
 
 class Index(NamedTuple):
@@ -36,6 +41,7 @@ class Index(NamedTuple):
     dictionary: DataFrame
     documents: DataFrame
     stats: DataFrame
+    of: int | None = None  #: folders of the postings; none in an index that was not written
 
 
 def tokenised(docs: DataFrame, kind: str = "words", text: str = "text") -> DataFrame:
@@ -82,6 +88,9 @@ class _Batch:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[self.order].astype(np.int32)))
 
 
+_COLUMNS = "term string, doc_id {key}, len int, tf bigint, positions array<int>, starts array<int>, ends array<int>"
+
+
 def postings(docs: DataFrame, kind: str = "words") -> DataFrame:
     """(term, doc_id, len, tf, positions, starts, ends) of docs (doc_id, text); counted inside each row, so
     nothing is shuffled. starts and ends are places in the text (code points), empty for `folded`."""
@@ -103,7 +112,7 @@ def postings(docs: DataFrame, kind: str = "words") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["term", "doc_id", "len", "tf", "positions", "starts", "ends"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return _found(docs, kind).mapInArrow(run, f"term string, doc_id {key}, len int, tf bigint, positions array<int>, starts array<int>, ends array<int>")
+    return _found(docs, kind).mapInArrow(run, _COLUMNS.format(key=key))
 
 
 def dictionary(index: DataFrame) -> DataFrame:
@@ -125,26 +134,59 @@ def term_dictionary(docs: DataFrame, kind: str = "words") -> DataFrame:
     return part.groupBy("term").agg(F.sum("df").alias("document_frequency"), F.sum("tf").alias("total_frequency"))
 
 
+def bucket(term: Column, of: Column) -> Column:
+    """The folder of a term's postings."""
+    return F.pmod(F.xxhash64(term), of).cast("int")
+
+
 def build_index(docs: DataFrame, path: str, kind: str = "words") -> Index:
     """Writes the index of docs (doc_id, text, ...) under path.
 
-    Postings are dealt by term and sorted; the rebalance lets Spark split the part of a hot term.
+    Postings are dealt by folder and sorted; the rebalance lets Spark split a folder with a hot term.
     """
     spark = docs.sparkSession
-    dealt = postings(docs, kind).hint("rebalance", "term").sortWithinPartitions("term", "doc_id")
-    dealt.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
-    own = spark.read.parquet(f"{path}/postings")
-    dictionary(own).write.parquet(f"{path}/dictionary")
     docs.drop("text").write.parquet(f"{path}/documents")
-    n = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n_docs"))
+    n = spark.read.parquet(f"{path}/documents").count()
+    of = max(1, min(MOST_BUCKETS, -(-n // PER_BUCKET)))
+    dealt = postings(docs, kind).withColumn("bucket", bucket(F.col("term"), F.lit(of))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+    # The number of folders is the name of the one above them, so that every scan knows it.
+    dealt.write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/postings/of={of}")
+    own = _stored_postings(spark, path)
+    dictionary(own).write.parquet(f"{path}/dictionary")
     tokens = spark.read.parquet(f"{path}/dictionary").agg(F.coalesce(F.sum("total_frequency"), F.lit(0)).alias("_all"))
-    # both are one row
-    n.join(F.broadcast(tokens)).select("n_docs", (F.col("_all") / F.col("n_docs")).alias("avg_len")).coalesce(1).write.parquet(f"{path}/stats")
+    # one row
+    tokens.select(F.lit(n).cast("long").alias("n_docs"), (F.col("_all") / F.nullif(F.lit(n), F.lit(0))).alias("avg_len")).coalesce(1).write.parquet(f"{path}/stats")
     return open_index(spark, path)
 
 
+def _of_terms(index: Index, terms: Sequence[str]) -> DataFrame:
+    """The postings of these terms."""
+    rows = index.postings.where(F.col("term").isin(list(terms)))
+    return rows.where(F.col("bucket").isin(*(bucket(F.lit(t), F.lit(index.of)) for t in terms))) if index.of and terms else rows
+
+
+def _of_many(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings that a join with terms (term), written before, has to look at."""
+    if not index.of:
+        return index.postings
+    asked = terms.select("term", bucket(F.col("term"), F.lit(index.of)).alias("bucket")).distinct()
+    few = asked.limit(FEW_TERMS + 1).collect()
+    rows = index.postings.where(F.col("term").isin([r.term for r in few])) if len(few) <= FEW_TERMS else index.postings
+    # at most MOST_BUCKETS numbers
+    folders = few if len(few) <= FEW_TERMS else asked.select("bucket").distinct().collect()
+    return rows.where(F.col("bucket").isin(sorted({r.bucket for r in folders})))
+
+
+def _stored_postings(spark: SparkSession, path: str) -> DataFrame:
+    """With the schema given, as an index without any token has no files."""
+    key = spark.read.parquet(f"{path}/documents").schema["doc_id"].dataType.simpleString()
+    return spark.read.schema(_COLUMNS.format(key=key) + ", of int, bucket int").parquet(f"{path}/postings")
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
+    index = Index(_stored_postings(spark, path), *(spark.read.parquet(f"{path}/{name}") for name in ("dictionary", "documents", "stats")))
+    row = index.postings.select("of").first()
+    return index._replace(of=row["of"] if row else None)
 
 
 # Queries.
@@ -181,7 +223,7 @@ def _starts(unit: Sequence[str], column: dict[str, str]) -> Column:
 def _matches(index: Index, terms: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
     """A row for each document with any of the terms: len, and `_p<k>`, the places of term k, `_c<k>`, its least start."""
     column = {t: f"_p{k}" for k, t in enumerate(terms)}
-    rows = index.postings.where(F.col("term").isin(list(terms)))
+    rows = _of_terms(index, terms)
     own = lambda t, c: F.max(F.when(F.col("term") == t, c))
     least = [F.min(F.array_min("starts")).alias("first_char")]
     return rows.groupBy("doc_id").agg(F.max("len").alias("_len"), *least, *(own(t, F.col("positions")).alias(c) for t, c in column.items())), column
@@ -269,18 +311,18 @@ def phrase_hits(index: Index, units: DataFrame) -> DataFrame:
     """
     terms = units.where(F.size("terms") > 0).select("unit", F.size("terms").alias("of"), F.posexplode("terms").alias("k", "term"))
     known = terms.join(index.dictionary.select("term", "document_frequency"), "term")
-    lead = known.groupBy("unit").agg(F.min(F.struct("document_frequency", "k", "term")).alias("r"), F.count("*").alias("n"), F.first("of").alias("of")).where("n = of")
+    lead = known.groupBy("unit").agg(F.min(F.struct("document_frequency", "k", "term")).alias("r"), F.count("*").alias("n"), F.first("of").alias("of"), F.collect_list(F.struct("k", "term")).alias("all")).where("n = of")
     # Written, so that its size is known: few terms are sent to the postings, many are joined by a shuffle.
-    lead = materialise(lead.select("unit", "of", F.col("r.k").alias("k"), F.col("r.term").alias("term")), "lead")
+    lead = materialise(lead.select("unit", "of", F.col("r.k").alias("k"), F.col("r.term").alias("term"), "all"), "lead")
     # a single term is met as often as it stands in a text: its places are not read
-    single = lead.where("of = 1").join(index.postings.select("term", "doc_id", "len", "tf"), "term").select("unit", "doc_id", "len", F.col("tf").cast("int").alias("tf"))
-    at = index.postings.select("term", "doc_id", "len", "positions")
-    many = lead.where("of > 1").join(at, "term").select("unit", "of", "doc_id", "len", F.transform("positions", lambda x: x - F.col("k")).alias("starts"))
+    asked = _of_many(index, lead)
+    single = lead.where("of = 1").join(asked.select("term", "doc_id", "len", "tf"), "term").select("unit", "doc_id", "len", F.col("tf").cast("int").alias("tf"))
+    many = lead.where("of > 1").join(asked.select("term", "doc_id", "len", "positions"), "term").select("unit", "of", "doc_id", "len", F.transform("positions", lambda x: x - F.col("k")).alias("starts"))
     many = materialise(many, "leading")
-    rest = terms.join(lead.select("unit", F.col("k").alias("lead")), "unit").where("k <> lead").select("unit", "k", "term")
+    rest = lead.where("of > 1").select("unit", F.col("k").alias("lead"), F.explode("all").alias("t")).where("t.k <> lead").select("unit", "t.k", "t.term")
     # Likewise.
     pairs = materialise(many.select("unit", "doc_id").join(rest, "unit"), "pairs")
-    near = pairs.join(at.select("term", "doc_id", "positions"), ["term", "doc_id"]).select("unit", "doc_id", F.transform("positions", lambda x: x - F.col("k")).alias("places"))
+    near = pairs.join(_of_many(index, rest).select("term", "doc_id", "positions"), ["term", "doc_id"]).select("unit", "doc_id", F.transform("positions", lambda x: x - F.col("k")).alias("places"))
     near = near.groupBy("unit", "doc_id").agg(F.collect_list("places").alias("places"))
     whole = many.join(near, ["unit", "doc_id"]).where(F.size("places") == F.col("of") - 1)
     starts = F.aggregate("places", F.col("starts"), F.array_intersect)

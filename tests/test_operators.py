@@ -252,3 +252,24 @@ def test_materialise_and_clean_up(spark):
     session.clean_up(spark)
     df = session.materialise(spark.range(5))
     assert df.count() == 5 and session.clean_up(spark) == 1 and session.clean_up(spark) == 0
+
+
+def test_postings_are_pruned_by_term(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "PER_BUCKET", 20)
+    rows = [(i, "s", f"common w{i % 37} x{i % 11} tail{i % 5}") for i in range(300)] + [(300, "s", None), (301, "s", "")]
+    built = search.build_index(spark.createDataFrame(rows, "doc_id long, source string, text string"), str(tmp_path / "i"), "folded")
+    index = search.open_index(spark, str(tmp_path / "i"))
+    assert index.of == built.of == 16 and index.postings.select("bucket").distinct().count() > 10
+    assert index.postings.where(F.col("bucket") != search.bucket(F.col("term"), F.col("of"))).count() == 0
+    one = search._of_terms(index, ["w3"])
+    read = {f.split("bucket=")[1].split("/")[0] for f in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert len(read) == 1 and "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,w3)" in plan.replace("term#", "term")
+    units = spark.createDataFrame([("w3 x3", ["w3", "x3"]), ("tail1", ["tail1"]), ("none", ["none", "w3"]), ("common w3", ["common", "w3"])], "unit string, terms array<string>")
+    want = sorted((u, i) for u in ("w3 x3", "tail1", "common w3") for i, _, t in rows if t and f" {u} " in f" {t} ")
+    monkeypatch.setattr(search, "FEW_TERMS", 1)  # by folders only
+    by_folder = sorted((r.unit, r.doc_id) for r in search.phrase_hits(index, units).collect())
+    monkeypatch.setattr(search, "FEW_TERMS", 200)
+    assert sorted((r.unit, r.doc_id) for r in search.phrase_hits(index, units).collect()) == by_folder == want
+    empty = search.build_index(index.documents.limit(0).withColumn("text", F.lit("")), str(tmp_path / "none"), "folded")
+    assert empty.postings.count() == 0 and search.open_index(spark, str(tmp_path / "none")).documents.count() == 0
