@@ -7,9 +7,9 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.operators import custody, intervals, ranking, validate
+from tarnwick.operators import corpus, cover, custody, intervals, ranking, validate
 from tarnwick.operators.custody import Link
-from tarnwick.plans.catalogue import query
+from tarnwick.plans.catalogue import ORACLES, query
 from tarnwick.session import table
 
 
@@ -90,3 +90,20 @@ def order_times(spark: SparkSession, d: str) -> DataFrame:
     placed = ranking.placed(_ranges(spark, d), ["o_custkey"], ["o_orderkey"])
     rows = ranking.before(placed, ["o_custkey"], "place", ["o_orderkey"])
     return validate.causal_time(rows.select(F.col("o_orderkey").alias("id"), "earliest", "latest", F.array_compact(F.array("before_o_orderkey")).alias("causal_parent_event_ids")))
+
+
+# Segments with planted faults: some left out, some with a wrong digest, some twice, and texts that are gone.
+
+
+@query(f"""WITH s AS ({ORACLES["paragraph_segments"]}), k AS (SELECT *, paragraph_index AS p, doc_id % 50 = 0 AS gone, paragraph_index % 7 = 3 AS cut FROM s)
+SELECT 'segment-gap' AS code, 'error' AS severity, CAST(doc_id AS VARCHAR) AS subject, start_char || '-' || end_char AS detail FROM k WHERE cut AND NOT gone
+UNION ALL SELECT 'segment-digest', 'error', CAST(doc_id AS VARCHAR), CAST(p AS VARCHAR) FROM k WHERE NOT cut AND NOT gone AND p % 5 = 1
+UNION ALL SELECT 'segment-overlap', 'error', CAST(doc_id AS VARCHAR), CAST(p AS VARCHAR) FROM k WHERE NOT cut AND NOT gone AND p % 11 = 9
+UNION ALL SELECT 'segment-orphan', 'error', CAST(doc_id AS VARCHAR), CAST(p AS VARCHAR) FROM k WHERE NOT cut AND gone""")
+def segment_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs against their documents, with planted faults of each kind."""
+    docs = table(spark, d, "documents")
+    kept = corpus.segments(docs, "\n").where("paragraph_index % 7 <> 3").withColumnsRenamed({"doc_id": "unit", "paragraph_index": "name"})
+    kept = kept.withColumn("text_digest", F.when(F.col("name") % 5 == 1, F.lit("sha256:other")).otherwise(F.col("text_digest")))
+    kept = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("name") % 11 == 9, 2).otherwise(1))))
+    return cover.cover_findings(docs.where("doc_id % 50 <> 0").withColumnRenamed("doc_id", "unit"), kept)
