@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +54,79 @@ def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+# A ledger in folders by a hash of the id, so that an append need not read it whole.
+
+#: Folders that the ids of an append are dealt to. A ledger that has grown may be given more: what it holds stays where it is.
+BUCKETS = 64
+_OF, _BUCKET = "_of", "_bucket"
+
+
+def _bucket(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int")
+
+
+def _counts(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of folders that appends to this ledger were made with; none if there is no ledger yet."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(f"{path}/{_OF}=*")
+    return sorted(int(f.getPath().getName().partition("=")[2]) for f in found.getFileSystem(conf).globStatus(found) or ())
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a ledger that `append_stored` wrote."""
+    return spark.read.parquet(path).drop(_OF, _BUCKET)
+
+
+def stored_ids(new: DataFrame, path: str, key: str) -> DataFrame | None:
+    """(_id) of the folders that the ids of `new` belong to, None if there is no ledger; no other folder and no other column is read.
+
+    The folders' numbers go through the driver: at most as many as an append deals to.
+    """
+    spark = new.sparkSession
+    counts = _counts(spark, path)
+    if not counts:
+        return None
+    met = new.agg(*(F.collect_set(_bucket(key, n)) for n in counts)).first()
+    asked = reduce(Column.__or__, ((F.col(_OF) == n) & F.col(_BUCKET).isin(list(m)) for n, m in zip(counts, met)))
+    schema = f"`{key}` {new.schema[key].dataType.simpleString()}, {_OF} int, {_BUCKET} int"
+    return spark.read.schema(schema).parquet(path).where(asked).select(F.col(key).alias("_id"))
+
+
+def append_stored(new: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Write the rows of new whose id the ledger has not, each id once; null counts as an id.
+
+    What is read of the ledger are the ids in at most as many folders as new has ids. An append that was cut off and is made
+    again adds what is lacking. ValueError if new has a column called `_of` or `_bucket`.
+    """
+    if {_OF, _BUCKET} & {c.lower() for c in new.columns}:
+        raise ValueError(f"{_OF} and {_BUCKET} are the ledger's own columns")
+    once = new.dropDuplicates([key])
+    old = stored_ids(new, path, key)
+    if old is not None:
+        once = once.join(old, F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    dealt = once.withColumns({_OF: F.lit(buckets), _BUCKET: _bucket(key, buckets)})
+    dealt.repartition(_BUCKET).write.partitionBy(_OF, _BUCKET).mode("append").parquet(path)
+
+
+def prior(requests: DataFrame, successes: DataFrame, keys: Sequence[str], at: str, name: str = "prior") -> DataFrame:
+    """requests with `name`: the time of the last success with equal keys that is no later, null without one.
+
+    A running maximum over both tables in one order: no range join, no product of a key's rows. Columns of requests only; null keys are equal, a null time has no prior.
+    """
+    both = requests.select(*(F.col(k) for k in keys), F.col(at).alias("_at"), F.struct(*requests.columns).alias("_row")).unionByName(
+        successes.select(*keys, F.col(at).alias("_at")), allowMissingColumns=True
+    )
+    w = W.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_last()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    known = F.when(F.col("_row").isNull(), F.col("_at"))
+    out = both.withColumn("_prior", F.when(F.col("_at").isNotNull(), F.max(known).over(w))).where("_row IS NOT NULL")
+    return out.select("_row.*", F.col("_prior").alias(name))
+
+
+def pending(work: DataFrame, decided: DataFrame, key: str) -> DataFrame:
+    """(key) of work that no decision is about, each once; a null key stays pending."""
+    return work.select(key).distinct().join(decided.select(key), key, "left_anti")
+
+
 def histogram(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """(value, n) for each of values, 0 where there is none."""
     n = df.where(F.col(column).isin(list(values))).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

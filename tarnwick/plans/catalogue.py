@@ -566,13 +566,8 @@ def replay_origin_exists(spark, d):
 
 @query("""SELECT r.event_id, max(s.ts) AS prior_ts FROM events r LEFT JOIN events s ON s.user_id = r.user_id AND s.event_type = 'purchase' AND s.ts <= r.ts WHERE r.event_type = 'click' GROUP BY 1""")
 def asof_prior_success(spark, d):
-    # the last earlier success is a running maximum over the merged log: no range join
-    w = W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, 0)
-    e = table(spark, d, "events").where("event_type IN ('click', 'purchase')")
-    e = e.withColumn("t", F.col("ts").cast("timestamp"))
-    w = W.partitionBy("user_id").orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
-    e = e.withColumn("prior_ts", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w))
-    return e.where("event_type = 'click'").select("event_id", "prior_ts")
+    e = table(spark, d, "events")
+    return ledger.prior(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), ["user_id"], "ts", "prior_ts").select("event_id", "prior_ts")
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate + INTERVAL 10 DAY""")
@@ -771,7 +766,7 @@ def coverage_classify(spark, d):
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def pending_except(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").distinct()
+    return ledger.pending(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM documents WHERE n_chars > 1000")
@@ -1076,7 +1071,7 @@ def stream_ledger(spark, d):
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     for run in ("a", "b"):  # a second run over the same files adds nothing
         streams.append_once(streams.stream_events(spark, f"{d}/events.parquet*"), f"{at}/ledger", f"{at}/{run}").awaitTermination()
-    log = spark.read.parquet(f"{at}/ledger")
+    log = ledger.stored(spark, f"{at}/ledger")
     return log.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("event_id").alias("ids"))
 
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+
+from tarnwick.operators.ledger import BUCKETS, append_stored
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
@@ -33,21 +34,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return w.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def append_once(events: DataFrame, path: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
-    """Write a stream to a ledger; a batch that is run again adds nothing.
+def append_once(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", buckets: int = BUCKETS) -> StreamingQuery:
+    """Write a stream to a ledger that `operators.ledger.stored` reads; a batch that is run again adds nothing.
 
-    Within a batch ids are made unique; against the ledger the new rows are anti-joined by id.
+    Each batch is compared with the ids of its own folders only, so what is read follows the batch.
     """
 
     def add(batch: DataFrame, epoch: int) -> None:
-        from tarnwick.operators.ledger import append_new
-
-        spark = batch.sparkSession
-        try:
-            old = spark.read.schema(batch.schema).parquet(path)
-        except AnalysisException:  # no ledger yet
-            old = spark.createDataFrame([], batch.schema)
-        append_new(old, batch, key).write.mode("append").parquet(path)
+        append_stored(batch, path, key, buckets)
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
