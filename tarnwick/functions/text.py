@@ -6,6 +6,7 @@ Strings are sequences of code points here (Spark's own semantics), and ordered b
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,6 +61,39 @@ def fold(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(F.lower(c), marked, plain)).otherwise(F.lower(c))
 
 
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters that folding changes and the one that stands for each, and those that become several."""
+    one, several = {}, {}
+    for i in range(0x110000):
+        if not 0xD800 <= i < 0xE000:
+            c = chr(i)
+            if (full := c.casefold()) != c:
+                (one if len(full) == 1 else several)[c] = full
+    return "".join(one), "".join(one.values()), several
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding, so that sharp s equals ss and a ligature its letters; null stays null.
+
+    Built in: texts are taken apart only where they hold a character that becomes several.
+    """
+    before, after, several = _foldings()
+    single = F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, before, after)).otherwise(F.lower(c))
+    full = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    apart = F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0))
+    whole = F.array_join(F.transform(apart, lambda x: F.coalesce(F.element_at(full, x), x)), "")
+    return F.when(single.rlike("[" + "".join(several) + "]"), whole).otherwise(single)
+
+
+def locale(c: Column) -> Column:
+    """A text to be sorted as readers expect: by letter, then accent, then case, and marks before digits before letters.
+
+    Sort by the text itself after it, as different texts may be equal here.
+    """
+    return F.collate(c, "UNICODE")
+
+
 def normalize_term(c: Column) -> Column:
     """NFKC and lower case."""
     return F.lower(nfkc(c))

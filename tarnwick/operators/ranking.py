@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.functions.text import locale
 from tarnwick.session import materialise
 
 #: Rows that a task sorts, about.
@@ -50,6 +51,14 @@ def placed(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     return out.select("row.*", (F.col("at") + F.col("shift")).cast("long").alias(name))
 
 
+def by_locale(rows: DataFrame, columns: Sequence[str], name: str = "place", per_range: int = PER_RANGE) -> DataFrame:
+    """rows and their place in the order of columns, texts among them sorted by locale and, where that holds them equal, by code point."""
+    keys: list[Column] = []
+    for c in columns:
+        keys += [locale(F.col(c)), F.col(c)] if rows.schema[c].dataType.typeName() == "string" else [F.col(c)]
+    return placed(rows, [], keys, name, per_range)
+
+
 def before(rows: DataFrame, group: Sequence[str], place: str, columns: Sequence[str], mark: str = "before_") -> DataFrame:
     """rows (placed) with columns of the row one place earlier in their group, null for the first.
 

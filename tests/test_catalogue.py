@@ -9,6 +9,7 @@ import pytest
 
 import tarnwick.plans.audits  # noqa: F401
 import tarnwick.plans.chains  # noqa: F401
+import tarnwick.plans.texts  # noqa: F401
 from tarnwick.plans.catalogue import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
