@@ -107,3 +107,39 @@ def segment_faults(spark: SparkSession, d: str) -> DataFrame:
     kept = kept.withColumn("text_digest", F.when(F.col("name") % 5 == 1, F.lit("sha256:other")).otherwise(F.col("text_digest")))
     kept = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("name") % 11 == 9, 2).otherwise(1))))
     return cover.cover_findings(docs.where("doc_id % 50 <> 0").withColumnRenamed("doc_id", "unit"), kept)
+
+
+# Orders as groups of choices, their lines as options that set the prices of parts: what lines and orders say of each other.
+
+_CHOICES = """o AS (SELECT l_orderkey * 16 + l_linenumber AS id, l_orderkey AS g, l_linenumber AS k, l_partkey AS v, l_extendedprice AS x, l_returnflag = 'A' AS unlisted, l_discount >= 0.1 AS strays, l_tax > 0.07 AS twice FROM lineitem),
+listed AS (SELECT g, id FROM o WHERE NOT unlisted), grp AS (SELECT o_orderkey AS g, count(id) AS n FROM orders LEFT JOIN listed ON g = o_orderkey GROUP BY 1)"""
+
+
+@query(f"""WITH {_CHOICES}
+SELECT code, subject, detail, count(*) AS n FROM (
+SELECT 'duplicate-id' AS code, CAST(id AS VARCHAR) AS subject, count(*) || ' rows' AS detail FROM o GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'duplicate-id', CAST(g AS VARCHAR), CAST(id AS VARCHAR) FROM listed JOIN orders ON o_orderkey = g GROUP BY g, id HAVING count(*) > 1
+UNION ALL SELECT 'variant-membership', CAST(id AS VARCHAR), CAST(g AS VARCHAR) FROM o JOIN orders ON o_orderkey = g WHERE id NOT IN (SELECT id FROM listed)
+UNION ALL SELECT 'empty-variant-group', CAST(g AS VARCHAR), '' FROM grp WHERE n = 0
+UNION ALL SELECT 'missing-reference', CAST(id AS VARCHAR), CAST(id + 1 AS VARCHAR) FROM o WHERE strays AND id + 1 NOT IN (SELECT id FROM o)
+UNION ALL SELECT 'missing-reference', CAST(id AS VARCHAR), CAST(v AS VARCHAR) FROM (SELECT id, v, twice FROM o UNION ALL SELECT id, v, twice FROM o WHERE twice) WHERE v NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'duplicate-variable-override', CAST(id AS VARCHAR), CAST(v AS VARCHAR) FROM o WHERE twice
+UNION ALL SELECT 'variable-bounds', CAST(id AS VARCHAR), CAST(v AS VARCHAR) FROM (SELECT id, v, x, twice FROM o UNION ALL SELECT id, v, x, twice FROM o WHERE twice) JOIN part ON p_partkey = v WHERE x < p_retailprice OR x > 40 * p_retailprice
+UNION ALL SELECT 'variable-bounds', CAST(p_partkey AS VARCHAR), '' FROM part WHERE p_retailprice > 40 * p_retailprice) GROUP BY 1, 2, 3""")
+def choice_findings(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of a bible over orders, lines and parts."""
+    line = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    own = F.struct(F.col("l_partkey").alias("variable_id"), F.col("l_extendedprice").alias("value"))
+    empty = F.array().cast("array<bigint>")
+    lines = table(spark, d, "lineitem")
+    options = lines.select(
+        line.alias("id"), F.col("l_orderkey").alias("group_id"), F.when(F.col("l_discount") >= 0.1, F.array(line + 1)).otherwise(empty).alias("requires_option_ids"),
+        F.struct(F.when(F.col("l_tax") > 0.07, F.array(own, own)).otherwise(F.array(own)).alias("variable_overrides")).alias("effects"),
+    )
+    listed = lines.where("l_returnflag <> 'A'").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(line).alias("option_ids"))
+    groups = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("exactly-one").alias("cardinality")).join(listed, "id", "left")
+    groups = groups.withColumn("option_ids", F.coalesce("option_ids", empty))
+    price = F.col("p_retailprice")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), price.alias("initial_value"), price.alias("minimum"), (40 * price).alias("maximum"), F.lit(False).alias("integer"))
+    found = validate.bible_findings({"variant_groups": groups, "variant_options": options, "state_variables": parts})
+    return found.groupBy("code", "subject", "detail").agg(F.count("*").alias("n"))
