@@ -4,8 +4,8 @@ Reads a tokenizer file whose model is BPE over byte-level words with a word-end
 space and lower case. The text between special tokens is normalised and split into words; a word's
 bytes are its first symbols, the last one carrying the suffix. The queue holds (rank, place) of
 each pair that can merge; the least one is merged, its neighbours are linked anew and queued, and entries whose
-pair has changed since are skipped. Words that come again are remembered. Ids are decoded to the strings of the
-vocabulary, set side by side.
+pair has changed since are skipped. Texts are cut into words many at a time, by where the kind of code point changes;
+words that come again are remembered. Ids are decoded to the strings of the vocabulary, set side by side.
 
 Defined cases: a null text is empty and has no ids; texts of any length are encoded whole (a single word of n
 letters takes n log n steps); special tokens in a text are their own ids; repeated rows are encoded each; ids that
@@ -20,17 +20,54 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache, cached_property
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tarnwick.llm.bpe import _offsets, _runs
+from tarnwick.llm.bpe import _offsets, _runs, _spread
 from tarnwick.llm.units import Memo, flat, is_odd, local_file
 
+#: The pattern whose matches `word_starts` finds.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, NUMBER, OTHER = range(4)
 _loaded: dict[str, WordBpe] = {}
+_strings: dict[str, pa.Array] = {}
+
+
+@cache
+def kinds() -> np.ndarray:
+    """The kind of each code point, as PATTERN tells them apart."""
+    import regex
+
+    points, out = "".join(map(chr, range(0x110000))), np.full(0x110000, OTHER, np.uint8)
+    for kind, run in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(run, points):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def word_starts(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a match of PATTERN starts at each code point: where the kind changes, and at every number.
+
+    An apostrophe that opens a match takes s, t, re, ve, m, ll or d with it.
+    """
+    start = kind != SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    at = np.flatnonzero(start & (codes == ord("'")))
+    if len(at):
+        one, two = (np.append(codes, [0, 0])[at + k] for k in (1, 2))
+        is_one = np.isin(one, [*map(ord, "stmd")])
+        is_two = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        start[at[is_one | is_two] + 1] = False
+        after = np.concatenate([at[is_one] + 2, at[is_two] + 3])
+        after = after[after < len(codes)]
+        start[after] |= kind[after] == LETTER
+    return start
 
 
 def byte_letters() -> list[str]:
@@ -46,23 +83,34 @@ def merged(symbols: list[int], ranks: dict[int, int], joined: list[int], base: i
     if n < 2:
         return symbols
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    get = ranks.get
-    queue = [rank * n + i for i in range(n - 1) if (rank := get(symbols[i] * base + symbols[i + 1])) is not None]
+    get, wide = ranks.get, n.bit_length()
+    place = (1 << wide) - 1
+    # What stands queued of the pair that starts at each place; another entry of that place is stale.
+    now = [-1 if (rank := get(a * base + b)) is None else rank << wide | i for i, (a, b) in enumerate(pairwise(symbols))]
+    now.append(-1)
+    queue = [x for x in now if x >= 0]
     heapify(queue)
     while queue:
-        rank, i = divmod(heappop(queue), n)
-        j = after[i]
-        if j == n or symbols[i] < 0 or get(symbols[i] * base + symbols[j]) != rank:
+        x = heappop(queue)
+        i = x & place
+        if now[i] != x:
             continue  # stale
-        symbols[i], symbols[j] = joined[rank], -1
+        j = after[i]
+        symbols[i] = left = joined[x >> wide]
+        symbols[j] = now[i] = now[j] = -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            if (rank := get(symbols[i] * base + symbols[k])) is not None:
-                heappush(queue, rank * n + i)
+            if (rank := get(left * base + symbols[k])) is not None:
+                now[i] = rank << wide | i
+                heappush(queue, now[i])
         h = before[i]
-        if h >= 0 and (rank := get(symbols[h] * base + symbols[i])) is not None:
-            heappush(queue, rank * n + h)
+        if h >= 0:
+            if (rank := get(symbols[h] * base + left)) is None:
+                now[h] = -1
+            else:
+                now[h] = rank << wide | h
+                heappush(queue, now[h])
     return [s for s in symbols if s >= 0]
 
 
@@ -71,7 +119,6 @@ class WordBpe:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -98,10 +145,17 @@ class WordBpe:
             raise ValueError("words hold white space")
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.strings = {i: s for s, i in [*vocab.items(), *self.special.items()]}
-        self.library = Tokenizer.from_file(path)
+        self.by_kind = split["pattern"]["Regex"] == PATTERN
+        self.path = path
         self.as_byte = {c: b for b, c in enumerate(letters)}
-        self.memo = Memo(lambda words: [flat(map(self.word, words))])
+        self.memo = Memo(lambda words: [flat(map(self.word, words))], halve=True)
+
+    @cached_property
+    def library(self):
+        """Loaded for odd texts only."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def word(self, word: str) -> list[int]:
         if word[0] == " ":  # no word has white space in it
@@ -113,8 +167,12 @@ class WordBpe:
         if is_odd(text):
             whole = self.library.normalizer.normalize_str(text)
             return [bytes(map(self.as_byte.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(whole)]
+        return self.words(self.normalised(text))
+
+    @staticmethod
+    def normalised(text: str) -> str:
         # Letter by letter: a sigma at a word's end is an ordinary one.
-        return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def units(self, text: str) -> list[str]:
         """Words, and special tokens after a space."""
@@ -125,11 +183,38 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
+        plain = np.array([self.by_kind and not any(s in t for s in self.special) and not is_odd(t) for t in texts], bool)
+        if plain.all():
+            return self._encode_plain(texts)
+        apart = self._encode_plain([t for t, p in zip(texts, plain, strict=True) if p]), self._encode_units([t for t, p in zip(texts, plain, strict=True) if not p])
+        ids, count = (np.concatenate(x) for x in zip(*apart, strict=True))
+        place = np.argsort(np.argsort(~plain, kind="stable"))
+        return ids[_spread((np.cumsum(count) - count)[place], count[place])], count[place]
+
+    def _encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.units(t) for t in texts]
         ((ids, count),) = self.memo.of(list(chain.from_iterable(split)))
         upto = np.append(0, np.cumsum(count))[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(upto)
 
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts without special tokens and odd code points, cut into words together; each word is looked up once."""
+        texts = [self.normalised(t) for t in texts]
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        kind = kinds()[codes]
+        start = word_starts(codes, kind)
+        upto = np.searchsorted(np.flatnonzero(start), np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        own = kind != SPACE
+        codes, start = codes[own], start[own]
+        size = 1 + (codes >= 1 << 7).astype(np.int32) + (codes >= 1 << 11) + (codes >= 1 << 16)
+        offsets = np.append(0, np.cumsum(size))[np.append(np.flatnonzero(start), len(codes))].astype(np.int32)
+        raw = codes.tobytes().decode("utf-32-le").encode()
+        words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        ((ids, count),) = self.memo.of(words.dictionary.to_pylist())
+        at = words.indices.to_numpy()
+        first, count = (np.cumsum(count) - count)[at], count[at]
+        return ids[_spread(first, count)], np.diff(np.append(0, np.cumsum(count))[upto])
+
 
 def codec(path: str) -> WordBpe:
     """One for each worker process; path is a local one, or a file named to addFile()."""
@@ -152,18 +237,33 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def strings_of(path: str) -> pa.Array:
+    """The string of each id, null where the vocabulary has none; one for each worker process."""
+    if path not in _strings:
+        with open(local_file(path), encoding="utf-8") as f:
+            told = json.load(f)
+        by_id = {i: s for s, i in [*told["model"]["vocab"].items(), *((x["content"], x["id"]) for x in told["added_tokens"])]}
+        _strings[path] = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
+    return _strings[path]
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded for every row of encoded (doc_id, ids): the vocabulary's strings with a space between, as the file names no decoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = codec(path).strings
+        strings = strings_of(path)
+        known = np.asarray(strings.is_valid())
         for batch in batches:
             counts = np.asarray(batch.column(1).value_lengths().fill_null(0))
             for a, b in _runs(counts.tolist()):
                 part = batch.slice(a, b - a)
-                ids, upto = part.column(1).flatten().to_pylist(), np.append(0, np.cumsum(counts[a:b])).tolist()
-                texts = [" ".join([strings[i] for i in ids[x:y] if i in strings]) for x, y in zip(upto, upto[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                ids, upto = np.asarray(part.column(1).flatten().fill_null(-1)), np.append(0, np.cumsum(counts[a:b]))
+                has = (ids >= 0) & (ids < len(known))
+                has[has] = known[ids[has]]
+                if not has.all():
+                    ids, upto = ids[has], np.append(0, np.cumsum(has))[upto]
+                each = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), strings.take(pa.array(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(each, " ")], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
