@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions.fingerprint import fnv1a32, ratio_permille
 from tarnwick.operators import graph
+from tarnwick.session import materialise
 
 #: Domains that establish base vocabulary or state (fixed values).
 FOUNDATIONAL = ("core-entities", "lineage-claims", "chronology-geography", "actor-knowledge")
@@ -76,9 +77,9 @@ def cluster_rollup(candidates: DataFrame, assigned: DataFrame) -> DataFrame:
     """Per cluster: members, keys, domains, hints, the least confidence, and its id."""
     c = candidates.join(assigned, candidates["id"] == assigned["node"]).groupBy("component").agg(
         F.array_sort(F.collect_set("id")).alias("candidate_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("reconciliation_keys")))).alias("keys"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("reconciliation_keys")))).alias("keys"),
         F.array_sort(F.collect_set("domain")).alias("domains"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_hints")))).alias("hints"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_hints")))).alias("hints"),
         F.min("confidence_permille").alias("confidence_floor"),
     )
     core = F.to_json(F.struct(F.col("candidate_ids").alias("candidateIds"), F.col("keys").alias("reconciliationKeys")))
@@ -95,12 +96,15 @@ def work_order(candidates: DataFrame, hints: Sequence[str], depth: int) -> tuple
     own = members.join(reach.select("node"), "node", "left_semi")
     linked = graph.clusters(own)
     alone = reach.select("node").join(linked.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    clusters = cluster_rollup(chosen, linked.unionByName(alone))
-    of = clusters.select(F.explode("candidate_ids").alias("id"), "cluster_id", "candidate_ids", "domains", "hints")
+    assigned = materialise(linked.unionByName(alone), "assigned")
+    clusters = cluster_rollup(chosen, assigned)
+    # Members are counted, one row a node: a cluster's ids stand in its own row and in no item's.
+    size = assigned.groupBy("component").agg(F.count("*").alias("members"))
+    of = clusters.select("component", "cluster_id", F.size("domains").alias("n_domains"), F.size("hints").alias("n_hints")).join(size, "component")
     is_direct, base = F.col("depth") == 0, F.col("domain").isin(list(FOUNDATIONAL))
-    leverage = (F.size("candidate_ids") >= 3) | (F.size("domains") >= 2) | (F.size("hints") >= 3)
+    leverage = (F.col("members") >= 3) | (F.col("n_domains") >= 2) | (F.col("n_hints") >= 3)
     disputed = (F.col("kind") == "question") | (F.col("confidence_permille") < 600)
-    items = chosen.join(of, "id").select(
+    items = chosen.join(assigned.withColumnRenamed("node", "id"), "id").join(of, "component").select(
         F.col("id").alias("candidate_id"), "cluster_id", lanes(is_direct, base, leverage, disputed).alias("lanes"), priority(is_direct, base, leverage, disputed, F.col("confidence_permille")).alias("priority")
     )
     return items.orderBy(F.desc("priority"), "candidate_id"), clusters
