@@ -25,13 +25,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as X
-from tarnwick.session import materialise, spread
+from tarnwick.session import frugal, materialise, spread
 
 KINDS = ("words", "folded")
 #: Bytes of a row group of postings: small, so that a filter on terms passes over most and what is left is read by many tasks.
 ROW_GROUP = 8 << 20
 #: Documents for each folder of postings, and the most folders that there are.
 PER_BUCKET, MOST_BUCKETS = 1_000, 8_192
+#: Documents for each slice of a build, and the most slices that there are; likewise for each pass of a verification.
+PER_SLICE, MOST_SLICES = 12_500, 8
+#: Places ascend within a row and documents within a term, so their differences are stored.
+PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "positions.list.element", "starts.list.element", "ends.list.element")}
 #: Up to so many terms of a batch of phrases are filters of the scan itself; of more, the folders are.
 FEW_TERMS = 200
 
@@ -139,18 +143,29 @@ def bucket(term: Column, of: Column) -> Column:
     return F.pmod(F.xxhash64(term), of).cast("int")
 
 
+def slices_of(n: int) -> int:
+    """In how many parts a job over n documents is done."""
+    return max(1, min(MOST_SLICES, n // PER_SLICE))
+
+
 def build_index(docs: DataFrame, path: str, kind: str = "words") -> Index:
     """Writes the index of docs (doc_id, text, ...) under path.
 
-    Postings are dealt by folder and sorted; the rebalance lets Spark split a folder with a hot term.
+    Postings are dealt by folder and sorted; the rebalance lets Spark split a folder with a hot term. Their shuffle takes
+    several times the room of the texts, so large tables are dealt in slices of the documents, one after the other, each
+    of which leaves files of its own.
     """
     spark = docs.sparkSession
     docs.drop("text").write.parquet(f"{path}/documents")
     n = spark.read.parquet(f"{path}/documents").count()
     of = max(1, min(MOST_BUCKETS, -(-n // PER_BUCKET)))
-    dealt = postings(docs, kind).withColumn("bucket", bucket(F.col("term"), F.lit(of))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
-    # The number of folders is the name of the one above them, so that every scan knows it.
-    dealt.write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/postings/of={of}")
+    slices = slices_of(n)
+    for k in range(slices):
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == k) if slices > 1 else docs
+        dealt = postings(part, kind).withColumn("bucket", bucket(F.col("term"), F.lit(of))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+        # The number of folders is the name of the one above them, so that every scan knows it.
+        with frugal(spark):
+            dealt.write.mode("append" if k else "error").options(**PACKED).option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/postings/of={of}")
     own = _stored_postings(spark, path)
     dictionary(own).write.parquet(f"{path}/dictionary")
     tokens = spark.read.parquet(f"{path}/dictionary").agg(F.coalesce(F.sum("total_frequency"), F.lit(0)).alias("_all"))
@@ -331,16 +346,37 @@ def phrase_hits(index: Index, units: DataFrame) -> DataFrame:
 
 
 def verify_index(index: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """Findings (code, subject) where postings, dictionary and documents do not agree."""
+    """Findings (code, subject) where postings, dictionary and documents do not agree.
+
+    A stored index is gone through some folders at a time, as the shuffle of all its postings takes as much room as the index.
+    """
+    spark = index.sparkSession
     finding = lambda df, code, subject: df.select(F.lit(code).alias("code"), F.col(subject).cast("string").alias("subject"))
+    stored = "of" in index.columns and "bucket" in index.columns
+    of = F.col("of") if stored else F.lit(1)
+    strays = F.count_if(~F.coalesce(F.col("bucket") == bucket(F.col("term"), of), F.lit(False))) if stored else F.lit(0)
+    with frugal(spark):
+        own = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.min(of).alias("least"), F.max(of).alias("of"), strays.alias("strays"))
+        own = materialise(own, "own")
+    least, most, astray = own.agg(F.min("least"), F.max("of"), F.sum("strays")).first()
+    passes = slices_of((most or 1) * PER_BUCKET)
+    # Postings of a term are to be met in one pass; where some lie in a folder that is not the term's, the folders don't tell.
+    place = F.xxhash64("term") if astray or least != most else F.col("bucket")
+    known, parts = docs.select("doc_id").distinct().withColumn("known", F.lit(True)), []
+    for k in range(passes):
+        part = index.where(F.pmod(place, F.lit(passes)) == k) if passes > 1 else index
+        # one shuffle by document for both: its rows are counted by term, and met with the documents that there are
+        counted = part.select("doc_id", "term").repartition("doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("times"))
+        bad = counted.join(known.hint("shuffle_hash"), "doc_id", "left").where("times > 1 OR known IS NULL")
+        with frugal(spark):
+            parts.append(materialise(bad, "faults"))
+    bad = reduce(DataFrame.unionByName, parts)
+    lost = bad.where("known IS NULL").select("doc_id", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
     shape = index.where((F.size("positions") != F.col("tf")) | (F.size(F.array_distinct("positions")) != F.col("tf")))
-    twice = index.groupBy("term", "doc_id").count().where("count > 1")
-    own = dictionary(index).withColumnsRenamed({"document_frequency": "df", "total_frequency": "total"})
     parity = own.join(terms, "term", "full").where("NOT (df <=> document_frequency AND total <=> total_frequency)")
-    lost = index.join(docs, "doc_id", "left_anti")
     return (
         finding(shape, "posting-shape", "doc_id")
-        .unionByName(finding(twice, "posting-duplicate", "term"))
+        .unionByName(finding(bad.where("times > 1"), "posting-duplicate", "term"))
         .unionByName(finding(parity, "dictionary-drift", "term"))
         .unionByName(finding(lost, "posting-document-missing", "doc_id"))
     )
